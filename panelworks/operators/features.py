@@ -15,14 +15,19 @@ from ..schemas import FEATURES
 from .panel import by_panel, by_symbol
 
 
-def trailing_return(lag: int) -> Column:
-    """Return over ``lag`` calendar rows; NULL unless both end cells are observed."""
+def trailing_return(prices: DataFrame, lag: int) -> Column:
+    """Return over ``lag`` calendar rows; NULL unless both end cells are observed.
+
+    A panel that already carries the column (see :func:`enriched`) is not windowed again.
+    """
+    if f"trail_{lag}" in prices.columns:
+        return F.col(f"trail_{lag}")
     return F.col("close") / at_offset("close", by_symbol(), -lag) - 1.0
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
     """One-row returns of an indexed panel."""
-    return prices.withColumn("ret", trailing_return(1))
+    return prices.withColumn("ret", trailing_return(prices, 1))
 
 
 def forward_returns(prices: DataFrame) -> DataFrame:
@@ -30,9 +35,26 @@ def forward_returns(prices: DataFrame) -> DataFrame:
     return prices.withColumn("next_ret", at_offset("close", by_symbol(), 1) / F.col("close") - 1.0)
 
 
+def _rebased(prices: DataFrame) -> Column:
+    if "rebased" in prices.columns:
+        return F.col("rebased")
+    return F.col("close") / F.first("close").over(so_far(by_symbol()))
+
+
+def enriched(prices: DataFrame, lags: tuple[int, ...] = (1, 10, 20, 30)) -> DataFrame:
+    """Every per-name window in one pass: trailing returns, forward return, rebased price.
+
+    One shuffle by (panel, name) then serves all strategies, features and accounting.
+    """
+    columns = {f"trail_{k}": trailing_return(prices, k) for k in lags}
+    return forward_returns(prices.withColumns({**columns, "rebased": _rebased(prices)}))
+
+
 def cross_section(prices: DataFrame, breadth_window: int = 20) -> DataFrame:
     """Per date: equal-weight market return, breadth and dispersion."""
-    names = prices.withColumns({"ret": trailing_return(1), "cum": trailing_return(breadth_window)})
+    names = prices.withColumns(
+        {"ret": trailing_return(prices, 1), "cum": trailing_return(prices, breadth_window)}
+    )
     return names.groupBy("panel_id", "pos", "date").agg(
         F.avg("ret").alias("market_return"),
         ratio(F.count_if(F.col("cum") > 0).cast("double"), F.count("cum").cast("double")).alias("breadth"),
@@ -80,7 +102,7 @@ def fill_features(df: DataFrame, cols) -> DataFrame:
 
 def market_index(prices: DataFrame) -> DataFrame:
     """Equal-weight index: each name over its first price, averaged over names priced."""
-    based = prices.withColumn("rebased", F.col("close") / F.first("close").over(so_far(by_symbol())))
+    based = prices.withColumn("rebased", _rebased(prices))
     return based.groupBy("panel_id", "pos", "date").agg(F.avg("rebased").alias("index_value"))
 
 

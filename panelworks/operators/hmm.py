@@ -28,32 +28,37 @@ def refit_position(min_train: int, refit_every: int):
     return F.col("pos") - F.pmod(F.col("pos") - min_train, F.lit(step))
 
 
+def _histories(features: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """Feature history of each panel in date order, with its last position."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.array(*cols).alias("x"))))
+    return features.groupBy("panel_id").agg(rows["x"].alias("x"), F.max("pos").alias("last"))
+
+
 def training_jobs(
     features: DataFrame, min_train: int = 60, refit_every: int = 5, cols: tuple[str, ...] = FEATURES
 ) -> DataFrame:
     """``(panel_id, refit_pos, x)``: every refit with its history in date order."""
-    history = features.groupBy("panel_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.array(*cols).alias("x")))).alias("h"),
-        F.max("pos").alias("last"),
-    )
     refits = F.sequence(F.lit(min_train), F.col("last"), F.lit(refit_every + 1))
-    jobs = history.filter(F.col("last") >= min_train).select("panel_id", "h", F.explode(refits).alias("refit_pos"))
-    return jobs.select("panel_id", "refit_pos", F.slice(F.col("h.x"), 1, F.col("refit_pos") + 1).alias("x"))
+    enough = _histories(features, cols).filter(F.col("last") >= min_train)
+    jobs = enough.select("panel_id", "x", F.explode(refits).alias("refit_pos"))
+    return jobs.select("panel_id", "refit_pos", F.slice("x", 1, F.col("refit_pos") + 1).alias("x"))
+
+
+def latest_jobs(features: DataFrame, cols: tuple[str, ...] = FEATURES) -> DataFrame:
+    """One training job per panel over its whole history."""
+    return _histories(features, cols).select("panel_id", F.col("last").alias("refit_pos"), "x")
 
 
 def fit_models(
-    features: DataFrame,
+    jobs: DataFrame,
     path_id: str = "baseline",
-    min_train: int = 60,
-    refit_every: int = 5,
-    cols: tuple[str, ...] = FEATURES,
     n_states: int = 3,
     n_restarts: int = 8,
     n_iter: int = 200,
     tol: float = 1e-4,
     seed: int = 0,
 ) -> DataFrame:
-    """Train every (panel, refit) job and return the model table."""
+    """Train every job and return the model table."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for jobs in batches:
@@ -67,7 +72,6 @@ def fit_models(
                 rows, columns=["panel_id", "path_id", "refit_pos", "loglik", "center", "scale", "states"]
             )
 
-    jobs = training_jobs(features, min_train, refit_every, cols)
     parts = 4 * jobs.sparkSession.sparkContext.defaultParallelism
     return jobs.repartition(parts, "panel_id", "refit_pos").mapInPandas(train, MODELS)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, so_far
 from ..schemas import FEATURES, REGIMES
-from .hmm import fit_models, refit_position
+from .hmm import fit_models, latest_jobs, refit_position, training_jobs
 from .panel import by_panel
 
 STANCES = {"trending": "momentum", "ranging": "market portfolio", "high_volatility": "defensive"}
@@ -164,11 +164,19 @@ def regime_reads(
 ) -> DataFrame:
     """Walk-forward reads: every date from ``min_train`` on, labelled by the latest
     model trained on data up to its refit position."""
-    models = fit_models(features, path_id, min_train, refit_every, cols, **fit)
+    models = fit_models(training_jobs(features, min_train, refit_every, cols), path_id, **fit)
     scheduled = refit_schedule(features, min_train, refit_every)
     return reads(posterior(scheduled, label_states(models, cols), cols), cols)
 
 
+def latest_reads(
+    features: DataFrame, path_id: str = "latest", cols: tuple[str, ...] = FEATURES, **fit
+) -> DataFrame:
+    """Read of each panel's last date by a model trained on its whole history."""
+    models = label_states(fit_models(latest_jobs(features, cols), path_id, **fit), cols)
+    return reads(posterior(features.withColumn("refit_pos", F.col("pos")), models, cols), cols)
+
+
 def label_counts(path: DataFrame) -> DataFrame:
     """Days and share of days per label of every path."""
     counts = path.groupBy("panel_id", "path_id", "regime").agg(F.count("*").alias("days"))

@@ -35,7 +35,7 @@ def equal_weight(prices: DataFrame, strategy: str = "equal_weight") -> DataFrame
 
 
 def _ranked(prices: DataFrame, lookback: int, n: int, best_first: bool, gate: Column, strategy: str) -> DataFrame:
-    scored = prices.withColumn("score", trailing_return(lookback)).filter(F.col("score").isNotNull())
+    scored = prices.withColumn("score", trailing_return(prices, lookback)).filter(F.col("score").isNotNull())
     order = [F.col("score").desc() if best_first else F.col("score").asc(), "ord", "symbol"]
     # The rank filter becomes a per-partition group limit before the shuffle, so
     # a date with very many names sends at most n rows per task.

@@ -28,6 +28,7 @@ from ..operators import features as feat
 from ..schemas import FEATURES, REGIMES
 from ..sources import dims, payloads, stores
 from ..session import scratch_path
+from . import workflows
 from .oracle import pick, sql
 from .standins import CONFIG_IDS, CONFIGS, STABLES, VARIANTS, Inputs, tidy
 
@@ -64,7 +65,7 @@ def _(d):
 
 @query("calendar", pick("cal", "panel_id date", "pos n_dates n_names"))
 def _(d):
-    return d.calendar
+    return panel.calendar(d.lazy_prices)
 
 
 _UNIVERSE = """SELECT panel_id, 'Brand#' || k AS symbol, CAST(k AS BIGINT) AS ord
@@ -81,7 +82,7 @@ def _(d):
 @query("panel_guard", sql("""SELECT panel_id, count(DISTINCT date) AS n_dates, count(DISTINCT symbol) AS n_symbols,
     count(DISTINCT date) >= 2 AND count(DISTINCT symbol) >= 1 AS accepted FROM prices GROUP BY 1"""))
 def _(d):
-    return panel.panel_guard(d.prices)
+    return panel.panel_guard(d.lazy_prices)
 
 
 _WHALE_FEATS = """SELECT c.panel_id, c.pos, c.date, coalesce(last_value(z.w IGNORE NULLS) OVER w, 0) AS net_whale_flow_z,
@@ -354,27 +355,27 @@ def _(d):
 
 @query("simple_returns", pick("rets", "panel_id symbol date", "pos", "ret", where="close IS NOT NULL"))
 def _(d):
-    return feat.simple_returns(panel.indexed(d.prices)).select("panel_id", "symbol", "date", "pos", "ret")
+    return feat.simple_returns(d.indexed).select("panel_id", "symbol", "date", "pos", "ret")
 
 
 @query("market_return", pick("mkt", "panel_id date", "", "market_return"))
 def _(d):
-    return feat.cross_section(panel.indexed(d.prices)).select("panel_id", "date", "market_return")
+    return feat.cross_section(d.indexed).select("panel_id", "date", "market_return")
 
 
 @query("breadth_dispersion", pick("mkt", "panel_id date", "", "breadth dispersion"))
 def _(d):
-    return feat.cross_section(panel.indexed(d.prices)).select("panel_id", "date", "breadth", "dispersion")
+    return feat.cross_section(d.indexed).select("panel_id", "date", "breadth", "dispersion")
 
 
 @query("realized_vol", pick("feat_raw", "panel_id date", "", "realized_vol"))
 def _(d):
-    return feat.market_windows(feat.cross_section(panel.indexed(d.prices))).select("panel_id", "date", "realized_vol")
+    return feat.market_windows(feat.cross_section(d.indexed)).select("panel_id", "date", "realized_vol")
 
 
 @query("trend_strength", pick("feat_raw", "panel_id date", "", "trend_strength"))
 def _(d):
-    return feat.market_windows(feat.cross_section(panel.indexed(d.prices))).select("panel_id", "date", "trend_strength")
+    return feat.market_windows(feat.cross_section(d.indexed)).select("panel_id", "date", "trend_strength")
 
 
 @query("feature_panel", pick("feats", "panel_id date", "pos", " ".join(FEATURES)))
@@ -384,7 +385,7 @@ def _(d):
 
 @query("market_index", pick("mkt", "panel_id date", "pos", "index_value"))
 def _(d):
-    return feat.market_index(panel.indexed(d.prices))
+    return feat.market_index(d.indexed)
 
 
 @query("risk_off_flag", pick("risk", "panel_id date risk_off", "pos", "index_value drawdown moving_average"))
@@ -513,7 +514,7 @@ def _(d):
 
 @query("hmm_fit")
 def _(d):
-    models = hmm.fit_models(d.features)
+    models = hmm.fit_models(hmm.training_jobs(d.features))
     return models.select("panel_id", "path_id", "refit_pos", "loglik", F.size("states").alias("n_states"))
 
 
@@ -530,6 +531,13 @@ def _(d):
     return reads.select("panel_id", "path_id", "date", "regime", "confidence")
 
 
+@query("latest_read")
+def _(d):
+    reads = regime.latest_reads(d.features).join(d.gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"])
+    named = regime.stance(F.col("regime"), F.col("risk_off"))
+    return reads.select("panel_id", "date", "regime", "confidence", "risk_off", named.alias("stance"))
+
+
 # --- strategies -------------------------------------------------------------
 
 
@@ -543,22 +551,22 @@ def _weights(df):
 
 @query("w_equal", _w("w_equal"))
 def _(d):
-    return _weights(weights.equal_weight(panel.indexed(d.prices)))
+    return _weights(weights.equal_weight(d.indexed))
 
 
 @query("w_momentum", _w("w_mom"))
 def _(d):
-    return _weights(weights.momentum(panel.indexed(d.prices), 30, 3))
+    return _weights(weights.momentum(d.indexed, 30, 3))
 
 
 @query("w_mean_reversion", _w("w_rev"))
 def _(d):
-    return _weights(weights.mean_reversion(panel.indexed(d.prices)))
+    return _weights(weights.mean_reversion(d.indexed))
 
 
 @query("w_defensive", _w("w_def"))
 def _(d):
-    return _weights(weights.defensive(panel.indexed(d.prices), STABLES))
+    return _weights(weights.defensive(d.indexed, STABLES))
 
 
 @query("w_volume_confirm", pick("vol_sig", "symbol date keep"))
@@ -574,7 +582,7 @@ def _(d):
 @query("w_confirmed_momentum", _w("w_conf"))
 def _(d):
     side = d.side_series
-    base = weights.momentum(panel.indexed(d.prices), 30, 3)
+    base = weights.momentum(d.indexed, 30, 3)
     return _weights(weights.confirmed(base, flows.select_series(side, "dexvol"), flows.select_series(side, "cexflow")))
 
 
@@ -612,7 +620,7 @@ def _(d):
 @query("net_returns_joined", sql(f"{_RET} WHERE config_id = 'momentum'"))
 def _(d):
     # The path for user-supplied weights that carry no forward return.
-    prices = panel.indexed(d.prices)
+    prices = d.indexed
     own = weights.momentum(prices, 30, 3).withColumn("config_id", F.lit("momentum")).drop("strategy")
     days = portfolio.spine(d.calendar, ["momentum"])
     return _returns(portfolio.daily_accounting(portfolio.with_forward_returns(own, prices), days))
@@ -674,7 +682,7 @@ _M = "total_return sharpe sortino max_drawdown"
 
 
 def _wf(d):
-    return windows.walk_forward_windows(d.windows_calendar, 6, 5)
+    return windows.walk_forward_windows(d.calendar, 6, 5)
 
 
 @query("window_metrics", pick("tests", "panel_id config_id test_start test_end", "window_id n_days", _M))
@@ -783,12 +791,68 @@ def _(d):
     return bootstrap.bootstrap_ci(d.daily, _BOOT)
 
 
-# --- change points ----------------------------------------------------------
+@query("oos_selected", sql("""SELECT s.panel_id, s.selected, o.n_obs, floor(1e6 * (o.sr) + 0.5e0) / 1e6 AS sr,
+    floor(1e6 * (b.lo) + 0.5e0) / 1e6 AS sharpe_lo, floor(1e6 * (b.hi) + 0.5e0) / 1e6 AS sharpe_hi
+    FROM (SELECT panel_id, chosen AS selected FROM (SELECT panel_id, chosen,
+            row_number() OVER (PARTITION BY panel_id ORDER BY count(*) DESC, chosen) AS rk FROM selection GROUP BY 1, 2) WHERE rk = 1) s
+    JOIN moments o ON o.panel_id = s.panel_id AND o.config_id = s.selected
+    JOIN (SELECT panel_id, config_id, quantile_cont(sharpe, 0.05) AS lo, quantile_cont(sharpe, 0.95) AS hi FROM boot GROUP BY 1, 2) b
+    ON b.panel_id = s.panel_id AND b.config_id = s.selected""", steps=_STEPS, boot_paths=_PATHS_SQL, boot=_BOOT_SQL))
+def _(d):
+    report = workflows.out_of_sample(d.daily, d.calendar, VARIANTS, n_boot=_BOOT)
+    dsr = report["deflated_sharpe"].withColumnRenamed("config_id", "selected")
+    ci = report["intervals"].withColumnRenamed("config_id", "selected")
+    joined = dsr.join(ci, ["panel_id", "selected"])
+    return joined.select("panel_id", "selected", "n_obs", "sr", "sharpe_lo", "sharpe_hi")
+
+
+# --- one wide panel: a name per part ----------------------------------------
 
 
-@query("bocpd")
+@query("scale_market", sql("""SELECT date, floor(1e6 * (avg(ret)) + 0.5e0) / 1e6 AS market_return,
+    floor(1e6 * (count(CASE WHEN cum > 0 THEN 1 END) / nullif(CAST(count(cum) AS DOUBLE), 0)) + 0.5e0) / 1e6 AS breadth,
+    floor(1e6 * (stddev_pop(cum)) + 0.5e0) / 1e6 AS dispersion FROM part_rets GROUP BY date"""))
 def _(d):
-    returns = feat.simple_returns(panel.indexed(d.prices)).filter(F.col("ret").isNotNull())
+    return feat.cross_section(d.part_panel).drop("panel_id", "pos")
+
+
+@query("scale_backtest", sql("""SELECT config_id, date, CASE WHEN pos > 0 THEN floor(1e6 * (turnover) + 0.5e0) / 1e6 END AS turnover,
+    CASE WHEN pos > 0 THEN floor(1e6 * ((gross - turnover * 15e0 / 1e4) * 1e4) + 0.5e0) / 1e6 END AS ret_bps FROM part_acct"""))
+def _(d):
+    p = d.part_panel
+    held = weights.momentum(p).unionByName(weights.equal_weight(p)).withColumnRenamed("strategy", "config_id")
+    days = p.groupBy("panel_id", "pos", "date").agg(F.count("*").alias("n"))
+    daily = portfolio.daily_accounting(held, portfolio.spine(days, ["momentum", "equal_weight"]))
+    return daily.select("config_id", "date", "turnover", (F.col("ret") * 1e4).alias("ret_bps"))
+
+
+# --- change points ----------------------------------------------------------
+
+
+_RUNS = """SELECT panel_id || '/' || symbol AS series_id, pos, ret AS x,
+    row_number() OVER (PARTITION BY panel_id, symbol ORDER BY pos) AS t FROM rets WHERE ret IS NOT NULL"""
+# One row per series, step and run length; the prior row restarts at every step.
+_BOCPD = """WITH RECURSIVE runs(series_id, t, run, mass, mu, beta) AS (
+    SELECT DISTINCT series_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1e0, 0e0, 1e0 FROM obs_x
+    UNION ALL
+    SELECT series_id, t + 1, CASE k WHEN 0 THEN 0 ELSE run + 1 END,
+        CASE WHEN total > 0 THEN CASE k WHEN 0 THEN 0.01e0 ELSE 0.99e0 * weighted / total END ELSE CASE k WHEN 0 THEN 1e0 ELSE 0e0 END END,
+        CASE k WHEN 0 THEN 0e0 ELSE ((1 + run) * mu + x) / (2 + run) END,
+        CASE k WHEN 0 THEN 1e0 ELSE beta + (1 + run) * (x - mu) * (x - mu) / (2 * (2 + run)) END
+    FROM (SELECT *, sum(weighted) OVER (PARTITION BY series_id) AS total FROM (
+        SELECT *, mass * exp(lgamma(a + 0.5e0) - lgamma(a) - 0.5e0 * ln(2 * pi() * a * s2)
+            - (a + 0.5e0) * ln(1 + (x - mu) * (x - mu) / (2 * a * s2))) AS weighted FROM (
+        SELECT r.*, o.x, 1 + run / 2e0 AS a, beta * (run + 2) / ((1 + run / 2e0) * (run + 1)) AS s2
+        FROM runs r JOIN obs_x o ON o.series_id = r.series_id AND o.t = r.t + 1))), (VALUES (0), (1)) AS v(k)
+    WHERE k = 1 OR run = 0)
+    SELECT r.series_id, CAST(o.pos AS BIGINT) AS pos, floor(1e6 * (sum(r.mass)) + 0.5e0) / 1e6 AS cp_prob
+    FROM runs r JOIN obs_x o ON o.series_id = r.series_id AND o.t = r.t WHERE r.run <= 1 GROUP BY 1, 2"""
+
+
+@query("bocpd", sql("SELECT * FROM obs_x", obs_x=_RUNS).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    " SELECT * FROM obs_x", _BOCPD.replace("WITH RECURSIVE", ",", 1)))
+def _(d):
+    returns = feat.simple_returns(d.indexed).filter(F.col("ret").isNotNull())
     series = returns.select(F.concat_ws("/", "panel_id", "symbol").alias("series_id"), "pos", F.col("ret").alias("x"))
     return changepoint.change_points(series)
 
@@ -798,7 +862,7 @@ def _(d):
 
 def _books(d):
     """Per panel: momentum book into the equal-weight book on the last decision date."""
-    p = panel.indexed(d.prices)
+    p = d.indexed
     last = F.col("pos") == F.col("n_dates") - 1
     now = weights.mean_reversion(p).join(p.select("panel_id", "n_dates").distinct(), "panel_id").filter(last)
     return now, weights.equal_weight(p.filter(last))
@@ -920,7 +984,7 @@ def _(d):
 
 @query("weight_lines_export", pick("routed", "panel_id config_id symbol", "", "w", where="config_id = 'gated'"))
 def _(d):
-    cal = d.panel.select("panel_id", "pos", "date").distinct()
+    cal = d.calendar.select("panel_id", "pos", "date")
     held = d.routed.filter("config_id = 'gated'")
     lines = export.weight_lines(held.drop("date").join(cal, ["panel_id", "pos"]))
     doc = F.from_json("document", "STRUCT<panel_id: STRING, config_id: STRING, symbol: STRING, weight: DOUBLE>")

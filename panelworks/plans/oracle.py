@@ -137,6 +137,32 @@ CTES = {
           SELECT 'cexflow', symbol, CAST(date_trunc('week', l_shipdate) AS DATE),
                  sum(CASE l_returnflag WHEN 'R' THEN l_quantity WHEN 'A' THEN -l_quantity ELSE 0 END)
           FROM ship GROUP BY ALL)""",
+    "part_prices": """
+        SELECT CAST(l_partkey AS VARCHAR) AS symbol, l_partkey AS ord, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+               CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 / sum(l_quantity) AS close
+        FROM lineitem GROUP BY ALL""",
+    "part_cal": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) AS n_names FROM part_prices GROUP BY date",
+    "part_dense": """
+        SELECT n.symbol, n.ord, c.pos, c.date, c.n_names, p.close FROM part_cal c
+        CROSS JOIN (SELECT DISTINCT symbol, ord FROM part_prices) n
+        LEFT JOIN part_prices p ON p.symbol = n.symbol AND p.date = c.date""",
+    "part_rets": """
+        SELECT *, close / lag(close, 1) OVER w - 1 AS ret, close / lag(close, 20) OVER w - 1 AS cum,
+               close / lag(close, 30) OVER w - 1 AS mom
+        FROM part_dense WINDOW w AS (PARTITION BY symbol ORDER BY pos)""",
+    "part_top": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY mom DESC, ord) AS rk
+                       FROM part_rets WHERE mom IS NOT NULL) WHERE rk <= 5 AND mom > 0""",
+    "part_w": """
+        SELECT 'momentum' AS config_id, pos, symbol, 1e0 / count(*) OVER (PARTITION BY pos) AS w FROM part_top
+        UNION ALL SELECT 'equal_weight', pos, symbol, 1e0 / n_names FROM part_dense WHERE close IS NOT NULL""",
+    "part_acct": """
+        SELECT c.config_id, r.pos, r.date, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS turnover,
+               sum(coalesce(a.w, 0) * coalesce(r.ret, 0)) AS gross
+        FROM part_rets r CROSS JOIN (VALUES ('momentum'), ('equal_weight')) AS c(config_id)
+        LEFT JOIN part_w a ON a.config_id = c.config_id AND a.symbol = r.symbol AND a.pos = r.pos - 1
+        LEFT JOIN part_w b ON b.config_id = c.config_id AND b.symbol = r.symbol AND b.pos = r.pos - 2
+        GROUP BY ALL""",
     "w_equal": "SELECT panel_id, pos, date, symbol, 1e0 / n_names AS w FROM dense WHERE close IS NOT NULL",
     "w_mom_top": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, pos ORDER BY mom DESC, ord) AS rk

@@ -63,11 +63,29 @@ class Inputs:
         brand = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
         return self.table("lineitem").join(brand, "l_partkey")
 
-    def _closes(self, rows: DataFrame, date, period) -> DataFrame:
-        # Cents and units are whole numbers, so sums are exact in any order.
-        sold = rows.groupBy("panel_id", "symbol", date.alias("date")).agg(
-            F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
-            F.sum("l_quantity").alias("units"),
+    @cached_property
+    def sales(self) -> DataFrame:
+        """Shipments rolled up to (brand, nation, day) before anything windows them.
+
+        Cents and units are whole numbers, so sums are exact in any order.
+        """
+        nation = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+        units = F.col("l_quantity")
+        flag = F.when(F.col("l_returnflag") == "R", units).when(F.col("l_returnflag") == "A", -units)
+        return (
+            self.shipments.join(nation, "l_suppkey")
+            .groupBy("symbol", "s_nationkey", F.to_date("l_shipdate").alias("day"))
+            .agg(
+                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+                F.sum("l_quantity").alias("units"),
+                F.sum(F.when(units >= 40, units)).alias("large_units"),
+                F.sum(F.coalesce(flag, F.lit(0.0))).alias("returned"),
+            )
+        )
+
+    def _closes(self, panel_id, date, period) -> DataFrame:
+        sold = self.sales.groupBy(panel_id.alias("panel_id"), "symbol", date.alias("date")).agg(
+            F.sum("cents").alias("cents"), F.sum("units").alias("units")
         )
         w = Window.partitionBy("panel_id", "symbol").orderBy("period").rangeBetween(-7, 0)
         return sold.withColumn("period", period).select(
@@ -80,24 +98,43 @@ class Inputs:
 
     @cached_property
     def brand_prices(self) -> DataFrame:
-        week = F.to_date(F.date_trunc("week", "l_shipdate"))
+        week = F.to_date(F.date_trunc("week", "day"))
         period = F.floor(F.date_diff("date", F.lit("1990-01-01").cast("date")) / 7).cast("int")
-        return self._closes(self.shipments.withColumn("panel_id", F.lit("brands")), week, period)
+        return self._closes(F.lit("brands"), week, period)
 
     @cached_property
     def nation_prices(self) -> DataFrame:
-        nation = self.table("supplier").select(
-            F.col("s_suppkey").alias("l_suppkey"),
-            F.concat(F.lit("nation_"), F.col("s_nationkey")).alias("panel_id"),
-        )
-        month = F.to_date(F.date_trunc("month", "l_shipdate"))
+        month = F.to_date(F.date_trunc("month", "day"))
         period = F.year("date") * 12 + F.month("date")
-        return self._closes(self.shipments.join(nation, "l_suppkey"), month, period)
+        return self._closes(F.concat(F.lit("nation_"), F.col("s_nationkey")), month, period)
 
     @cached_property
-    def prices(self) -> DataFrame:
+    def part_panel(self) -> DataFrame:
+        """One wide panel with a name per part and a row per week it was shipped."""
+        week = F.to_date(F.date_trunc("week", "l_shipdate"))
+        sold = self.table("lineitem").groupBy(F.col("l_partkey").alias("ord"), week.alias("date")).agg(
+            F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+            F.sum("l_quantity").alias("units"),
+        )
+        prices = materialize(sold.select(
+            F.lit("parts").alias("panel_id"),
+            F.col("ord").cast("string").alias("symbol"),
+            "ord",
+            "date",
+            (F.col("cents").cast("double") / 100.0 / F.col("units")).alias("close"),
+        ))
+        return materialize(feat.enriched(panel.indexed(prices)))
+
+    @cached_property
+    def lazy_prices(self) -> DataFrame:
         return self.brand_prices.unionByName(self.nation_prices)
 
+    @cached_property
+    def prices(self) -> DataFrame:
+        """All panels, written once: calendar and windows read the small table, not
+        the raw rows. Both panels reuse one shuffle of the daily roll-up."""
+        return materialize(self.lazy_prices)
+
     @cached_property
     def symbols(self) -> DataFrame:
         """Requested universe of every nation panel: brands 1 to 30, some never shipped."""
@@ -109,21 +146,26 @@ class Inputs:
         )
 
     @cached_property
-    def panel(self) -> DataFrame:
-        """Indexed panel with forward returns, written once: every strategy reads it."""
-        return materialize(feat.forward_returns(panel.indexed(self.prices)))
+    def calendar(self) -> DataFrame:
+        """Written, so that its true size decides how it is joined."""
+        return materialize(panel.calendar(self.prices))
 
     @cached_property
-    def calendar(self) -> DataFrame:
-        return panel.calendar(self.prices)
+    def indexed(self) -> DataFrame:
+        return panel.indexed(self.prices, self.calendar)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Indexed panel with every per-name window, written once for all strategies."""
+        return materialize(feat.enriched(self.indexed))
 
     @cached_property
     def features(self) -> DataFrame:
-        return feat.feature_panel(panel.indexed(self.prices))
+        return feat.feature_panel(self.indexed)
 
     @cached_property
     def gates(self) -> DataFrame:
-        return feat.risk_off(feat.market_index(panel.indexed(self.prices)))
+        return feat.risk_off(feat.market_index(self.indexed))
 
     def label(self, features: DataFrame) -> DataFrame:
         """Rule-based labels on two paths from row 30 on, using expanding means."""
@@ -148,14 +190,10 @@ class Inputs:
 
     @cached_property
     def side_series(self) -> DataFrame:
-        weekly = self.shipments.groupBy("symbol", F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
-            F.sum("l_quantity").alias("dexvol"),
-            F.sum(F.when(F.col("l_quantity") >= 40, F.col("l_quantity"))).alias("whaleflow"),
-            F.sum(
-                F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))
-                .when(F.col("l_returnflag") == "A", -F.col("l_quantity"))
-                .otherwise(0.0)
-            ).alias("cexflow"),
+        weekly = self.sales.groupBy("symbol", F.to_date(F.date_trunc("week", "day")).alias("date")).agg(
+            F.sum("units").alias("dexvol"),
+            F.sum("large_units").alias("whaleflow"),
+            F.sum("returned").alias("cexflow"),
         )
         return weekly.unpivot(
             ["symbol", "date"], ["dexvol", "whaleflow", "cexflow"], "kind", "value"
@@ -204,7 +242,7 @@ class Inputs:
     def strategies(self) -> dict[str, DataFrame]:
         p = self.panel
         mom = weights.momentum(p, 30, 3)
-        side = self.side_series
+        side = materialize(self.side_series)
         return {
             "equal_weight": weights.equal_weight(p),
             "momentum": mom,
@@ -230,8 +268,7 @@ class Inputs:
     @cached_property
     def active(self) -> DataFrame:
         gates = feat.risk_off(feat.market_index(self.panel))
-        cal = self.panel.select("panel_id", "pos", "date", "n_dates").distinct()
-        return weights.active_strategies(cal, self.panel_path, gates, CONFIGS)
+        return weights.active_strategies(self.calendar, self.panel_path, gates, CONFIGS)
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -240,14 +277,8 @@ class Inputs:
     @cached_property
     def daily(self) -> DataFrame:
         """Accounting of every configuration, written once: one row per panel date."""
-        cal = self.panel.select("panel_id", "pos", "date").distinct()
-        return materialize(portfolio.daily_accounting(self.routed, portfolio.spine(cal, CONFIG_IDS)))
-
-    @cached_property
-    def windows_calendar(self) -> DataFrame:
-        return self.daily.select("panel_id", "pos", "date").distinct().withColumn(
-            "n_dates", F.count("*").over(Window.partitionBy("panel_id")).cast("int")
-        )
+        days = portfolio.spine(self.calendar, CONFIG_IDS)
+        return materialize(portfolio.daily_accounting(self.routed, days))
 
     @cached_property
     def models(self) -> DataFrame:
