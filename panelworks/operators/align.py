@@ -29,28 +29,35 @@ def align_exact(
 
 
 def asof_rows(
-    spine: DataFrame, source: DataFrame, cols: list[str], source_by: tuple[str, ...] = ()
+    spine: DataFrame,
+    source: DataFrame,
+    cols: list[str],
+    source_by: tuple[str, ...] = (),
+    whole_row: bool = True,
 ) -> DataFrame:
     """Backward as-of join: each spine row receives the latest source row with
-    ``date`` at or before its own, whole (NULL cells stay NULL).
+    ``date`` at or before its own, whole (NULL cells stay NULL). With
+    ``whole_row=False`` each column takes its own latest non-NULL value, so several
+    sources can be stacked and matched in one pass.
 
     The match depends only on (key, date), so the spine is first reduced to its
     distinct dates per key. Those are interleaved with the source and the last
-    source row is carried along: a window group never exceeds two calendars, even
-    for a key shared by very many panels. The matches are then joined back.
+    source row is carried along: a window group never exceeds the calendars
+    involved, even for a key shared by very many panels. The matches are then
+    joined back.
     """
     keys = list(source_by)
-    dates = spine.select(*keys, "date").distinct()
-    left = dates.select(*keys, "date", F.lit(1).alias("side"))
-    right = source.select(*keys, "date", F.lit(0).alias("side"), F.struct(*cols).alias("hit"))
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_key", F.struct(F.lit(0), *keys))
-    w = Window.partitionBy("_key").orderBy("date", "side")
-    matched = (
-        both.withColumn("hit", F.last("hit", ignorenulls=True).over(so_far(w)))
-        .filter("side = 1")
-        .select(*keys, "date", *[F.col("hit")[c].alias(c) for c in cols])
-    )
-    return spine.join(matched, [*keys, "date"], "left")
+    dates = spine.select(*keys, "date").distinct().select(*keys, "date", F.lit(1).alias("side"))
+    hits = [F.struct(*cols).alias("hit")] if whole_row else list(cols)
+    both = dates.unionByName(
+        source.select(*keys, "date", F.lit(0).alias("side"), *hits), allowMissingColumns=True
+    ).withColumn("_key", F.struct(F.lit(0), *keys))
+    frame = so_far(Window.partitionBy("_key").orderBy("date", "side"))
+    carried = both.withColumns(
+        {c: F.last(c, ignorenulls=True).over(frame) for c in (["hit"] if whole_row else cols)}
+    ).filter("side = 1")
+    found = [F.col("hit")[c].alias(c) for c in cols] if whole_row else cols
+    return spine.join(carried.select(*keys, "date", *found), [*keys, "date"], "left")
 
 
 def align_asof(

@@ -50,15 +50,20 @@ def enriched(prices: DataFrame, lags: tuple[int, ...] = (1, 10, 20, 30)) -> Data
     return forward_returns(prices.withColumns({**columns, "rebased": _rebased(prices)}))
 
 
-def cross_section(prices: DataFrame, breadth_window: int = 20) -> DataFrame:
-    """Per date: equal-weight market return, breadth and dispersion."""
+def market_daily(prices: DataFrame, breadth_window: int = 20) -> DataFrame:
+    """Everything market-wide in one partial aggregation to (panel, date).
+
+    Equal-weight market return, breadth, dispersion, and the equal-weight index:
+    each name over its first price, averaged over the names priced that day.
+    """
     names = prices.withColumns(
-        {"ret": trailing_return(prices, 1), "cum": trailing_return(prices, breadth_window)}
+        {"ret": trailing_return(prices, 1), "cum": trailing_return(prices, breadth_window), "base": _rebased(prices)}
     )
     return names.groupBy("panel_id", "pos", "date").agg(
         F.avg("ret").alias("market_return"),
         ratio(F.count_if(F.col("cum") > 0).cast("double"), F.count("cum").cast("double")).alias("breadth"),
         F.stddev_pop("cum").alias("dispersion"),
+        F.avg("base").alias("index_value"),
     )
 
 
@@ -84,15 +89,14 @@ def market_windows(daily: DataFrame, vol_window: int = 20, trend_window: int = 2
     )
 
 
-def feature_panel(
-    prices: DataFrame, vol_window: int = 20, trend_window: int = 20, breadth_window: int = 20
-) -> DataFrame:
-    """The four features per date, carried forward and then zero-filled.
+def feature_panel(daily: DataFrame, vol_window: int = 20, trend_window: int = 20) -> DataFrame:
+    """The four features per date of a market table, carried forward, then zero-filled.
 
     Warm-up rows stay: trend strength is 0 there, so no row is entirely missing.
     """
-    raw = market_windows(cross_section(prices, breadth_window), vol_window, trend_window)
-    return fill_features(raw, FEATURES).select("panel_id", "pos", "date", *FEATURES)
+    return fill_features(market_windows(daily, vol_window, trend_window), FEATURES).select(
+        "panel_id", "pos", "date", *FEATURES
+    )
 
 
 def fill_features(df: DataFrame, cols) -> DataFrame:
@@ -100,20 +104,14 @@ def fill_features(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.coalesce(carry_forward(c, by_panel()), F.lit(0.0)) for c in cols})
 
 
-def market_index(prices: DataFrame) -> DataFrame:
-    """Equal-weight index: each name over its first price, averaged over names priced."""
-    based = prices.withColumn("rebased", _rebased(prices))
-    return based.groupBy("panel_id", "pos", "date").agg(F.avg("rebased").alias("index_value"))
-
-
-def risk_off(index: DataFrame, ma_window: int = 50, dd_threshold: float = 0.10) -> DataFrame:
+def risk_off(daily: DataFrame, ma_window: int = 50, dd_threshold: float = 0.10) -> DataFrame:
     """Drawdown, moving average and the risk-off flag for every date at once.
 
     Risk-off means strictly more than ``dd_threshold`` below the running peak, or
     strictly below the mean of the last ``ma_window`` observations once that many
     exist. Dates without an index value do not count as observations.
     """
-    seen = index.filter(F.col("index_value").isNotNull())
+    seen = daily.select("panel_id", "pos", "date", "index_value").filter(F.col("index_value").isNotNull())
     obs = F.count("index_value").over(so_far(by_panel()))
     ma = F.when(obs >= ma_window, F.avg("index_value").over(trailing(by_panel(), ma_window)))
     return seen.withColumns(

@@ -108,12 +108,17 @@ def confirmed(
     """
     if volume is None and inflow is None:
         return base.withColumn("strategy", F.lit(strategy))
-    held = base.filter(F.col("w") > 0)
+    sides = []
     if volume is not None:
-        held = asof_rows(held, volume_signal(volume, window), ["keep"], ("symbol",))
-        held = held.filter(F.coalesce("keep", F.lit(True)))
+        sides.append(volume_signal(volume, window))
     if inflow is not None:
-        held = asof_rows(held, inflow_signal(inflow, window, threshold), ["veto"], ("symbol",))
+        sides.append(inflow_signal(inflow, window, threshold))
+    signals = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1], allowMissingColumns=True)
+    flags = signals.columns[2:]
+    held = asof_rows(base.filter(F.col("w") > 0), signals, flags, ("symbol",), whole_row=False)
+    if "keep" in flags:
+        held = held.filter(F.coalesce("keep", F.lit(True)))
+    if "veto" in flags:
         held = held.filter(~F.coalesce("veto", F.lit(False)))
     # Counted by aggregation rather than a window: the base may hold any number of names.
     count = held.groupBy("panel_id", "pos").agg(F.count("*").alias("held"))

@@ -360,22 +360,22 @@ def _(d):
 
 @query("market_return", pick("mkt", "panel_id date", "", "market_return"))
 def _(d):
-    return feat.cross_section(d.indexed).select("panel_id", "date", "market_return")
+    return d.market.select("panel_id", "date", "market_return")
 
 
 @query("breadth_dispersion", pick("mkt", "panel_id date", "", "breadth dispersion"))
 def _(d):
-    return feat.cross_section(d.indexed).select("panel_id", "date", "breadth", "dispersion")
+    return d.market.select("panel_id", "date", "breadth", "dispersion")
 
 
 @query("realized_vol", pick("feat_raw", "panel_id date", "", "realized_vol"))
 def _(d):
-    return feat.market_windows(feat.cross_section(d.indexed)).select("panel_id", "date", "realized_vol")
+    return feat.market_windows(d.market).select("panel_id", "date", "realized_vol")
 
 
 @query("trend_strength", pick("feat_raw", "panel_id date", "", "trend_strength"))
 def _(d):
-    return feat.market_windows(feat.cross_section(d.indexed)).select("panel_id", "date", "trend_strength")
+    return feat.market_windows(d.market).select("panel_id", "date", "trend_strength")
 
 
 @query("feature_panel", pick("feats", "panel_id date", "pos", " ".join(FEATURES)))
@@ -385,7 +385,7 @@ def _(d):
 
 @query("market_index", pick("mkt", "panel_id date", "pos", "index_value"))
 def _(d):
-    return feat.market_index(d.indexed)
+    return d.market.select("panel_id", "date", "pos", "index_value")
 
 
 @query("risk_off_flag", pick("risk", "panel_id date risk_off", "pos", "index_value drawdown moving_average"))
@@ -813,7 +813,7 @@ def _(d):
     floor(1e6 * (count(CASE WHEN cum > 0 THEN 1 END) / nullif(CAST(count(cum) AS DOUBLE), 0)) + 0.5e0) / 1e6 AS breadth,
     floor(1e6 * (stddev_pop(cum)) + 0.5e0) / 1e6 AS dispersion FROM part_rets GROUP BY date"""))
 def _(d):
-    return feat.cross_section(d.part_panel).drop("panel_id", "pos")
+    return feat.market_daily(d.part_panel).drop("panel_id", "pos", "index_value")
 
 
 @query("scale_backtest", sql("""SELECT config_id, date, CASE WHEN pos > 0 THEN floor(1e6 * (turnover) + 0.5e0) / 1e6 END AS turnover,

@@ -65,30 +65,49 @@ class Inputs:
 
     @cached_property
     def sales(self) -> DataFrame:
-        """Shipments rolled up to (brand, nation, day) before anything windows them.
+        """Shipments rolled up by (brand, week) and by (brand, nation, month).
 
-        Cents and units are whole numbers, so sums are exact in any order.
+        Both groupings come from one scan and are combined map-side, so the raw rows
+        are read and shuffled as partial sums once. Cents and units are whole
+        numbers: their sums are exact in any order.
         """
         nation = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         units = F.col("l_quantity")
         flag = F.when(F.col("l_returnflag") == "R", units).when(F.col("l_returnflag") == "A", -units)
-        return (
-            self.shipments.join(nation, "l_suppkey")
-            .groupBy("symbol", "s_nationkey", F.to_date("l_shipdate").alias("day"))
-            .agg(
-                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
-                F.sum("l_quantity").alias("units"),
-                F.sum(F.when(units >= 40, units)).alias("large_units"),
-                F.sum(F.coalesce(flag, F.lit(0.0))).alias("returned"),
-            )
+        rows = self.shipments.join(nation, "l_suppkey").select(
+            "symbol",
+            F.col("s_nationkey").alias("nation"),
+            F.trunc(F.to_date("l_shipdate"), "week").alias("week"),
+            F.trunc(F.to_date("l_shipdate"), "month").alias("month"),
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+            units.alias("units"),
+            F.when(units >= 40, units).alias("large"),
+            F.coalesce(flag, F.lit(0.0)).alias("returned"),
         )
-
-    def _closes(self, panel_id, date, period) -> DataFrame:
-        sold = self.sales.groupBy(panel_id.alias("panel_id"), "symbol", date.alias("date")).agg(
-            F.sum("cents").alias("cents"), F.sum("units").alias("units")
+        sets = [["symbol", "week"], ["symbol", "nation", "month"]]
+        return rows.groupingSets(sets, "symbol", "nation", "week", "month").agg(
+            *[F.sum(c).alias(c) for c in ("cents", "units", "large", "returned")]
         )
+
+    @cached_property
+    def stored_sales(self) -> DataFrame:
+        return materialize(self.sales)
+
+    @staticmethod
+    def closes(sales: DataFrame) -> DataFrame:
+        """Price per unit over the last eight periods, per panel and brand."""
+        weekly = F.col("week").isNotNull()
+        week = F.floor(F.date_diff("week", F.lit("1990-01-01").cast("date")) / 7).cast("int")
+        month = F.year("month") * 12 + F.month("month")
         w = Window.partitionBy("panel_id", "symbol").orderBy("period").rangeBetween(-7, 0)
-        return sold.withColumn("period", period).select(
+        return sales.select(
+            F.when(weekly, "brands").otherwise(F.concat(F.lit("nation_"), F.col("nation"))).alias("panel_id"),
+            "symbol",
+            F.coalesce("week", "month").alias("date"),
+            F.when(weekly, week).otherwise(month).alias("period"),
+            "cents",
+            "units",
+        ).select(
             "panel_id",
             "symbol",
             F.substring("symbol", 7, 9).cast("int").alias("ord"),
@@ -97,21 +116,22 @@ class Inputs:
         )
 
     @cached_property
-    def brand_prices(self) -> DataFrame:
-        week = F.to_date(F.date_trunc("week", "day"))
-        period = F.floor(F.date_diff("date", F.lit("1990-01-01").cast("date")) / 7).cast("int")
-        return self._closes(F.lit("brands"), week, period)
+    def lazy_prices(self) -> DataFrame:
+        return self.closes(self.sales)
 
     @cached_property
     def nation_prices(self) -> DataFrame:
-        month = F.to_date(F.date_trunc("month", "day"))
-        period = F.year("date") * 12 + F.month("date")
-        return self._closes(F.concat(F.lit("nation_"), F.col("s_nationkey")), month, period)
+        return self.closes(self.sales.filter(F.col("month").isNotNull()))
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        """All panels, written once: calendar and windows read the small table."""
+        return materialize(self.closes(self.stored_sales))
 
     @cached_property
     def part_panel(self) -> DataFrame:
         """One wide panel with a name per part and a row per week it was shipped."""
-        week = F.to_date(F.date_trunc("week", "l_shipdate"))
+        week = F.trunc(F.to_date("l_shipdate"), "week")
         sold = self.table("lineitem").groupBy(F.col("l_partkey").alias("ord"), week.alias("date")).agg(
             F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
             F.sum("l_quantity").alias("units"),
@@ -125,16 +145,6 @@ class Inputs:
         ))
         return materialize(feat.enriched(panel.indexed(prices)))
 
-    @cached_property
-    def lazy_prices(self) -> DataFrame:
-        return self.brand_prices.unionByName(self.nation_prices)
-
-    @cached_property
-    def prices(self) -> DataFrame:
-        """All panels, written once: calendar and windows read the small table, not
-        the raw rows. Both panels reuse one shuffle of the daily roll-up."""
-        return materialize(self.lazy_prices)
-
     @cached_property
     def symbols(self) -> DataFrame:
         """Requested universe of every nation panel: brands 1 to 30, some never shipped."""
@@ -159,13 +169,17 @@ class Inputs:
         """Indexed panel with every per-name window, written once for all strategies."""
         return materialize(feat.enriched(self.indexed))
 
+    @cached_property
+    def market(self) -> DataFrame:
+        return feat.market_daily(self.indexed)
+
     @cached_property
     def features(self) -> DataFrame:
-        return feat.feature_panel(self.indexed)
+        return feat.feature_panel(self.market)
 
     @cached_property
     def gates(self) -> DataFrame:
-        return feat.risk_off(feat.market_index(self.indexed))
+        return feat.risk_off(self.market)
 
     def label(self, features: DataFrame) -> DataFrame:
         """Rule-based labels on two paths from row 30 on, using expanding means."""
@@ -190,10 +204,12 @@ class Inputs:
 
     @cached_property
     def side_series(self) -> DataFrame:
-        weekly = self.sales.groupBy("symbol", F.to_date(F.date_trunc("week", "day")).alias("date")).agg(
-            F.sum("units").alias("dexvol"),
-            F.sum("large_units").alias("whaleflow"),
-            F.sum("returned").alias("cexflow"),
+        weekly = self.stored_sales.filter(F.col("week").isNotNull()).select(
+            "symbol",
+            F.col("week").alias("date"),
+            F.col("units").alias("dexvol"),
+            F.col("large").alias("whaleflow"),
+            F.col("returned").alias("cexflow"),
         )
         return weekly.unpivot(
             ["symbol", "date"], ["dexvol", "whaleflow", "cexflow"], "kind", "value"
@@ -242,7 +258,7 @@ class Inputs:
     def strategies(self) -> dict[str, DataFrame]:
         p = self.panel
         mom = weights.momentum(p, 30, 3)
-        side = materialize(self.side_series)
+        side = self.side_series
         return {
             "equal_weight": weights.equal_weight(p),
             "momentum": mom,
@@ -261,14 +277,19 @@ class Inputs:
             out = out.unionByName(f)
         return out
 
+    @cached_property
+    def panel_market(self) -> DataFrame:
+        return materialize(feat.market_daily(self.panel))
+
     @cached_property
     def panel_path(self) -> DataFrame:
-        return self.label(feat.feature_panel(self.panel))
+        return self.label(feat.feature_panel(self.panel_market))
 
     @cached_property
     def active(self) -> DataFrame:
-        gates = feat.risk_off(feat.market_index(self.panel))
-        return weights.active_strategies(self.calendar, self.panel_path, gates, CONFIGS)
+        return weights.active_strategies(
+            self.calendar, self.panel_path, feat.risk_off(self.panel_market), CONFIGS
+        )
 
     @cached_property
     def routed(self) -> DataFrame:

@@ -32,9 +32,10 @@ def strategy_comparison(
     prices = materialize(prices)
     cal = materialize(panel.calendar(prices))
     enriched = materialize(features.enriched(panel.indexed(prices, cal)))
+    market = materialize(features.market_daily(enriched))
     if path is None:
-        path = materialize(regime.regime_reads(features.feature_panel(enriched)))
-    gates = features.risk_off(features.market_index(enriched))
+        path = materialize(regime.regime_reads(features.feature_panel(market)))
+    gates = features.risk_off(market)
     held = (
         weights.equal_weight(enriched)
         .unionByName(weights.momentum(enriched, 30, top_n))
@@ -66,11 +67,12 @@ def latest_read(
     ``extra(date, <extra_cols>)`` is joined as of each date before training.
     """
     indexed = panel.indexed(materialize(prices))
-    frame = features.feature_panel(indexed)
+    market = materialize(features.market_daily(indexed))
+    frame = features.feature_panel(market)
     cols = (*FEATURES, *extra_cols)
     if extra is not None:
         frame = align_asof(frame, extra, list(extra_cols), ["panel_id"])
-    gates = features.risk_off(features.market_index(indexed)).select("panel_id", "pos", "risk_off")
+    gates = features.risk_off(market).select("panel_id", "pos", "risk_off")
     reads = regime.latest_reads(frame, cols=cols, **fit).join(gates, ["panel_id", "pos"])
     return reads.withColumn("stance", regime.stance(F.col("regime"), F.col("risk_off")))
 
