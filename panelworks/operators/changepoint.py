@@ -53,8 +53,10 @@ def short_run_mass(x, hazard, mu0, kappa0, alpha0, beta0) -> np.ndarray:
     for t, value in enumerate(x):
         k, a = kappa[: t + 1], alpha[: t + 1]
         scale2 = beta * (k + 1) / (a * k)
-        gap2 = (value - mu) ** 2
-        predictive = np.exp(const[: t + 1] - 0.5 * np.log(scale2) - (a + 0.5) * np.log1p(gap2 / (2 * a * scale2)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap2 = (value - mu) ** 2
+            tail = np.log1p(gap2 / (2 * a * scale2))
+            predictive = np.exp(const[: t + 1] - 0.5 * np.log(scale2) - (a + 0.5) * tail)
         weighted = mass * predictive
         mass = np.concatenate(([hazard * weighted.sum()], (1 - hazard) * weighted))
         total = mass.sum()

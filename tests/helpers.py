@@ -36,7 +36,7 @@ def labels(spark, seq, path_id="a"):
 
 
 def returns(spark, configs: dict[str, list]):
-    rows = [("p", c, i, day(i), v) for c, values in configs.items() for i, v in enumerate(values)]
+    rows = [("p", c, i, day(i), None if v is None else float(v)) for c, values in configs.items() for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "panel_id string, config_id string, pos int, date date, ret double")
 
 
