@@ -70,13 +70,20 @@ def exchange_flow(
 
 
 def bars_from_ticks(ticks: DataFrame) -> DataFrame:
-    """Daily open/high/low/close/volume; ``seq`` orders ticks sharing a timestamp."""
-    when = F.struct("ts", "seq")
-    return ticks.groupBy("symbol", F.to_date("ts").alias("date")).agg(
-        F.min_by("price", when).alias("open"),
+    """Daily open/high/low/close/volume; ``seq`` orders ticks sharing a timestamp.
+
+    The order is packed into one decimal (16 digits of microseconds, 22 of ``seq``):
+    a struct cannot live in a hash aggregation buffer and would sort all ticks.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(16,0)")
+    shift = F.lit("1" + "0" * 22).cast("decimal(23,0)")
+    when = (micros * shift + F.col("seq").cast("decimal(22,0)")).cast("decimal(38,0)")
+    placed = ticks.select("symbol", F.to_date("ts").alias("date"), "price", "qty", when.alias("at"))
+    return placed.groupBy("symbol", "date").agg(
+        F.min_by("price", "at").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", when).alias("close"),
+        F.max_by("price", "at").alias("close"),
         F.sum("qty").alias("volume"),
     )
 

@@ -104,6 +104,12 @@ def panel_guard(prices: DataFrame) -> DataFrame:
     return shape.withColumn("accepted", (F.col("n_dates") >= 2) & (F.col("n_symbols") >= 1))
 
 
+def usable(prices: DataFrame) -> DataFrame:
+    """Prices of the panels that pass the guard; the rest are listed by it."""
+    good = panel_guard(prices).filter("accepted").select("panel_id")
+    return prices.join(good, "panel_id", "left_semi")
+
+
 def coverage(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Per key and column: non-NULL rows, non-zero rows and whether any is non-zero."""
     aggs = []

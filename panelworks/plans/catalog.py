@@ -174,10 +174,11 @@ def _(d):
     return flows.exchange_flow(d.transfers, d.wallets)
 
 
-@query("wallet_dim", sql("SELECT DISTINCT address FROM wallets"))
+@query("wallet_dim", sql("""SELECT sender AS address FROM transfers WHERE amount >= 300
+    UNION SELECT receiver FROM transfers WHERE amount >= 300"""))
 def _(d):
-    grouped = d.wallets.groupBy((F.col("address") % 4).alias("exchange")).agg(F.collect_set("address").alias("addresses"))
-    return dims.wallet_addresses(grouped)
+    listed = d.transfers.filter("amount >= 300").select(F.array("sender", "receiver").alias("addresses"))
+    return dims.wallet_addresses(listed)
 
 
 @query("universe_dim", sql("SELECT p_brand AS symbol, min(p_partkey) AS ord FROM part GROUP BY 1"))
@@ -301,19 +302,20 @@ def _(d):
     return payloads.candles(rows.select("symbol", F.to_json(doc).alias("body")))
 
 
-@query("top_pool", sql("""SELECT token, pool_address, floor(1e6 * (reserve_usd) + 0.5e0) / 1e6 AS reserve_usd, floor(1e6 * (volume_24h) + 0.5e0) / 1e6 AS volume_24h FROM (
-    SELECT token, CAST(sender AS VARCHAR) AS pool_address, CASE WHEN sender % 10 = 3 THEN 0e0 ELSE s END AS reserve_usd, n AS volume_24h,
-           row_number() OVER (PARTITION BY token ORDER BY CASE WHEN sender % 10 = 3 THEN 0e0 ELSE s END DESC, sender) AS rk
-    FROM (SELECT token, sender, CAST(sum(CAST(round(amount * 100) AS BIGINT)) // 10000 AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n
+@query("top_pool", sql("""SELECT token, pool_address, reserve_usd, volume_24h FROM (
+    SELECT token, CAST(h AS VARCHAR) AS pool_address, CASE WHEN h % 10 = 3 THEN 0e0 ELSE s END AS reserve_usd, n AS volume_24h,
+           row_number() OVER (PARTITION BY token ORDER BY CASE WHEN h % 10 = 3 THEN 0e0 ELSE s END DESC, h) AS rk
+    FROM (SELECT token, hour(ts) AS h, CAST(sum(CAST(round(amount * 100) AS BIGINT)) // 100000 AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n
           FROM transfers GROUP BY 1, 2)) WHERE rk = 1"""))
 def _(d):
-    sums = d.transfers.groupBy("token", "sender").agg(
-        F.floor(F.sum(F.round(F.col("amount") * 100).cast("bigint")) / 10000).alias("s"), F.count("*").alias("n")
+    # One pool per token and hour of day; some report a reserve that is not a number.
+    sums = d.transfers.groupBy("token", F.hour("ts").alias("h")).agg(
+        F.floor(F.sum(F.round(F.col("amount") * 100).cast("bigint")) / 100000).alias("s"), F.count("*").alias("n")
     )
-    reserve = F.when(F.col("sender") % 10 == 3, "n/a").otherwise(F.col("s").cast("string"))
-    listed = F.array_sort(F.collect_list(F.struct("sender", reserve.alias("reserve"), F.col("n").cast("string").alias("n"))))
+    reserve = F.when(F.col("h") % 10 == 3, "n/a").otherwise(F.col("s").cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct("h", reserve.alias("reserve"), F.col("n").cast("string").alias("n"))))
     pool = lambda p: F.struct(
-        F.concat(F.lit("bsc_"), p["sender"]).alias("id"),
+        F.concat(F.lit("bsc_"), p["h"]).alias("id"),
         F.struct(p["reserve"].alias("reserve_in_usd"), F.create_map(F.lit("h24"), p["n"]).alias("volume_usd")).alias("attributes"),
     )
     rows = sums.groupBy("token").agg(F.transform(listed, pool).alias("data"))
@@ -687,7 +689,7 @@ def _wf(d):
 
 @query("window_metrics", pick("tests", "panel_id config_id test_start test_end", "window_id n_days", _M))
 def _(d):
-    return validation.evaluate_windows(d.daily, _wf(d))
+    return validation.evaluate_windows(d.stored_daily, _wf(d))
 
 
 @query("train_scores", sql("""SELECT panel_id, config_id, CAST(window_id AS BIGINT) AS window_id, floor(1e6 * (sharpe) + 0.5e0) / 1e6 AS score
@@ -698,19 +700,19 @@ def _(d):
 
 @query("select_config", pick("selection", "panel_id chosen", "window_id n_days", _M))
 def _(d):
-    return validation.select_config(d.daily, _wf(d), VARIANTS)
+    return validation.select_config(d.stored_daily, _wf(d), VARIANTS)
 
 
 @query("oos_aggregate", sql(f"""SELECT panel_id, {', '.join(
     f"floor(1e6 * (avg({m})) + 0.5e0) / 1e6 AS {m}, floor(1e6 * (median({m})) + 0.5e0) / 1e6 AS {m}_median" for m in _M.split())},
     CAST(4 AS BIGINT) AS n_trials FROM selection GROUP BY 1"""))
 def _(d):
-    return validation.oos_aggregate(validation.select_config(d.daily, _wf(d), VARIANTS), len(VARIANTS))
+    return validation.oos_aggregate(validation.select_config(d.stored_daily, _wf(d), VARIANTS), len(VARIANTS))
 
 
 @query("per_config_oos", pick("oos", "panel_id config_id", "", "mean_sharpe mean_total_return mean_max_drawdown"))
 def _(d):
-    return validation.per_config_oos(validation.evaluate_windows(d.daily, _wf(d)))
+    return validation.per_config_oos(validation.evaluate_windows(d.stored_daily, _wf(d)))
 
 
 @query("modal_variant", sql("""SELECT panel_id, coalesce(chosen, 'gated') AS selected FROM
@@ -718,7 +720,7 @@ def _(d):
       SELECT * FROM (SELECT panel_id, chosen, row_number() OVER (PARTITION BY panel_id ORDER BY count(*) DESC, chosen) AS rk
       FROM selection GROUP BY 1, 2) WHERE rk = 1) USING (panel_id)"""))
 def _(d):
-    return validation.modal_variant(validation.select_config(d.daily, _wf(d), VARIANTS), d.daily, VARIANTS[0])
+    return validation.modal_variant(validation.select_config(d.stored_daily, _wf(d), VARIANTS), d.stored_daily, VARIANTS[0])
 
 
 @query("return_moments", pick("moments", "panel_id config_id", "n_obs", "sr skew kurt"))
@@ -744,7 +746,7 @@ _Q1, _Q2 = 0.6744897501960817, 1.3287219496247633
               FROM moments m JOIN srvar v ON v.panel_id = m.panel_id
               WHERE m.config_id IN ('gated', 'confirm2', 'confirm3', 'ungated'))))"""))
 def _(d):
-    return validation.deflated_sharpe(d.daily, VARIANTS).select("panel_id", "config_id", "n_obs", "n_trials", "benchmark", "dsr")
+    return validation.deflated_sharpe(d.stored_daily, VARIANTS).select("panel_id", "config_id", "n_obs", "n_trials", "benchmark", "dsr")
 
 
 _BOOT = 100
@@ -763,20 +765,20 @@ _BOOT_SQL = """SELECT panel_id, config_id, b,
 @query("bootstrap_paths", sql("""SELECT panel_id, config_id, b, j, floor(1e6 * (ret) + 0.5e0) / 1e6 AS ret FROM boot_paths
     WHERE config_id IN ('gated', 'equal_weight')""", steps=_STEPS, boot_paths=_PATHS_SQL))
 def _(d):
-    two = d.daily.filter(F.col("config_id").isin("gated", "equal_weight"))
+    two = d.stored_daily.filter(F.col("config_id").isin("gated", "equal_weight"))
     return bootstrap.bootstrap_paths(two, _BOOT)
 
 
 @query("bootstrap_metrics", sql("""SELECT panel_id, config_id, b, floor(1e6 * (sharpe) + 0.5e0) / 1e6 AS sharpe,
     floor(1e6 * (total_return) + 0.5e0) / 1e6 AS total_return FROM boot""", steps=_STEPS, boot_paths=_PATHS_SQL, boot=_BOOT_SQL))
 def _(d):
-    return bootstrap.bootstrap_metrics(d.daily, _BOOT)
+    return bootstrap.bootstrap_metrics(d.stored_daily, _BOOT)
 
 
 @query("bootstrap_custom_metric", sql("""SELECT panel_id, config_id, b, floor(1e6 * (sum(abs(ret))) + 0.5e0) / 1e6 AS metric FROM boot_paths
     WHERE config_id = 'equal_weight' GROUP BY 1, 2, 3""", steps=_STEPS, boot_paths=_PATHS_SQL))
 def _(d):
-    one = d.daily.filter("config_id = 'equal_weight'")
+    one = d.stored_daily.filter("config_id = 'equal_weight'")
     return bootstrap.path_metric(bootstrap.bootstrap_paths(one, _BOOT), F.sum(F.abs("ret")))
 
 
@@ -788,7 +790,7 @@ def _(d):
       floor(1e6 * (product(1 + ret) - 1) + 0.5e0) / 1e6 AS total_return FROM obs GROUP BY 1, 2) p USING (panel_id, config_id)
     GROUP BY 1, 2, 3, 4""", steps=_STEPS, boot_paths=_PATHS_SQL, boot=_BOOT_SQL))
 def _(d):
-    return bootstrap.bootstrap_ci(d.daily, _BOOT)
+    return bootstrap.bootstrap_ci(d.stored_daily, _BOOT)
 
 
 @query("oos_selected", sql("""SELECT s.panel_id, s.selected, o.n_obs, floor(1e6 * (o.sr) + 0.5e0) / 1e6 AS sr,
@@ -799,7 +801,7 @@ def _(d):
     JOIN (SELECT panel_id, config_id, quantile_cont(sharpe, 0.05) AS lo, quantile_cont(sharpe, 0.95) AS hi FROM boot GROUP BY 1, 2) b
     ON b.panel_id = s.panel_id AND b.config_id = s.selected""", steps=_STEPS, boot_paths=_PATHS_SQL, boot=_BOOT_SQL))
 def _(d):
-    report = workflows.out_of_sample(d.daily, d.calendar, VARIANTS, n_boot=_BOOT)
+    report = workflows.out_of_sample(d.stored_daily, d.calendar, VARIANTS, n_boot=_BOOT)
     dsr = report["deflated_sharpe"].withColumnRenamed("config_id", "selected")
     ci = report["intervals"].withColumnRenamed("config_id", "selected")
     joined = dsr.join(ci, ["panel_id", "selected"])
@@ -940,7 +942,7 @@ def _(d):
     floor(1e6 * (o.mean_sharpe - m.mean_sharpe) + 0.5e0) / 1e6 AS sharpe_edge
     FROM oos o LEFT JOIN oos m ON m.panel_id = o.panel_id AND m.config_id = 'equal_weight'"""))
 def _(d):
-    return report.drawdown_breaches(validation.per_config_oos(validation.evaluate_windows(d.daily, _wf(d))))
+    return report.drawdown_breaches(validation.per_config_oos(validation.evaluate_windows(d.stored_daily, _wf(d))))
 
 
 @query("read_json_export", sql(f"""SELECT b.panel_id, b.date, b.regime, floor(1e6 * (b.prob) + 0.5e0) / 1e6 AS confidence, r.risk_off,
@@ -969,7 +971,7 @@ def _(d):
     meta = d.panel.groupBy("panel_id").agg(
         F.count_distinct("symbol").alias("n_assets"), F.lit(10.0).alias("fee_bps"), F.lit(5.0).alias("slippage_bps")
     )
-    docs = export.result_documents(d.daily, portfolio.metrics(d.daily), meta)
+    docs = export.result_documents(d.stored_daily, portfolio.metrics(d.stored_daily), meta)
     curve = "ARRAY<STRUCT<date: DATE, value: DOUBLE>>"
     doc = F.from_json("document", f"STRUCT<metrics: MAP<STRING, DOUBLE>, equity: {curve}, returns: {curve}>")
     parsed = docs.withColumn("x", doc)
@@ -982,6 +984,15 @@ def _(d):
     )
 
 
+@query("selection_json_export", pick("selection", "panel_id chosen", "window_id n_days", _M))
+def _(d):
+    chosen = validation.select_config(d.stored_daily, _wf(d), VARIANTS)
+    docs = export.table_document(chosen, ["panel_id"], ["window_id"], "per_window")
+    row = f"STRUCT<window_id: INT, chosen: STRING, n_days: BIGINT, {', '.join(f'{m}: DOUBLE' for m in _M.split())}>"
+    parsed = F.from_json("document", f"STRUCT<per_window: ARRAY<{row}>>")["per_window"]
+    return docs.select("panel_id", F.inline(parsed))
+
+
 @query("weight_lines_export", pick("routed", "panel_id config_id symbol", "", "w", where="config_id = 'gated'"))
 def _(d):
     cal = d.calendar.select("panel_id", "pos", "date")

@@ -294,7 +294,7 @@ CTES = {
         LEFT JOIN win_metrics m ON m.panel_id = c.panel_id AND m.config_id = c.config_id
           AND m.window_id = b.window_id AND m.role = 'test'""",
     "ranked_train": """
-        SELECT m.*, row_number() OVER (PARTITION BY m.panel_id, m.window_id ORDER BY m.sharpe DESC, c.config_ord) AS rk
+        SELECT m.*, row_number() OVER (PARTITION BY m.panel_id, m.window_id ORDER BY round(m.sharpe, 10) DESC, c.config_ord) AS rk
         FROM win_metrics m JOIN configs c ON c.config_id = m.config_id
         WHERE m.role = 'train' AND m.config_id IN ('gated', 'confirm2', 'confirm3', 'ungated')""",
     "selection": """

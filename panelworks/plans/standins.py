@@ -125,8 +125,9 @@ class Inputs:
 
     @cached_property
     def prices(self) -> DataFrame:
-        """All panels, written once: calendar and windows read the small table."""
-        return materialize(self.closes(self.stored_sales))
+        """All panels from the stored roll-up, which calendar, windows and side
+        series share."""
+        return self.closes(self.stored_sales)
 
     @cached_property
     def part_panel(self) -> DataFrame:
@@ -143,7 +144,7 @@ class Inputs:
             "date",
             (F.col("cents").cast("double") / 100.0 / F.col("units")).alias("close"),
         ))
-        return materialize(feat.enriched(panel.indexed(prices)))
+        return materialize(feat.enriched(panel.indexed(prices, materialize(panel.calendar(prices)))))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -249,7 +250,7 @@ class Inputs:
         ticks = self.shipments.select(
             "symbol",
             F.col("l_shipdate").alias("ts"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(12,0)") * 10_000_000 + F.col("l_partkey")).alias("seq"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("qty"),
         )
@@ -297,9 +298,13 @@ class Inputs:
 
     @cached_property
     def daily(self) -> DataFrame:
-        """Accounting of every configuration, written once: one row per panel date."""
-        days = portfolio.spine(self.calendar, CONFIG_IDS)
-        return materialize(portfolio.daily_accounting(self.routed, days))
+        """Accounting of every configuration: one row per panel date."""
+        return portfolio.daily_accounting(self.routed, portfolio.spine(self.calendar, CONFIG_IDS))
+
+    @cached_property
+    def stored_daily(self) -> DataFrame:
+        """The same, written once for reports that read it several times."""
+        return materialize(self.daily)
 
     @cached_property
     def models(self) -> DataFrame:

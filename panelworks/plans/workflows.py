@@ -24,12 +24,12 @@ def strategy_comparison(
     extra_strategies: DataFrame | None = None,
     **accounting: float,
 ) -> dict[str, DataFrame]:
-    """Backtest every configuration on every panel.
+    """Backtest every configuration on every usable panel.
 
     Without ``path`` the regime path is trained walk-forward. ``extra_strategies``
     adds weight rows under further strategy names.
     """
-    prices = materialize(prices)
+    prices = materialize(panel.usable(prices))
     cal = materialize(panel.calendar(prices))
     enriched = materialize(features.enriched(panel.indexed(prices, cal)))
     market = materialize(features.market_daily(enriched))

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording a call site for every column costs more than building these plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

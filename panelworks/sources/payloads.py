@@ -52,10 +52,9 @@ def latest_quotes(raw: DataFrame, convert: str = "USD") -> DataFrame:
 
 def _last_per_day(rows: DataFrame, keys: list[str], day: Column, **values: Column) -> DataFrame:
     """One row per key and day; the last in payload order wins."""
-    picked = rows.withColumn("date", day).groupBy(*keys, "date").agg(
-        F.max_by(F.struct(*[c.alias(n) for n, c in values.items()]), "i").alias("v")
+    return rows.withColumn("date", day).groupBy(*keys, "date").agg(
+        *[F.max_by(c, "i").alias(n) for n, c in values.items()]
     )
-    return picked.select(*keys, "date", *[F.col("v")[n].alias(n) for n in values])
 
 
 def chain_tvl(raw: DataFrame) -> DataFrame:
@@ -97,17 +96,19 @@ def top_pools(raw: DataFrame, network: str = "bsc") -> DataFrame:
         "STRUCT<reserve_in_usd: STRING, volume_usd: MAP<STRING, STRING>>>>>"
     )
     amount = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
-    rows = raw.select("token", F.posexplode(F.from_json("body", schema)["data"]).alias("i", "p")).select(
-        "token",
-        "i",
-        F.regexp_replace(F.coalesce("p.id", F.lit("")), f"^{network}_", "").alias("pool_address"),
-        amount(F.col("p.attributes.reserve_in_usd")).alias("reserve_usd"),
-        amount(F.try_element_at("p.attributes.volume_usd", F.lit("h24"))).alias("volume_24h"),
-    )
-    best = rows.groupBy("token").agg(
-        F.max_by(F.struct("pool_address", "reserve_usd", "volume_24h"), F.struct("reserve_usd", -F.col("i"))).alias("b")
+    best = F.array_max(
+        F.transform(
+            F.from_json("body", schema)["data"],
+            lambda p, i: F.struct(
+                amount(p["attributes"]["reserve_in_usd"]).alias("reserve_usd"),
+                (-i).alias("first"),
+                F.regexp_replace(F.coalesce(p["id"], F.lit("")), f"^{network}_", "").alias("pool_address"),
+                amount(F.try_element_at(p["attributes"]["volume_usd"], F.lit("h24"))).alias("volume_24h"),
+            ),
+        )
     )
-    return best.select("token", "b.*")
+    rows = raw.select("token", best.alias("best")).filter(F.col("best").isNotNull())
+    return rows.select("token", "best.pool_address", "best.reserve_usd", "best.volume_24h")
 
 
 def transfer_aggregates(raw: DataFrame) -> DataFrame:
