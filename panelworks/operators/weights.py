@@ -100,11 +100,14 @@ def confirmed(
     window: int = 7,
     threshold: float = 2.0,
     strategy: str = "momentum_onchain",
+    short_book: bool = False,
 ) -> DataFrame:
     """Base holdings filtered by volume confirmation and the inflow veto.
 
     Survivors are re-weighted equally and none left means cash. Symbols or dates
     without side data are kept; with no side data at all the base is unchanged.
+    ``short_book`` says the base holds a fixed few names per date, as a top-n
+    strategy does, so that survivors can be counted in place.
     """
     if volume is None and inflow is None:
         return base.withColumn("strategy", F.lit(strategy))
@@ -120,6 +123,8 @@ def confirmed(
         held = held.filter(F.coalesce("keep", F.lit(True)))
     if "veto" in flags:
         held = held.filter(~F.coalesce("veto", F.lit(False)))
+    if short_book:
+        return _rows(held, strategy, 1.0 / F.count("*").over(_day()))
     # Counted by aggregation rather than a window: the base may hold any number of names.
     count = held.groupBy("panel_id", "pos").agg(F.count("*").alias("held"))
     return _rows(held.join(count, ["panel_id", "pos"]), strategy, 1.0 / F.col("held"))

@@ -27,7 +27,7 @@ from ..operators import (
 from ..operators import features as feat
 from ..schemas import FEATURES, REGIMES
 from ..sources import dims, payloads, stores
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import workflows
 from .oracle import pick, sql
 from .standins import CONFIG_IDS, CONFIGS, STABLES, VARIANTS, Inputs, tidy
@@ -584,7 +584,7 @@ def _(d):
 @query("w_confirmed_momentum", _w("w_conf"))
 def _(d):
     side = d.side_series
-    base = weights.momentum(d.indexed, 30, 3)
+    base = materialize(weights.momentum(d.indexed, 30, 3))
     return _weights(weights.confirmed(base, flows.select_series(side, "dexvol"), flows.select_series(side, "cexflow")))
 
 

@@ -258,7 +258,7 @@ class Inputs:
 
     def strategies(self) -> dict[str, DataFrame]:
         p = self.panel
-        mom = weights.momentum(p, 30, 3)
+        mom = materialize(weights.momentum(p, 30, 3))
         side = self.side_series
         return {
             "equal_weight": weights.equal_weight(p),
@@ -266,7 +266,7 @@ class Inputs:
             "mean_reversion": weights.mean_reversion(p, 10, 5),
             "defensive": weights.defensive(p, STABLES),
             "momentum_onchain": weights.confirmed(
-                mom, flows.select_series(side, "dexvol"), flows.select_series(side, "cexflow")
+                mom, flows.select_series(side, "dexvol"), flows.select_series(side, "cexflow"), short_book=True
             ),
         }
 
