@@ -153,5 +153,7 @@ def test_bootstrap_interval_is_ordered_and_repeatable(spark):
     rng = np.random.default_rng(2)
     r = returns(spark, {"c": [None] + list(rng.normal(0.001, 0.02, 60))})
     one = bootstrap.bootstrap_ci(r, 200, 10).first()
-    assert one == bootstrap.bootstrap_ci(r, 200, 10).first()
+    again = bootstrap.bootstrap_ci(r, 200, 10).first()
+    # Same draws; sums may be merged in another order.
+    assert list(again)[2:] == pytest.approx(list(one)[2:], rel=1e-9)
     assert one.sharpe_lo < one.sharpe < one.sharpe_hi
