@@ -815,13 +815,13 @@ def _(d):
     floor(1e6 * (count(CASE WHEN cum > 0 THEN 1 END) / nullif(CAST(count(cum) AS DOUBLE), 0)) + 0.5e0) / 1e6 AS breadth,
     floor(1e6 * (stddev_pop(cum)) + 0.5e0) / 1e6 AS dispersion FROM part_rets GROUP BY date"""))
 def _(d):
-    return feat.market_daily(d.part_panel).drop("panel_id", "pos", "index_value")
+    return feat.market_daily(d.part_indexed).drop("panel_id", "pos", "index_value")
 
 
 @query("scale_backtest", sql("""SELECT config_id, date, CASE WHEN pos > 0 THEN floor(1e6 * (turnover) + 0.5e0) / 1e6 END AS turnover,
     CASE WHEN pos > 0 THEN floor(1e6 * ((gross - turnover * 15e0 / 1e4) * 1e4) + 0.5e0) / 1e6 END AS ret_bps FROM part_acct"""))
 def _(d):
-    p = d.part_panel
+    p = materialize(feat.enriched(d.part_indexed, (30,)))
     held = weights.momentum(p).unionByName(weights.equal_weight(p)).withColumnRenamed("strategy", "config_id")
     days = p.groupBy("panel_id", "pos", "date").agg(F.count("*").alias("n"))
     daily = portfolio.daily_accounting(held, portfolio.spine(days, ["momentum", "equal_weight"]))

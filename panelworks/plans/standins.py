@@ -130,7 +130,7 @@ class Inputs:
         return self.closes(self.stored_sales)
 
     @cached_property
-    def part_panel(self) -> DataFrame:
+    def part_indexed(self) -> DataFrame:
         """One wide panel with a name per part and a row per week it was shipped."""
         week = F.trunc(F.to_date("l_shipdate"), "week")
         sold = self.table("lineitem").groupBy(F.col("l_partkey").alias("ord"), week.alias("date")).agg(
@@ -144,7 +144,7 @@ class Inputs:
             "date",
             (F.col("cents").cast("double") / 100.0 / F.col("units")).alias("close"),
         ))
-        return materialize(feat.enriched(panel.indexed(prices, materialize(panel.calendar(prices)))))
+        return panel.indexed(prices, materialize(panel.calendar(prices)))
 
     @cached_property
     def symbols(self) -> DataFrame:
