@@ -58,7 +58,7 @@ def main() -> None:
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = configure(
         SparkSession.builder.master("local[8]"),
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
     ).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
