@@ -1,16 +1,21 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-A filter is a direction on the sphere; a vector passes it when its cosine to the direction reaches a
-threshold. Directions form a product code: after a random rotation the axes fall into blocks, each
-with its own random code words, and a direction joins one word of each block, so ``words ** blocks``
-directions are described by few random numbers. A vector is decoded to the list of all directions it
-passes by sorting the score sums of two halves of the blocks and searching them: the work follows the
+A filter is a cap around a direction on the sphere; a vector passes it when its cosine to the
+direction reaches a threshold. Directions form a product code: after a random rotation the axes fall
+into blocks, each with its own random code words, and a direction joins one word of each block, so
+``words ** blocks`` directions are described by few random numbers. A vector is decoded to the list of
+all directions it passes from the best score sums of two halves of the blocks: the work follows the
 length of the list, not the number of directions.
 
+The threshold is the vector's own: the score of its ``PASSED``-th best direction. One threshold for
+all was measured to leave some vectors without a filter and give others ten thousand, as the code
+meets some vectors better than others; near vectors have near scores on every direction, so their
+own thresholds agree as well.
+
 Vectors that pass a common filter are joined, thinned by the Hamming distance of sign sketches (far
 beyond what linked vectors show), made distinct and verified by the cosine in double precision.
-Threshold and code size follow the number of vectors, so that a filter is expected to hold about
-``OCCUPANCY`` unrelated vectors at any size while each vector passes about ``PASSED`` filters.
+The code grows with the number of vectors, so that a filter is expected to hold about ``OCCUPANCY``
+unrelated vectors at any size.
 
 Equal vectors are one class and are never expanded into pairs. Unlike lengths are compared only
 within a length. Defined results: rows whose vector is null, empty, zero or holds a null or
@@ -22,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from panelworks.llm.vectors import distinct_vectors, matrix, usable
 MIN_COSINE = 0.95
 BLOCKS = 4
 OCCUPANCY = 2.0
-PASSED = 48.0
+PASSED = 64
 SKETCH = 128  # sign bits
 SEED = 7
 
@@ -68,33 +72,35 @@ class Code:
         return out[0], out[1]
 
 
-def decode(unit: np.ndarray, code: Code, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of all directions whose cosine to the row reaches the threshold."""
-    rows, found = [], []
+def decode(unit: np.ndarray, code: Code, passed: int = PASSED) -> np.ndarray:
+    """(row, place) -> filter: the ``passed`` directions nearest to each row.
+
+    Pair (i, j) of the sorted halves can be among the best only if at most ``passed`` pairs are at
+    least as good, that is (i + 1) * (j + 1) <= passed, so few sums are formed.
+    """
     left, right = code.halves(unit)
     width = right.shape[1]
-    for i in range(len(unit)):
-        top = right[i].max()
-        a = np.flatnonzero(left[i] + top >= threshold)  # others reach it with no second half
-        order = np.argsort(-right[i], kind="stable")
-        ends = np.searchsorted(-right[i][order], left[i][a] - threshold, side="right")
-        total = int(ends.sum())
-        first = np.repeat(a, ends)
-        within = np.arange(total) - np.repeat(np.cumsum(ends) - ends, ends)
-        found.append(first * width + order[within])
-        rows.append(np.full(total, i))
-    return np.concatenate(rows), np.concatenate(found)
-
-
-def parameters(n: int, dim: int) -> tuple[int, float]:
-    """Code words per block and cosine threshold for n vectors of this dimension."""
-    chance = min(0.01, OCCUPANCY / max(n, 1))
-    threshold = -NormalDist().inv_cdf(chance) / math.sqrt(dim)
-    words = math.ceil((PASSED / chance) ** (1 / min(BLOCKS, dim)))
-    return words, min(threshold, 0.9)
-
-
-def _filters(classes: DataFrame, sizes: dict[int, tuple[int, float]]) -> DataFrame:
+    tops = []
+    for half in (left, right):
+        k = min(passed, half.shape[1])
+        best = np.argpartition(-half, k - 1, axis=1)[:, :k]
+        order = np.argsort(-np.take_along_axis(half, best, axis=1), axis=1, kind="stable")
+        tops.append(np.take_along_axis(best, order, axis=1))
+    i, j = np.divmod(np.arange(tops[0].shape[1] * tops[1].shape[1]), tops[1].shape[1])
+    few = (i + 1) * (j + 1) <= passed
+    a, b = tops[0][:, i[few]], tops[1][:, j[few]]
+    sums = np.take_along_axis(left, a, axis=1) + np.take_along_axis(right, b, axis=1)
+    k = min(passed, sums.shape[1])
+    best = np.argpartition(-sums, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(a, best, axis=1) * width + np.take_along_axis(b, best, axis=1)
+
+
+def code_words(n: int, dim: int) -> int:
+    """Words per block, so that n vectors leave about ``OCCUPANCY`` in a filter."""
+    return max(2, math.ceil((n * PASSED / OCCUPANCY) ** (1 / min(BLOCKS, dim))))
+
+
+def _filters(classes: DataFrame, sizes: dict[int, int]) -> DataFrame:
     """(rep, dim, filter, s0, s1): the filters each distinct vector passes, and its sketch."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +109,17 @@ def _filters(classes: DataFrame, sizes: dict[int, tuple[int, float]]) -> DataFra
             reps = np.asarray(batch.column(0))
             dims = np.asarray(batch.column(2))
             for dim in np.unique(dims).tolist():
-                words, threshold = sizes[dim]
-                code = codes.setdefault(dim, Code(dim, words))
+                if dim not in codes:
+                    codes[dim] = Code(dim, sizes[dim])
+                code = codes[dim]
                 at = np.flatnonzero(dims == dim)
                 for low in range(0, len(at), 256):
                     part = at[low : low + 256]
                     x = matrix(batch.column(1).take(pa.array(part)), dim)
                     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    row, found = decode(x, code, threshold)
+                    found = decode(x, code)
+                    row, found = np.repeat(np.arange(len(part)), found.shape[1]), found.ravel()
                     sketch = np.packbits(x @ code.sketch > 0, axis=1).view("<i8")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(reps[part][row]), pa.array(np.full(len(row), dim, dtype=np.int32)), pa.array(found.astype(np.int64)), pa.array(sketch[row, 0]), pa.array(sketch[row, 1])],
@@ -140,7 +148,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
 
 def linked_classes(classes: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(a, b, cosine) of distinct vectors found at or above ``min_cosine``, a < b."""
-    sizes = {r["dim"]: parameters(r["n"], r["dim"]) for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dim"]: code_words(r["n"], r["dim"]) for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
     angle = math.acos(min_cosine) / math.pi
     most = math.ceil(SKETCH * angle + 8 * math.sqrt(SKETCH * angle * (1 - angle)))
     filters = saved(_filters(classes, sizes))

@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelworks.llm import cap_filters, hnsw, simhash
 from panelworks.llm.common import table
 from panelworks.llm.license_scan import LICENSE_SQL, license_scan
 from panelworks.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from panelworks.llm.mixing import MIX_SQL, mix_plan
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -25,6 +40,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_ann": op3_ann,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,

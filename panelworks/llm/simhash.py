@@ -36,7 +36,7 @@ BITS = 64
 MAX_BITS = 2  # linked at this many differing bits or fewer
 SHINGLE = 3
 BLOCKS = 4
-CHECK_PIVOTS = 2  # random pivots compared within a cell
+CHECK_PIVOTS = 1  # random pivots compared within a cell
 SEED = 42
 _CHUNK = 1 << 16  # shingles counted at once
 
@@ -117,7 +117,7 @@ def survivors(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
         .select("fp", F.explode(cells).alias("c"), "d")
         .select("fp", "c.*", *[F.col("d")[i].alias(f"d{i}") for i in range(CHECK_PIVOTS)])
     )
-    keys = [c for c in rows.columns if c not in ("fp",)]
+    keys = [c for c in rows.columns if c != "fp"]
     held = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     near = held
     for i in range(CHECK_PIVOTS):  # what a neighbour at these distances can see
