@@ -22,6 +22,7 @@ ids keep their row, other columns are ignored. Texts are encoded whole at any le
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,23 @@ from pyspark.sql import functions as F
 
 WINDOW = 8  # bytes the rolling hash sees
 MASK = (1 << 8) - 1  # a cut every 256 bytes on average
-MAX_CHUNKS = 40_000  # cached per worker; about 60 MB
-MAX_WORDS = 600_000  # cached per worker; about 150 MB
+MAX_CHUNKS = 40_000  # cached per worker; about 50 MB
+MAX_WORDS = 1_000_000  # cached per worker; about 200 MB
 MAX_BATCH_BYTES = 8 << 20  # encoded bytes handed to Spark at once
-LEARN_BYTES = 1 << 18  # text whose new words go to the library in one call
 _SPACE = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")  # ASCII white space, at which a join ends
 _CLOSING = b".,;:!?%&*$#"
+# Composed lower-case Latin letters: unchanged by the vocabulary's normaliser, one run of letters.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """Byte-level vocabularies name printable bytes by themselves and the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_NAMES = _byte_names()
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -59,77 +71,114 @@ def cuts(data: bytes) -> list[int]:
 
 
 class ChunkCoder:
-    """Encodes texts through caches of chunks and words.
-
-    A coded span is (ids as little-endian 32-bit bytes, decoded text as bytes).
-    """
+    """Encodes texts through caches of chunks and words; a code is ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Make every word of ``texts`` known, with one call of the library.
+        # Plain words need none of the normaliser's work: the same model over words alone.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        size = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.names = np.array([n.encode() for n in names], dtype=object)
+        self.closes = np.array([n.endswith("</w>") for n in names])
+        self.words: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode new words, with one call of the library for plain ones and one for the others.
 
         Upper case and closing punctuation do not reach the library twice: the vocabulary is lower
         case, and punctuation after an ASCII letter or digit is always a token of its own.
         """
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
         known = self.words
-        missing = {w for t in texts for w in t.split() if w not in known}  # bytes: ASCII white space
-        split: dict[bytes, tuple[bytes, ...]] = {}
-        for w in missing:
-            plain = w if b"<" in w else w.lower()  # special tokens are written in lower case
-            stem = plain.rstrip(_CLOSING)
-            split[w] = (stem, plain[len(stem) :]) if stem != plain and stem[-1:].isalnum() else (plain,)
-        new = list({p for parts in split.values() for p in parts if p not in known})
-        codes = [c.ids for c in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-        texts_out = self.tokenizer.decode_batch(codes, skip_special_tokens=False)
-        self.words.update(zip(new, [(np.array(c, dtype="<u4").tobytes(), d.encode()) for c, d in zip(codes, texts_out)]))
-        for w, parts in split.items():
-            if len(parts) == 2:
-                (x, u), (y, v) = self.words[parts[0]], self.words[parts[1]]
-                self.words[w] = (x + y, b" ".join([t for t in (u, v) if t]))
+        if len(known) > MAX_WORDS:
+            known.clear()
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in words:
+            low = w if b"<" in w else w.lower()  # special tokens are written in lower case
+            stem = low.rstrip(_CLOSING)
+            if len(stem) == len(low) or not stem[-1:].isalnum():
+                stem = low
+            split[w] = (stem, low[len(stem) :])
+        plain, mapped, other = [], [], []
+        for p in {p for parts in split.values() for p in parts if p and p not in known}:
+            if p.isalpha():  # ASCII letters
+                plain.append(p)
+                mapped.append(p.decode())
+            elif _LATIN.fullmatch(t := p.decode()):
+                plain.append(p)
+                mapped.append(p.decode("latin-1").translate(_BYTE_NAMES))
             else:
-                self.words[w] = self.words[parts[0]]
-
-    def span(self, data: bytes) -> tuple[bytes, bytes]:
-        """Code of a span that begins and ends at white space (or at an end of the text)."""
-        coded = [c for c in map(self.words.__getitem__, data.split()) if c[0]]
-        return b"".join([c[0] for c in coded]), b" ".join([c[1] for c in coded])
-
-    def encode(self, data: bytes) -> tuple[bytes, bytes]:
-        """Code of a whole text in UTF-8; its words must have been learned."""
-        spans: list[tuple[bytes, bytes]] = []
-        open_join = b""  # bytes before a cut that wait for the white space after it
+                other.append(p)
+        if plain:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, dtype="<u4")
+            code, last = ids.tobytes(), 0
+            for p, end in zip(plain, (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist(), strict=True):
+                known[p] = code[last:end]
+                last = end
+        if other:
+            codes = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
+            known.update((p, np.array(c.ids, dtype="<u4").tobytes()) for p, c in zip(other, codes))
+        for w, (stem, rest) in split.items():
+            known[w] = known[stem] + known[rest] if rest else known[stem]
+
+    def decode(self, code: bytes) -> bytes:
+        """The text the library decodes the ids to: the vocabulary has no decoder, names are joined."""
+        return b" ".join(self.names[np.frombuffer(code, dtype="<u4")].tolist())
+
+    def encode(self, data: bytes) -> bytes:
+        """Code of a whole text in UTF-8."""
+        spans: list[tuple[bytes, bool]] = []  # bytes between white space, and whether they are a chunk
+        waiting = b""  # bytes before a cut, up to the white space after it
         low = 0
         for high in [*cuts(data), len(data)]:
             chunk = data[low:high]
             first, last = _edges(chunk)
             if first < 0:  # no white space: the join goes on
-                open_join += chunk
+                waiting += chunk
             else:
-                if open_join or first:
-                    spans.append(self.span(open_join + chunk[:first]))
-                inner = chunk[first : last + 1]
-                got = self.chunks.get(inner)
-                if got is None:
-                    if len(self.chunks) >= MAX_CHUNKS:
-                        self.chunks.clear()
-                    got = self.chunks[inner] = self.span(inner)
-                spans.append(got)
-                open_join = chunk[last + 1 :]
+                spans.append((waiting + chunk[:first], False))
+                spans.append((chunk[first : last + 1], True))
+                waiting = chunk[last + 1 :]
             low = high
-        if open_join:
-            spans.append(self.span(open_join))
-        spans = [s for s in spans if s[0]]
-        return b"".join([s[0] for s in spans]), b" ".join([s[1] for s in spans])
+        spans.append((waiting, False))
+        get = self.words.get
+        out: list[bytes | None] = []
+        todo = []
+        missing: set[bytes] = set()
+        for span, whole in spans:
+            code = self.chunks.get(span) if whole else None
+            if code is None:
+                parts = span.split()  # bytes: at ASCII white space only
+                codes = list(map(get, parts))
+                if None in codes:
+                    todo.append((len(out), span, whole, parts))
+                    missing.update([p for p, c in zip(parts, codes) if c is None])
+                else:
+                    code = b"".join(codes)
+                    if whole:
+                        self.keep(span, code)
+            out.append(code)
+        if missing:
+            if len(self.words) > MAX_WORDS:  # the words found above are given up as well
+                missing = {p for _, _, _, parts in todo for p in parts}
+            self.learn(missing)
+            for at, span, whole, parts in todo:
+                out[at] = b"".join(map(self.words.__getitem__, parts))
+                if whole:
+                    self.keep(span, out[at])
+        return b"".join(out)
+
+    def keep(self, chunk: bytes, code: bytes) -> None:
+        if len(self.chunks) >= MAX_CHUNKS:
+            self.chunks.clear()
+        self.chunks[chunk] = code
 
 
 def _edges(chunk: bytes) -> tuple[int, int]:
@@ -149,23 +198,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = ChunkCoder(path or word_bpe_path())
         for batch in source:
-            keys, ids, decoded, held = batch.column(0), [], [], 0
-            sizes = np.cumsum([len(t) for t in batch.column(1).fill_null("").cast(pa.binary())])
-            groups = np.searchsorted(sizes, np.arange(LEARN_BYTES, sizes[-1] + LEARN_BYTES, LEARN_BYTES)) + 1 if len(sizes) else []
-            low = start = 0
-            for high in [*groups, batch.num_rows]:
-                data = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)[low:high]]
-                if data:
-                    coder.learn(data)
-                for t in data:
-                    got = coder.encode(t)
-                    ids.append(got[0])
-                    decoded.append(got[1])
-                    held += len(got[0]) + len(got[1])
-                    if held > MAX_BATCH_BYTES or start + len(ids) == batch.num_rows:
-                        yield pa.RecordBatch.from_arrays([keys.slice(start, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
-                        start, held, ids, decoded = start + len(ids), 0, [], []
-                low = max(low, high)
+            keys, ids, decoded, start, held = batch.column(0), [], [], 0, 0
+            for text in batch.column(1):
+                ids.append(coder.encode((text.as_py() or "").encode("utf-8", "replace")))
+                decoded.append(coder.decode(ids[-1]))
+                held += len(ids[-1]) + len(decoded[-1])
+                if held > MAX_BATCH_BYTES or start + len(ids) == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+                    start, held, ids, decoded = start + len(ids), 0, [], []
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     coded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {kind}, ids binary, decoded binary")
