@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, cap_filters, hnsw, simhash
+from panelworks.llm import bpe, cap_filters, hnsw, lang_id, paragraphs, simhash
 from panelworks.llm.common import table
 from panelworks.llm.license_scan import LICENSE_SQL, license_scan
 from panelworks.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
@@ -27,6 +27,14 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -47,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_ann": op3_ann,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
