@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, cap_filters, hnsw, lang_id, paragraphs, simhash
+from panelworks.llm import bpe, cap_filters, hnsw, html_extract, lang_id, paragraphs, simhash
 from panelworks.llm.common import table
 from panelworks.llm.license_scan import LICENSE_SQL, license_scan
 from panelworks.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
@@ -39,6 +39,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op7_html_extract": op7_html_extract,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,

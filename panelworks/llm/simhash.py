@@ -15,7 +15,7 @@ copies costs 65 n rows, not n squared pairs, and no link is lost.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null ids keep
 their row and count only where no id of the component is known. Repeated rows are rows like others.
-Whole texts are hashed at any length. Other columns pass through in ``simhash``.
+Whole texts are hashed at any length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import saved
+from panelworks.llm.common import row_keys, saved
 from panelworks.llm.components import components
 
 BITS = 64
@@ -65,15 +65,17 @@ def _signed(value: int) -> int:
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the id and the fingerprint as a signed long."""
+    """(doc_id, ka, kb, fp): the id, the row's keys and the fingerprint as a signed long."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            fps = [_signed(fingerprint(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [_signed(fingerprint(t.as_py())) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "ka", "kb", "fp"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {kind}, fp long")
+    ka, kb = row_keys(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), ka.alias("ka"), kb.alias("kb"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, fp long")
 
 
 def _pivots(blocks: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
@@ -135,11 +137,11 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) per row: component_id is the least id reachable by links."""
+    """(doc_id, ka, kb, fp, component_id) per row: component_id is the least id reachable by links."""
     prints = saved(simhash(docs, id_col, text_col))
     fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(survivors(fps)))
     grouped = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = grouped.join(roots, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(ids, "fp").select("doc_id", "ka", "kb", "fp", "component_id")
