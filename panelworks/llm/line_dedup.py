@@ -47,9 +47,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose ``keys`` occur at two positions or more, with the first of them as ``name``."""
+    """Rows whose ``keys`` occur at two positions or more, with the first of them as ``name``.
+
+    The groups are written first: joined as a table, they are broadcast if small, and else the rows
+    of a hot key are split over tasks.
+    """
     groups = rows.groupBy(*keys).agg(F.min("pos").alias("name"), F.max("pos").alias("last"))
-    return rows.join(groups.where("name < last").drop("last"), keys)
+    return rows.join(saved(groups.where("name < last").drop("last")), keys)
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
