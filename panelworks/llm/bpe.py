@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 8  # bytes the rolling hash sees
 MASK = (1 << 8) - 1  # a cut every 256 bytes on average
-MAX_CHUNKS = 40_000  # cached per worker; about 50 MB
-MAX_WORDS = 1_000_000  # cached per worker; about 200 MB
+MAX_CHUNKS = 20_000  # cached per worker; about 25 MB
+MAX_WORDS = 400_000  # cached per worker; about 80 MB
 MAX_BATCH_BYTES = 8 << 20  # encoded bytes handed to Spark at once
 _SPACE = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")  # ASCII white space, at which a join ends
 _CLOSING = b".,;:!?%&*$#"

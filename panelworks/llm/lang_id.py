@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from panelworks.llm.common import saved
 
 LANGUAGES = ("de", "en", "es", "fr")
-TRAIN_ROWS = 4000  # labelled rows the text model is fitted on
-TRAIN_BYTES = 20_000  # of each of them
+TRAIN_ROWS = 2000  # labelled rows the text model is fitted on
+TRAIN_CHARS = 4000  # at most this much of each of them
 BUCKETS = 1 << 15  # hashed trigrams
 TEMPER = 0.1  # weight of a trigram's log-likelihood ratio
 SMOOTH = 0.5
@@ -61,7 +61,7 @@ def fit(rows: DataFrame, text: str, label: str, languages: tuple[str, ...] = LAN
     """(trigram, language) log-likelihoods from at most ``train_rows`` labelled rows; the last column
     is that of unrelated letters."""
     known = rows.where(F.col(label).isin(*languages) & F.col(text).isNotNull())
-    sample = known.select(F.xxhash64(text, label).alias("h"), F.substring(text, 1, TRAIN_BYTES).alias("t"), F.col(label).alias("l"))
+    sample = known.select(F.xxhash64(text, label).alias("h"), F.substring(text, 1, TRAIN_CHARS).alias("t"), F.col(label).alias("l"))
     counts = np.zeros((BUCKETS, len(languages)))
     for row in sample.orderBy("h", "t", "l").limit(train_rows).collect():
         np.add.at(counts[:, languages.index(row["l"])], trigrams(row["t"]), 1)

@@ -6,10 +6,12 @@ their number of copies. Each class gets ``BANDS`` keys of ``ROWS`` MinHash value
 shingles; at the threshold of 0.8 a pair shares a key with probability 1 - (1 - 0.8^3)^9 = 0.998.
 
 Classes that share a key are verified by the exact Jaccard similarity of their shingle sets. In
-place of all pairs of a bucket, each member is first compared with the bucket's least and its
-greatest member. Components of the links found then show which buckets are settled: only pairs of a
-bucket that still lie in different components are compared, so a bucket of n near copies costs about
-2 n comparisons and the components are those of all colliding pairs.
+place of all pairs of a bucket, each member is first compared with the bucket's earliest and its
+least member. Components of the links found then show which buckets are settled: only members of a
+bucket that still lie in different components are compared, inside the join, which gives out similar
+pairs alone. So a bucket of n near copies of one original costs about 2 n comparisons, and the
+components are those of all colliding pairs. A bucket of n paragraphs that are similar to none of
+the others, but nearly so, still costs comparisons of all of them.
 
 Removed are all but the first paragraph (by document id, then line) of each component.
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.common import row_keys, saved
@@ -113,9 +115,24 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
     x = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(_jaccard(F.col("x"), F.col("y"))).select("a", "b")
+
+
+def _jaccard(x: Column, y: Column) -> Column:
+    common = F.size(F.array_intersect(x, y))
+    return common >= SIMILAR * (F.size(x) + F.size(y) - common) - 1e-9
+
+
+def _ordered(rows: DataFrame, hub: str) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each row's class and its hub."""
+    return rows.where(F.col("cid") != F.col(hub)).select(F.least("cid", hub).alias("a"), F.greatest("cid", hub).alias("b")).distinct()
+
+
+def _torn(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, cid, root) of the buckets whose members lie in more than one component."""
+    part = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    torn = part.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    return part.join(torn, "key")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -125,20 +142,19 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "ka", "kb")
     classes = found.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
-    members = classes.select("cid", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    colliding = saved(members.join(buckets, "key"))
+    members = classes.select("cid", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("doc"), F.explode("keys").alias("key"))
+    ends = F.struct(F.min_by("cid", "doc").alias("early"), F.min("cid").alias("low"), F.max("cid").alias("high"))
+    buckets = members.groupBy("key").agg(ends.alias("e")).select("key", "e.*").where("low < high")
+    colliding = saved(members.drop("doc").join(buckets, "key"))
     wanted = colliding.select("cid").distinct().join(classes, "cid").select("cid", "first.ka", "first.kb", "first.line")
     sets = saved(_sets(docs, wanted, id_col, text_col))
-    star = colliding.select(F.col("low").alias("a"), F.col("cid").alias("b")).unionByName(colliding.select(F.col("cid").alias("a"), F.col("high").alias("b")))
-    links = saved(_similar(star.where("a < b").distinct(), sets))
-    roots = components(links).withColumnRenamed("node", "cid")
-    part = saved(colliding.select("key", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
-    torn = part.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    open_ = part.join(torn, "key")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")))
-    more = _similar(rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), sets)
+    star = colliding.select("cid", F.explode(F.array("early", "low")).alias("hub"))
+    links = saved(_similar(_ordered(star, "hub"), sets))
+    held = _torn(colliding.select("key", "cid"), components(links)).join(sets, "cid")
+    x, y = held.alias("x"), held.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root"))
+    sizes = (F.size("x.hashes") >= SIMILAR * F.size("y.hashes") - 1e-9) & (F.size("y.hashes") >= SIMILAR * F.size("x.hashes") - 1e-9)
+    more = x.join(y, apart & sizes & _jaccard(F.col("x.hashes"), F.col("y.hashes"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     roots = components(links.unionByName(more)).withColumnRenamed("node", "cid")
     grouped = classes.select("class", "cid", "n", F.struct("first.last", "first.doc_id", "first.line").alias("first")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = grouped.groupBy("root").agg(F.sum("n").alias("component_size"), F.min("first").alias("head")).where("component_size > 1")
