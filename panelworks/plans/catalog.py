@@ -292,8 +292,7 @@ def _(d):
 
 
 @query("candle_array_flatten", sql("""SELECT symbol, date, floor(1e6 * (open) + 0.5e0) / 1e6 AS open, floor(1e6 * (high) + 0.5e0) / 1e6 AS high,
-    floor(1e6 * (low) + 0.5e0) / 1e6 AS low, floor(1e6 * (close) + 0.5e0) / 1e6 AS close, floor(1e6 * (volume) + 0.5e0) / 1e6 AS volume FROM bars
-    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 182"""))
+    floor(1e6 * (low) + 0.5e0) / 1e6 AS low, floor(1e6 * (close) + 0.5e0) / 1e6 AS close, floor(1e6 * (volume) + 0.5e0) / 1e6 AS volume FROM bars"""))
 def _(d):
     stamp = F.unix_timestamp(F.col("date").cast("timestamp")).cast("double")
     candle = F.array(stamp, *[F.col(c) for c in ("open", "high", "low", "close", "volume")])
@@ -342,14 +341,14 @@ def _(d):
     path = scratch_path(d.spark)
     stores.put_bars(d.bars, path, 8)
     stores.put_bars(d.bars.filter("symbol = 'Brand#2'").withColumn("volume", F.col("volume") * 2), path, 8)
-    return stores.get_bars(d.spark, path, ["Brand#1", "Brand#2", "Brand#3"], "1996-01-01", "1997-12-31", 8)
+    return stores.get_bars(d.spark, path, ["Brand#1", "Brand#2", "Brand#3"], "1996-01-01", "1997-12-31")
 
 
 @query("series_store", sql("""SELECT kind, symbol, date, floor(1e6 * (value) + 0.5e0) / 1e6 AS value FROM side WHERE kind = 'cexflow'"""))
 def _(d):
     path = scratch_path(d.spark)
     stores.put_series(d.side_series, path, 8)
-    return stores.get_series(d.spark, path, "cexflow", buckets=8)
+    return stores.get_series(d.spark, path, "cexflow")
 
 
 # --- features ---------------------------------------------------------------
@@ -895,10 +894,10 @@ def _last_reads(d):
 
 
 @query("execution_plan", sql("""SELECT r.panel_id, r.date, r.regime, 0.5e0 AS confidence, r.risk_off, r.stance, r.hold,
-    CASE WHEN r.risk_off THEN 'HOLD / defensive (risk-off gate fired) -- no rebalance intents. Preserving capital is the decision.'
-         WHEN r.hold THEN 'HOLD / defensive (high-volatility regime) -- no rebalance intents. Preserving capital is the decision.'
-         WHEN coalesce(s, 0) + coalesce(b, 0) = 0 THEN r.stance || ': portfolio already aligned with target (no trades above $10).'
-         ELSE r.stance || ': rebalance -> ' || coalesce(s, 0) || ' sell / ' || coalesce(b, 0) || ' buy intent(s).' END AS note,
+    CASE WHEN r.risk_off THEN 'no trades: the risk-off gate is on'
+         WHEN r.hold THEN 'no trades: volatility is high'
+         WHEN coalesce(s, 0) + coalesce(b, 0) = 0 THEN r.stance || ': on target, no trade reaches 10'
+         ELSE r.stance || ': sells ' || coalesce(s, 0) || ', buys ' || coalesce(b, 0) END AS note,
     CASE WHEN r.hold THEN 0 ELSE coalesce(s, 0) END AS n_sell, CASE WHEN r.hold THEN 0 ELSE coalesce(b, 0) END AS n_buy
     FROM (SELECT p.panel_id, p.date, p.regime, k.risk_off, k.risk_off OR p.regime = 'high_volatility' AS hold,
             CASE WHEN k.risk_off OR p.regime = 'high_volatility' THEN 'defensive' WHEN p.regime = 'trending' THEN 'momentum' ELSE 'market portfolio' END AS stance

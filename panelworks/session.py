@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -40,9 +41,13 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    # The setting itself is fixed once a session runs.
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def scratch_path(spark: SparkSession) -> str:

@@ -72,12 +72,11 @@ def protocol_tvl(raw: DataFrame, chain_key: str = "Binance") -> DataFrame:
     return _last_per_day(rows, ["chain_id"], _unix_day("r.date"), value=F.col("r.totalLiquidityUSD"))
 
 
-def candles(raw: DataFrame, limit: int = 182) -> DataFrame:
-    """Candle arrays ``[ts, o, h, l, c, v]`` of ``raw(symbol, body)``, newest ``limit``."""
+def candles(raw: DataFrame) -> DataFrame:
+    """Candle arrays ``[ts, o, h, l, c, v]`` of ``raw(symbol, body)``: every candle landed."""
     schema = "STRUCT<data: STRUCT<attributes: STRUCT<ohlcv_list: ARRAY<ARRAY<DOUBLE>>>>>"
     listed = F.from_json("body", schema)["data"]["attributes"]["ohlcv_list"]
-    newest = F.slice(F.reverse(F.array_sort(listed)), 1, limit)
-    rows = raw.select("symbol", F.explode(newest).alias("c"))
+    rows = raw.select("symbol", F.explode(listed).alias("c"))
     return rows.select(
         "symbol",
         _unix_day(F.col("c")[0].cast("bigint")).alias("date"),

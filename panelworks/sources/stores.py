@@ -26,10 +26,10 @@ def bucket_of(symbol: Column | str, buckets: int = BUCKETS) -> Column:
 
 
 def _write(df: DataFrame, path: str, folders: list[str], buckets: int) -> None:
-    # Years split a bucket over tasks; a hot symbol adds at most 366 rows to each.
+    # Ranges split a bucket over as many tasks as its rows ask for.
     placed = df.withColumn("bucket", bucket_of("symbol", buckets))
     (
-        placed.repartition(*folders, F.year("date"))
+        placed.repartitionByRange(*folders, "symbol", F.year("date"))
         .sortWithinPartitions(*folders, "symbol", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -40,13 +40,26 @@ def _write(df: DataFrame, path: str, folders: list[str], buckets: int) -> None:
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        return spark.read.schema(f"{schema}, bucket INT").parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing written yet
+
+
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The number of buckets a store was first written with, kept beside its folders."""
+    kept = _stored(spark, f"{path}/_buckets", "buckets INT")
+    return kept.first()["buckets"] if kept is not None else None
 
 
 def _put(df: DataFrame, path: str, schema: str, folders: list[str], keys: list[str], buckets: int) -> None:
-    stored = _stored(df.sparkSession, path, schema)
+    spark = df.sparkSession
+    stored = _stored(spark, path, f"{schema}, bucket INT")
+    kept = _stored_buckets(spark, path)
+    if kept is None:
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/_buckets")
+    buckets = kept or buckets
     if stored is not None:
         # Everything stored for a written key is replaced; neighbours sharing its
         # folders are carried over. Folders not touched are not read.
@@ -69,11 +82,10 @@ def get_bars(
     symbols: Iterable[str] | None = None,
     start: str | None = None,
     end: str | None = None,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Stored bars of the symbols (all if None) inside the inclusive date range."""
     stored = spark.read.schema(f"{BARS}, bucket INT").parquet(path)
-    return in_range(_only(stored, symbols, buckets), start, end).drop("bucket")
+    return in_range(_only(stored, symbols, path), start, end).drop("bucket")
 
 
 def put_series(series: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -81,18 +93,17 @@ def put_series(series: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     _put(series, path, SERIES, ["kind", "bucket"], ["kind", "symbol"], buckets)
 
 
-def get_series(
-    spark: SparkSession, path: str, kind: str, symbols: Iterable[str] | None = None, buckets: int = BUCKETS
-) -> DataFrame:
+def get_series(spark: SparkSession, path: str, kind: str, symbols: Iterable[str] | None = None) -> DataFrame:
     """Stored series of one kind."""
     stored = spark.read.schema(f"{SERIES}, bucket INT").parquet(path).filter(F.col("kind") == kind)
-    return _only(stored, symbols, buckets).drop("bucket")
+    return _only(stored, symbols, path).drop("bucket")
 
 
-def _only(stored: DataFrame, symbols: Iterable[str] | None, buckets: int) -> DataFrame:
+def _only(stored: DataFrame, symbols: Iterable[str] | None, path: str) -> DataFrame:
     if symbols is None:
         return stored
     wanted = [F.lit(s) for s in symbols]
-    return stored.filter(
-        F.col("bucket").isin([bucket_of(s, buckets) for s in wanted]) & F.col("symbol").isin(wanted)
-    )
+    buckets = _stored_buckets(stored.sparkSession, path)
+    if buckets:
+        stored = stored.filter(F.col("bucket").isin([bucket_of(s, buckets) for s in wanted]))
+    return stored.filter(F.col("symbol").isin(wanted))

@@ -42,11 +42,11 @@ def test_tvl_keeps_the_last_of_a_day(spark):
     assert payloads.protocol_tvl(raw(spark, "chain_id", {"c": proto}), "Tron").count() == 0
 
 
-def test_candles_newest_first_with_limit(spark):
+def test_candles_keep_every_candle(spark):
     s = 1704067200
     doc = {"data": {"attributes": {"ohlcv_list": [[s + 86400 * i, i, i, i, i, i] for i in (2, 1, 0)]}}}
-    got = ordered(payloads.candles(raw(spark, "symbol", {"A": doc}), 2), "date")
-    assert [(r.date, r.close) for r in got] == [(day(1), 1.0), (day(2), 2.0)]
+    got = ordered(payloads.candles(raw(spark, "symbol", {"A": doc})), "date")
+    assert [(r.date, r.close) for r in got] == [(day(0), 0.0), (day(1), 1.0), (day(2), 2.0)]
 
 
 def test_top_pool(spark):
@@ -75,9 +75,9 @@ def test_bar_store_replaces_symbols(spark):
     names = [f"S/{i}" for i in range(9)]
     stores.put_bars(bars(spark, [(s, d, 1.0) for s in names for d in range(3)]), path, 2)
     stores.put_bars(bars(spark, [("S/4", 1, 7.0), ("new", 0, 8.0)]), path, 2)
-    everything = stores.get_bars(spark, path, buckets=2)
+    everything = stores.get_bars(spark, path)
     assert everything.count() == 8 * 3 + 2
-    assert [r.close for r in stores.get_bars(spark, path, ["S/4", "absent"], buckets=2).collect()] == [7.0]
+    assert [r.close for r in stores.get_bars(spark, path, ["S/4", "absent"]).collect()] == [7.0]
     sliced = stores.get_bars(spark, path, ["S/1"], str(day(1)), str(day(1)), 2)
     assert [r.date for r in sliced.collect()] == [day(1)]
     plan = sliced._jdf.queryExecution().toString()
@@ -89,7 +89,7 @@ def test_series_store(spark):
     rows = lambda kind, v: spark.createDataFrame([(kind, "A", day(0), v), (kind, "B", day(0), v)], "kind string, symbol string, date date, value double")
     stores.put_series(rows("tvl", 1.0).unionByName(rows("vol", 2.0)), path, 2)
     stores.put_series(rows("tvl", 5.0).filter("symbol = 'A'"), path, 2)
-    assert sorted((r.symbol, r.value) for r in stores.get_series(spark, path, "tvl", buckets=2).collect()) == [("A", 5.0), ("B", 1.0)]
+    assert sorted((r.symbol, r.value) for r in stores.get_series(spark, path, "tvl").collect()) == [("A", 5.0), ("B", 1.0)]
     assert stores.get_series(spark, path, "vol", ["B"], 2).first().value == 2.0
 
 
@@ -134,9 +134,9 @@ def test_sequence_of_a_large_book_equals_a_sort(spark):
 @pytest.mark.parametrize(
     ("regime", "off", "hold", "note"),
     [
-        ("trending", True, True, "HOLD / defensive (risk-off gate fired) -- no rebalance intents. Preserving capital is the decision."),
-        ("high_volatility", False, True, "HOLD / defensive (high-volatility regime) -- no rebalance intents. Preserving capital is the decision."),
-        ("ranging", False, False, "market portfolio: rebalance -> 1 sell / 1 buy intent(s)."),
+        ("trending", True, True, "no trades: the risk-off gate is on"),
+        ("high_volatility", False, True, "no trades: volatility is high"),
+        ("ranging", False, False, "market portfolio: sells 1, buys 1"),
     ],
 )
 def test_execution_plan(spark, regime, off, hold, note):
@@ -148,7 +148,7 @@ def test_execution_plan(spark, regime, off, hold, note):
     orders = rebalance.weights_to_intents(cur, tgt, ["panel_id"], 1000.0)
     assert rebalance.plan_intents(plan, orders, ["panel_id"]).count() == (0 if hold else 2)
     aligned = rebalance.execution_plan(read.withColumns({"risk_off": F.lit(False), "regime": F.lit("trending")}), cur, cur, ["panel_id"], 1000.0).first()
-    assert aligned.note == "momentum: portfolio already aligned with target (no trades above $10)."
+    assert aligned.note == "momentum: on target, no trade reaches 10"
 
 
 def test_read_document_is_canonical(spark):
@@ -166,3 +166,17 @@ def test_cash_share_and_rebase(spark):
     df = spark.createDataFrame(rows, "panel_id string, config_id string, date date, equity double")
     assert report.cash_share(df).first().cash_share == pytest.approx(0.75)
     assert [r.pct_return for r in ordered(report.rebased(df), "date")] == [0.0, 0.0, pytest.approx(20.0), pytest.approx(20.0), pytest.approx(20.0)]
+
+
+def test_store_remembers_its_buckets(spark, tmp_path):
+    from panelworks.sources import stores
+
+    path = str(tmp_path / "bars")
+    rows = spark.range(40).selectExpr(
+        "concat('s', id % 20) AS symbol", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS date",
+        "1D AS open", "1D AS high", "1D AS low", "1D AS close", "1D AS volume",
+    )
+    stores.put_bars(rows, path, buckets=8)
+    stores.put_bars(rows.filter("symbol = 's3'"), path)  # the store's own count holds
+    names = [f"s{i}" for i in range(20)]
+    assert stores.get_bars(spark, path, names).count() == stores.get_bars(spark, path).count() == 40
