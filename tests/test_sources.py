@@ -90,7 +90,7 @@ def test_series_store(spark):
     stores.put_series(rows("tvl", 1.0).unionByName(rows("vol", 2.0)), path, 2)
     stores.put_series(rows("tvl", 5.0).filter("symbol = 'A'"), path, 2)
     assert sorted((r.symbol, r.value) for r in stores.get_series(spark, path, "tvl").collect()) == [("A", 5.0), ("B", 1.0)]
-    assert stores.get_series(spark, path, "vol", ["B"], 2).first().value == 2.0
+    assert stores.get_series(spark, path, "vol", ["B"]).first().value == 2.0
 
 
 def test_universe_and_tokens(spark, tmp_path):
