@@ -78,7 +78,7 @@ def test_bar_store_replaces_symbols(spark):
     everything = stores.get_bars(spark, path)
     assert everything.count() == 8 * 3 + 2
     assert [r.close for r in stores.get_bars(spark, path, ["S/4", "absent"]).collect()] == [7.0]
-    sliced = stores.get_bars(spark, path, ["S/1"], str(day(1)), str(day(1)), 2)
+    sliced = stores.get_bars(spark, path, ["S/1"], str(day(1)), str(day(1)))
     assert [r.date for r in sliced.collect()] == [day(1)]
     plan = sliced._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "bucket#" in plan
