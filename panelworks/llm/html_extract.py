@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.llm.common import hash_sample
+
 TRAIN_PAGES = 300
 SMOOTH = 0.5
 CONTENT = 0.5  # least marginal of kept text
@@ -355,8 +357,8 @@ def main_text(page: str | None, model: Model) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    sample = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("page"))
-    model = train([r["page"] for r in sample.orderBy("h", "page").limit(TRAIN_PAGES).collect()])
+    known = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("page"))
+    model = train(sorted(r["page"] for r in hash_sample(known, TRAIN_PAGES).collect()))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import saved
+from panelworks.llm.common import hash_sample, saved
 
 LANGUAGES = ("de", "en", "es", "fr")
 TRAIN_ROWS = 2000  # labelled rows the text model is fitted on
@@ -61,9 +61,9 @@ def fit(rows: DataFrame, text: str, label: str, languages: tuple[str, ...] = LAN
     """(trigram, language) log-likelihoods from at most ``train_rows`` labelled rows; the last column
     is that of unrelated letters."""
     known = rows.where(F.col(label).isin(*languages) & F.col(text).isNotNull())
-    sample = known.select(F.xxhash64(text, label).alias("h"), F.substring(text, 1, TRAIN_CHARS).alias("t"), F.col(label).alias("l"))
+    sample = hash_sample(known, train_rows).select(F.substring(text, 1, TRAIN_CHARS).alias("t"), F.col(label).alias("l"))
     counts = np.zeros((BUCKETS, len(languages)))
-    for row in sample.orderBy("h", "t", "l").limit(train_rows).collect():
+    for row in sample.collect():
         np.add.at(counts[:, languages.index(row["l"])], trigrams(row["t"]), 1)
     total = counts.sum(axis=0)
     logs = np.log(counts + SMOOTH) - np.log(total + SMOOTH * BUCKETS)
