@@ -117,11 +117,13 @@ def regime_pnl(daily: DataFrame, path: DataFrame) -> DataFrame:
     """Realised return per regime, labelled on the return date.
 
     ``path(panel_id, pos, regime)`` is the raw label, not the routed one; dates
-    without a label fall under ``unclassified``.
+    without a label fall under ``unclassified``. Where both carry ``path_id``, each
+    row meets the labels of its own path.
     """
+    keys = ["panel_id", "pos", *(["path_id"] if "path_id" in daily.columns and "path_id" in path.columns else [])]
     labelled = (
         daily.filter(F.col("ret").isNotNull())
-        .join(path.select("panel_id", "pos", "regime"), ["panel_id", "pos"], "left")
+        .join(path.select(*keys, "regime"), keys, "left")
         .withColumn("regime", F.coalesce("regime", F.lit("unclassified")))
     )
     buckets = labelled.groupBy("panel_id", "config_id", "regime").agg(

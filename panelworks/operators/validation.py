@@ -63,21 +63,22 @@ def train_scores(returns: DataFrame, windows: DataFrame, metric: str = "sharpe")
 
 
 def select_config(
-    returns: DataFrame, windows: DataFrame, config_order: list[str], metric: str = "sharpe"
+    returns: DataFrame, windows: DataFrame, config_order: list[str], metric: str = "sharpe", decimals: int | None = 10
 ) -> DataFrame:
     """Best configuration on each training window with its test metrics.
 
     Ties go to the first in ``config_order``; windows without training rows are
     skipped. Variants often hold identical books, whose scores then differ only by
-    summation order, so scores are compared at ten decimals. The winner is an
-    aggregate, not a sort.
+    summation order, so scores are compared at ``decimals`` places (None: in full).
+    The winner is an aggregate, not a sort.
     """
     rank = F.array_position(F.array(*[F.lit(c) for c in config_order]), F.col("config_id"))
     kept = returns.filter(F.col("config_id").isin(config_order))
+    score = F.col("score") if decimals is None else F.round("score", decimals)
     best = (
         train_scores(kept, windows, metric)
         .groupBy("panel_id", "window_id")
-        .agg(F.max_by("config_id", F.struct(F.round("score", 10), -rank)).alias("config_id"))
+        .agg(F.max_by("config_id", F.struct(score, -rank)).alias("config_id"))
     )
     return best.join(evaluate_windows(kept, windows), ["panel_id", "window_id", "config_id"]).select(
         "panel_id", "window_id", F.col("config_id").alias("chosen"), "n_days", *METRICS

@@ -12,10 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..schemas import REGIMES
 from .align import asof_rows
 from .features import trailing_return
 from .runs import confirmed_gate, hysteresis
 
+BUILT_IN = ("equal_weight", "momentum", "mean_reversion", "defensive")
 # The stable names a defensive book may hold.
 STABLECOINS = ("USDT", "USDC", "DAI", "TUSD", "FDUSD")
 
@@ -100,14 +102,11 @@ def confirmed(
     window: int = 7,
     threshold: float = 2.0,
     strategy: str = "momentum_onchain",
-    short_book: bool = False,
 ) -> DataFrame:
     """Base holdings filtered by volume confirmation and the inflow veto.
 
     Survivors are re-weighted equally and none left means cash. Symbols or dates
     without side data are kept; with no side data at all the base is unchanged.
-    ``short_book`` says the base holds a fixed few names per date, as a top-n
-    strategy does, so that survivors can be counted in place.
     """
     if volume is None and inflow is None:
         return base.withColumn("strategy", F.lit(strategy))
@@ -123,8 +122,6 @@ def confirmed(
         held = held.filter(F.coalesce("keep", F.lit(True)))
     if "veto" in flags:
         held = held.filter(~F.coalesce("veto", F.lit(False)))
-    if short_book:
-        return _rows(held, strategy, 1.0 / F.count("*").over(_day()))
     # Counted by aggregation rather than a window: the base may hold any number of names.
     count = held.groupBy("panel_id", "pos").agg(F.count("*").alias("held"))
     return _rows(held.join(count, ["panel_id", "pos"]), strategy, 1.0 / F.col("held"))
@@ -150,6 +147,24 @@ class RouterConfig:
     fixed: str | None = None
 
 
+def check_configs(configs: list[RouterConfig], strategies: set[str], paths: set[str]) -> None:
+    """Raise on a strategy, regime slot or path that no input provides: it would route to cash."""
+    for c in configs:
+        used = {c.fixed} if c.fixed else set(c.slots.values())
+        if used - strategies:
+            raise ValueError(f"{c.config_id}: unknown strategies {sorted(used - strategies)}")
+        if not c.fixed and set(REGIMES) - set(c.slots):
+            raise ValueError(f"{c.config_id}: no strategy for {sorted(set(REGIMES) - set(c.slots))}")
+        if not c.fixed and c.path_id not in paths:
+            raise ValueError(f"{c.config_id}: unknown path {c.path_id}")
+
+
+def config_path(configs: list[RouterConfig]) -> Column:
+    """The regime path of each row's ``config_id``."""
+    pairs = [F.lit(x) for c in configs for x in (c.config_id, c.path_id)]
+    return F.try_element_at(F.create_map(*pairs), F.col("config_id"))
+
+
 def config_rows(configs: list[RouterConfig]) -> Column:
     """The configurations as a literal array, ready to explode next to any row."""
     return F.array(
@@ -183,9 +198,11 @@ def active_strategies(
     by = ["panel_id", "config_id"]
     rows = config_rows(configs)
     spine = cal.select("panel_id", "pos", "date", F.inline(rows))
-    labelled = path.select(
-        "panel_id", "pos", "regime", F.col("path_id").alias("label_path"), F.inline(rows)
-    ).filter(F.col("label_path") == F.col("path_id"))
+    # Each label meets only the configurations routed on its own path.
+    own = F.create_map(*[
+        x for p in dict.fromkeys(c.path_id for c in configs) for x in (F.lit(p), config_rows([c for c in configs if c.path_id == p]))
+    ])
+    labelled = path.select("panel_id", "pos", "regime", F.inline(F.try_element_at(own, F.col("path_id"))))
     active = hysteresis(labelled, by, F.col("hysteresis"), F.col("default_regime"))
     gate = confirmed_gate(
         spine.join(gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"], "left").withColumn(

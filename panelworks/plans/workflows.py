@@ -15,6 +15,12 @@ from ..schemas import FEATURES
 from ..session import materialize
 
 
+def _present(df: DataFrame, column: str, names: set[str]) -> set[str]:
+    """Which of the few ``names`` occur in ``column``."""
+    found = df.filter(F.col(column).isin(sorted(names))).select(column).distinct()
+    return {r[0] for r in found.collect()}
+
+
 def strategy_comparison(
     prices: DataFrame,
     configs: list[weights.RouterConfig],
@@ -27,7 +33,8 @@ def strategy_comparison(
     """Backtest every configuration on every usable panel.
 
     Without ``path`` the regime path is trained walk-forward. ``extra_strategies``
-    adds weight rows under further strategy names.
+    adds weight rows under further strategy names, with or without ``next_ret``.
+    Unknown strategy or path names raise ValueError.
     """
     prices = materialize(panel.usable(prices))
     cal = materialize(panel.calendar(prices))
@@ -42,19 +49,23 @@ def strategy_comparison(
         .unionByName(weights.mean_reversion(enriched))
         .unionByName(weights.defensive(enriched, stables))
     )
+    strategies = set(weights.BUILT_IN)
     if extra_strategies is not None:
-        held = held.unionByName(extra_strategies)
+        if "next_ret" not in extra_strategies.columns:
+            extra_strategies = portfolio.with_forward_returns(extra_strategies, enriched)
+        held = held.unionByName(extra_strategies.select(*held.columns))
+        strategies |= _present(extra_strategies, "strategy", {n for c in configs for n in (c.fixed, *c.slots.values()) if n})
+    weights.check_configs(configs, strategies, _present(path, "path_id", {c.path_id for c in configs}))
     routed = weights.route(weights.active_strategies(cal, path, gates, configs), held)
     days = portfolio.spine(cal, [c.config_id for c in configs])
     daily = materialize(portfolio.daily_accounting(routed, days, **accounting))
-    first_path = path.filter(F.col("path_id") == configs[0].path_id)
     return {
         "calendar": cal,
         "path": path,
         "daily": daily,
         "metrics": portfolio.metrics(daily),
         "trades": portfolio.trades(daily),
-        "regime_pnl": portfolio.regime_pnl(daily, first_path),
+        "regime_pnl": portfolio.regime_pnl(daily.withColumn("path_id", weights.config_path(configs)), path),
         "label_counts": regime.label_counts(path),
     }
 

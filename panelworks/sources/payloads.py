@@ -1,6 +1,8 @@
 """Raw API payloads flattened to tables.
 
-Input is ``(key, body)`` with one JSON document per row as landed by a fetcher.
+Input is ``(key, body)``, and optionally ``fetched_at``, with one JSON document per
+row as landed by a fetcher. Of several values for a day the last fetch wins, and
+within it the last position.
 Schemas are explicit; each document is parsed in the task that reads it. A
 document is one API response, so in-row array work is bounded by the source.
 """
@@ -34,12 +36,10 @@ def ohlcv_quotes(raw: DataFrame, convert: str = "USD") -> DataFrame:
         .when(F.col("entry").startswith("{"), F.from_json("entry", f"STRUCT<quotes: {_QUOTES}>")["quotes"])
         .otherwise(F.from_json(F.try_element_at("data", F.lit("quotes")), _QUOTES))
     )
-    rows = parsed.select("symbol", F.explode(quotes).alias("q"))
-    return rows.withColumn("usd", F.try_element_at("q.quote", F.lit(convert))).select(
-        "symbol",
-        F.to_date(F.to_timestamp("q.time_open")).alias("date"),
-        *[F.col(f"usd.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")],
-    )
+    rows = parsed.select(*_keys(raw, "symbol"), F.posexplode(quotes).alias("i", "q"))
+    rows = rows.withColumn("usd", F.try_element_at("q.quote", F.lit(convert)))
+    values = {c: F.col(f"usd.{c}") for c in ("open", "high", "low", "close", "volume")}
+    return _last_per_day(rows, ["symbol"], F.to_date(F.to_timestamp("q.time_open")), **values)
 
 
 def latest_quotes(raw: DataFrame, convert: str = "USD") -> DataFrame:
@@ -51,16 +51,21 @@ def latest_quotes(raw: DataFrame, convert: str = "USD") -> DataFrame:
 
 
 def _last_per_day(rows: DataFrame, keys: list[str], day: Column, **values: Column) -> DataFrame:
-    """One row per key and day; the last in payload order wins."""
+    """One row per key and day; the last fetch and payload position wins."""
+    order = F.struct("fetched_at", "i") if "fetched_at" in rows.columns else F.col("i")
     return rows.withColumn("date", day).groupBy(*keys, "date").agg(
-        *[F.max_by(c, "i").alias(n) for n, c in values.items()]
+        *[F.max_by(c, order).alias(n) for n, c in values.items()]
     )
 
 
+def _keys(raw: DataFrame, key: str) -> list[str]:
+    return [key, *(c for c in ("fetched_at",) if c in raw.columns)]
+
+
 def chain_tvl(raw: DataFrame) -> DataFrame:
     """Whole-chain locked value per day of ``raw(chain_id, body)``."""
     records = F.from_json("body", "ARRAY<STRUCT<date: BIGINT, tvl: DOUBLE>>")
-    rows = raw.select("chain_id", F.posexplode(records).alias("i", "r"))
+    rows = raw.select(*_keys(raw, "chain_id"), F.posexplode(records).alias("i", "r"))
     return _last_per_day(rows, ["chain_id"], _unix_day("r.date"), value=F.col("r.tvl"))
 
 
@@ -68,20 +73,17 @@ def protocol_tvl(raw: DataFrame, chain_key: str = "Binance") -> DataFrame:
     """One protocol's locked value on one chain; a missing chain yields no rows."""
     schema = "STRUCT<chainTvls: MAP<STRING, STRUCT<tvl: ARRAY<STRUCT<date: BIGINT, totalLiquidityUSD: DOUBLE>>>>>"
     entry = F.try_element_at(F.from_json("body", schema)["chainTvls"], F.lit(chain_key))
-    rows = raw.select("chain_id", F.posexplode(entry["tvl"]).alias("i", "r"))
+    rows = raw.select(*_keys(raw, "chain_id"), F.posexplode(entry["tvl"]).alias("i", "r"))
     return _last_per_day(rows, ["chain_id"], _unix_day("r.date"), value=F.col("r.totalLiquidityUSD"))
 
 
 def candles(raw: DataFrame) -> DataFrame:
-    """Candle arrays ``[ts, o, h, l, c, v]`` of ``raw(symbol, body)``: every candle landed."""
+    """Candle arrays ``[ts, o, h, l, c, v]`` of ``raw(symbol, body)``: every day landed."""
     schema = "STRUCT<data: STRUCT<attributes: STRUCT<ohlcv_list: ARRAY<ARRAY<DOUBLE>>>>>"
     listed = F.from_json("body", schema)["data"]["attributes"]["ohlcv_list"]
-    rows = raw.select("symbol", F.explode(listed).alias("c"))
-    return rows.select(
-        "symbol",
-        _unix_day(F.col("c")[0].cast("bigint")).alias("date"),
-        *[F.col("c")[i].alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)],
-    )
+    rows = raw.select(*_keys(raw, "symbol"), F.posexplode(listed).alias("i", "c"))
+    values = {n: F.col("c")[i] for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)}
+    return _last_per_day(rows, ["symbol"], _unix_day(F.col("c")[0].cast("bigint")), **values)
 
 
 def top_pools(raw: DataFrame, network: str = "bsc") -> DataFrame:
@@ -94,6 +96,8 @@ def top_pools(raw: DataFrame, network: str = "bsc") -> DataFrame:
         "STRUCT<data: ARRAY<STRUCT<id: STRING, attributes: "
         "STRUCT<reserve_in_usd: STRING, volume_usd: MAP<STRING, STRING>>>>>"
     )
+    prefix = f"{network}_"
+    bare = lambda c: F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
     amount = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
     best = F.array_max(
         F.transform(
@@ -101,7 +105,7 @@ def top_pools(raw: DataFrame, network: str = "bsc") -> DataFrame:
             lambda p, i: F.struct(
                 amount(p["attributes"]["reserve_in_usd"]).alias("reserve_usd"),
                 (-i).alias("first"),
-                F.regexp_replace(F.coalesce(p["id"], F.lit("")), f"^{network}_", "").alias("pool_address"),
+                bare(F.coalesce(p["id"], F.lit(""))).alias("pool_address"),
                 amount(F.try_element_at(p["attributes"]["volume_usd"], F.lit("h24"))).alias("volume_24h"),
             ),
         )
@@ -116,7 +120,7 @@ def transfer_aggregates(raw: DataFrame) -> DataFrame:
     Amounts carry 18 decimals, kept in the raw cast and narrowed to double.
     """
     schema = "ARRAY<STRUCT<Block: STRUCT<Date: STRING>, count: STRING, sum_amount: STRING>>"
-    rows = raw.select("token", F.posexplode(F.from_json("body", schema)).alias("i", "r"))
+    rows = raw.select(*_keys(raw, "token"), F.posexplode(F.from_json("body", schema)).alias("i", "r"))
     return _last_per_day(
         rows,
         ["token"],

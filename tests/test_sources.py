@@ -180,3 +180,14 @@ def test_store_remembers_its_buckets(spark, tmp_path):
     stores.put_bars(rows.filter("symbol = 's3'"), path)  # the store's own count holds
     names = [f"s{i}" for i in range(20)]
     assert stores.get_bars(spark, path, names).count() == stores.get_bars(spark, path).count() == 40
+
+
+def test_the_last_fetch_of_a_day_wins(spark):
+    s = 1704067200
+    fetched = lambda docs: spark.createDataFrame([("k", t, json.dumps(d)) for t, d in docs], "k string, fetched_at int, body string")
+    docs = [(2, [{"date": s, "tvl": 7}]), (1, [{"date": s, "tvl": 1}, {"date": s, "tvl": 2}, {"date": s + 86400, "tvl": 3}])]
+    got = ordered(payloads.chain_tvl(fetched(docs).withColumnRenamed("k", "chain_id")), "date")
+    assert [r.value for r in got] == [7.0, 3.0]
+    listed = lambda rows: {"data": {"attributes": {"ohlcv_list": rows}}}
+    twice = fetched([(2, listed([[s, 5, 5, 5, 5, 5]])), (1, listed([[s, 1, 1, 1, 1, 1]]))])
+    assert [r.close for r in payloads.candles(twice.withColumnRenamed("k", "symbol")).collect()] == [5.0]

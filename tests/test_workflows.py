@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import labels, prices
 from pyspark.sql import functions as F
 
