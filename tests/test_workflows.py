@@ -47,3 +47,16 @@ def test_walk_forward_path_is_trained_when_absent(spark):
     out = workflows.strategy_comparison(prices(spark, walk(66, 4)), [RouterConfig("free")])
     assert out["path"].count() == 6
     assert out["label_counts"].agg(F.sum("days")).first()[0] == 6
+
+
+def test_unknown_names_raise_and_own_strategies_need_no_returns(spark):
+    panels = prices(spark, walk(40, 5))
+    path = labels(spark, ["ranging"] * 40)
+    for bad in (RouterConfig("c", "a", slots={"trending": "momentun", "ranging": "momentum", "high_volatility": "defensive"}),
+                RouterConfig("c", "b"), RouterConfig("c", fixed="mine")):
+        with pytest.raises(ValueError):
+            workflows.strategy_comparison(panels, [bad], path)
+    own = spark.range(40).selectExpr("'p' panel_id", "'mine' strategy", "CAST(id AS INT) pos", "date_add(DATE'2024-01-01', CAST(id AS INT)) date", "'S0' symbol", "1D w")
+    out = workflows.strategy_comparison(panels, [RouterConfig("own", fixed="mine")], path, extra_strategies=own, fee_bps=0.0, slippage_bps=0.0)
+    closes = walk(40, 5)["S0"]
+    assert np.isclose(out["metrics"].first().total_return, closes[-1] / closes[0] - 1)
