@@ -75,12 +75,23 @@ def sort_map(c: str) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(c)))
 
 
+def _sorted_maps(reads: DataFrame) -> DataFrame:
+    return reads.withColumns({m: sort_map(m) for m in ("attribution", "features", "posterior")})
+
+
+def _read_keys(reads: DataFrame) -> list[str]:
+    return [c for c in ("panel_id", "path_id", "date") if c in reads.columns]
+
+
+def flat_reads(reads: DataFrame) -> DataFrame:
+    """One JSON record per read without an envelope: sorted keys, compact."""
+    return _sorted_maps(reads).select(*_read_keys(reads), F.to_json(read_struct(), KEEP_NULLS).alias("document"))
+
+
 def read_documents(reads: DataFrame, service: str, job_id: Column | None = None) -> DataFrame:
     """Versioned envelope per read: sorted keys, compact, no job id when NULL."""
-    sorted_maps = reads.withColumns({m: sort_map(m) for m in ("attribution", "features", "posterior")})
     job = F.lit(None).cast("bigint") if job_id is None else job_id
     envelope = F.struct(
         job.alias("job_id"), read_struct().alias("read"), F.lit(service).alias("service"), F.lit(VERSION).alias("version")
     )
-    keys = [c for c in ("panel_id", "path_id", "date") if c in reads.columns]
-    return sorted_maps.select(*keys, F.to_json(envelope).alias("document"))
+    return _sorted_maps(reads).select(*_read_keys(reads), F.to_json(envelope).alias("document"))

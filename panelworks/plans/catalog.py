@@ -30,7 +30,7 @@ from ..sources import dims, payloads, stores
 from ..session import materialize, scratch_path
 from . import workflows
 from .oracle import pick, sql
-from .standins import CONFIG_IDS, CONFIGS, STABLES, VARIANTS, Inputs, tidy
+from .standins import CONFIG_IDS, CONFIGS, PATHS, STABLES, VARIANTS, Inputs, tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -495,48 +495,69 @@ def _(d):
     return regime.label_deltas(regime.label_counts(d.path), "baseline", "eager")
 
 
-@query("regime_bands", sql("""SELECT panel_id, regime, min(date) AS from_date, max(date) AS to_date, count(*) AS n_days FROM (
-    SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY date) - row_number() OVER (PARTITION BY panel_id, regime ORDER BY date) AS g
-    FROM (SELECT c.panel_id, c.date, coalesce(p.regime, 'unclassified') AS regime FROM cal c
-          LEFT JOIN path p ON p.panel_id = c.panel_id AND p.date = c.date AND p.path_id = 'baseline'))
-    GROUP BY panel_id, regime, g"""))
+@query("regime_bands", sql("""SELECT panel_id, path_id, regime, min(date) AS from_date, max(date) AS to_date, count(*) AS n_days FROM (
+    SELECT *, row_number() OVER (PARTITION BY panel_id, path_id ORDER BY date) - row_number() OVER (PARTITION BY panel_id, path_id, regime ORDER BY date) AS g
+    FROM (SELECT c.panel_id, v.path_id, c.date, coalesce(p.regime, 'unclassified') AS regime FROM cal c CROSS JOIN (VALUES ('baseline'), ('eager')) AS v(path_id)
+          LEFT JOIN path p ON p.panel_id = c.panel_id AND p.date = c.date AND p.path_id = v.path_id))
+    GROUP BY panel_id, path_id, regime, g"""))
 def _(d):
-    path = d.path.filter("path_id = 'baseline'").select("panel_id", "date", "regime")
-    return runs.bands(d.calendar.select("panel_id", "date").join(path, ["panel_id", "date"], "left"), ["panel_id"])
+    days = d.calendar.select("panel_id", "date", F.explode(F.array(*map(F.lit, PATHS))).alias("path_id"))
+    path = d.path.select("panel_id", "path_id", "date", "regime")
+    return runs.bands(days.join(path, ["panel_id", "path_id", "date"], "left"), ["panel_id", "path_id"])
 
 
-@query("stance", sql("""SELECT p.panel_id, p.date, p.regime, r.risk_off, CASE WHEN r.risk_off THEN 'defensive' ELSE
+@query("stance", sql("""SELECT p.panel_id, p.path_id, p.date, p.regime, r.risk_off, CASE WHEN r.risk_off THEN 'defensive' ELSE
     CASE p.regime WHEN 'trending' THEN 'momentum' WHEN 'high_volatility' THEN 'defensive' ELSE 'market portfolio' END END AS stance
-    FROM path p JOIN risk r ON r.panel_id = p.panel_id AND r.pos = p.pos WHERE p.path_id = 'baseline'"""))
+    FROM path p JOIN risk r ON r.panel_id = p.panel_id AND r.pos = p.pos"""))
 def _(d):
-    rows = d.path.filter("path_id = 'baseline'").join(d.gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"])
-    return rows.select("panel_id", "date", "regime", "risk_off", regime.stance(F.col("regime"), F.col("risk_off")).alias("stance"))
+    rows = d.path.join(d.gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"])
+    return rows.select("panel_id", "path_id", "date", "regime", "risk_off", regime.stance(F.col("regime"), F.col("risk_off")).alias("stance"))
 
 
-@query("hmm_fit")
+# Trained models depend on random draws: the SQL checks what every training must hold.
+@query("hmm_fit", sql(f"""SELECT panel_id, 'baseline' AS path_id, CAST(refit_pos AS BIGINT) AS refit_pos, CAST(3 AS BIGINT) AS n_states,
+    1e0 AS start_total, true AS finite, {', '.join(
+    f"floor(1e6 * (m_{c}) + 0.5e0) / 1e6 AS {c}_center, floor(1e6 * (s_{c}) + 0.5e0) / 1e6 AS {c}_scale" for c in FEATURES)}
+    FROM prefix_models WHERE refit_pos >= 60 AND (refit_pos - 60) % 6 = 0"""))
 def _(d):
     models = hmm.fit_models(hmm.training_jobs(d.features))
-    return models.select("panel_id", "path_id", "refit_pos", "loglik", F.size("states").alias("n_states"))
+    total = F.aggregate("states", F.lit(0.0), lambda a, s: a + s["start"])
+    moments = [F.get(k, F.lit(i)).alias(f"{c}_{k}") for i, c in enumerate(FEATURES) for k in ("center", "scale")]
+    return models.select(
+        "panel_id", "path_id", "refit_pos", F.size("states").alias("n_states"), total.alias("start_total"),
+        (F.abs("loglik") < float("inf")).alias("finite"), *moments,
+    )
+
+
+def _read_checks(reads, *more):
+    """Keys of trained reads, and whether label, confidence and posterior fit together."""
+    mass = F.aggregate(F.map_values("posterior"), F.lit(0.0), lambda a, b: a + b)
+    top = F.abs(F.array_max(F.map_values("posterior")) - F.col("confidence")) < 1e-9
+    return reads.select("panel_id", "path_id", "date", *more, F.col("regime").isin(*REGIMES).alias("known"), top.alias("likeliest"), mass.alias("mass"))
 
 
-@query("regime_path")
+def _read_sql(path_id):
+    return sql(f"SELECT panel_id, '{path_id}' AS path_id, date, CAST(pos AS BIGINT) AS pos, true AS known, true AS likeliest, 1e0 AS mass FROM sched")
+
+
+@query("regime_path", _read_sql("baseline"))
 def _(d):
-    return regime.regime_reads(d.features).select("panel_id", "path_id", "date", "regime", "confidence")
+    return _read_checks(regime.regime_reads(d.features), "pos")
 
 
-@query("regime_path_extra")
+@query("regime_path_extra", _read_sql("tvl"))
 def _(d):
     tvl = ("tvl_mom20", "tvl_dd", "pancake_share_mom20")
     joined = align.align_asof(d.features, flows.tvl_features(*d.tvl), list(tvl), ["panel_id"])
-    reads = regime.regime_reads(joined, "tvl", cols=(*FEATURES, *tvl))
-    return reads.select("panel_id", "path_id", "date", "regime", "confidence")
+    return _read_checks(regime.regime_reads(joined, "tvl", cols=(*FEATURES, *tvl)), "pos")
 
 
-@query("latest_read")
+@query("latest_read", sql("""SELECT f.panel_id, 'latest' AS path_id, f.date, r.risk_off, true AS known, true AS likeliest, 1e0 AS mass
+    FROM feats f JOIN risk r ON r.panel_id = f.panel_id AND r.pos = f.pos
+    JOIN last_day z ON z.panel_id = f.panel_id AND z.pos = f.pos""", last_day="SELECT panel_id, max(pos) AS pos FROM feats GROUP BY 1"))
 def _(d):
     reads = regime.latest_reads(d.features).join(d.gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"])
-    named = regime.stance(F.col("regime"), F.col("risk_off"))
-    return reads.select("panel_id", "date", "regime", "confidence", "risk_off", named.alias("stance"))
+    return _read_checks(reads, "risk_off")
 
 
 # --- strategies -------------------------------------------------------------
@@ -654,16 +675,21 @@ def _(d):
 
 _PNL = """SELECT d.panel_id, d.config_id, coalesce(p.regime, 'unclassified') AS regime, count(*) AS days,
     product(1 + ret) - 1 AS total_return, avg(ret) AS mean_return
-    FROM daily d LEFT JOIN path p ON p.panel_id = d.panel_id AND p.pos = d.pos AND p.path_id = 'baseline'
+    FROM daily d LEFT JOIN path p ON p.panel_id = d.panel_id AND p.pos = d.pos
+    AND p.path_id = CASE d.config_id WHEN 'gated_eager' THEN 'eager' ELSE 'baseline' END
     WHERE ret IS NOT NULL GROUP BY ALL"""
 
 
+def _regime_pnl(d):
+    return portfolio.regime_pnl(d.daily.withColumn("path_id", weights.config_path(CONFIGS)), d.panel_path)
+
+
 @query("regime_pnl", sql("""SELECT panel_id, config_id, regime, days, floor(1e6 * (total_return) + 0.5e0) / 1e6 AS total_return,
     floor(1e6 * (mean_return) + 0.5e0) / 1e6 AS mean_return,
     floor(1e6 * (coalesce(total_return / nullif(sum(total_return) OVER (PARTITION BY panel_id, config_id), 0), 0)) + 0.5e0) / 1e6 AS share_of_pnl
     FROM pnl""", pnl=_PNL))
 def _(d):
-    return portfolio.regime_pnl(d.daily, d.panel_path.filter("path_id = 'baseline'"))
+    return _regime_pnl(d)
 
 
 # --- validation -------------------------------------------------------------
@@ -748,24 +774,26 @@ def _(d):
     return validation.deflated_sharpe(d.stored_daily, VARIANTS).select("panel_id", "config_id", "n_obs", "n_trials", "benchmark", "dsr")
 
 
-_BOOT = 100
-_STEPS = f"""SELECT o.panel_id, o.config_id, b, k * 10 + j AS j, o.n,
-    (CAST('0x' || substr(md5('0|' || b || '|' || k), 1, 8) AS BIGINT) % o.n + j) % o.n AS i
-    FROM (SELECT panel_id, config_id, max(n) AS n FROM obs GROUP BY 1, 2) o,
-    range({_BOOT}) AS rb(b), range(1000) AS rk(k), range(10) AS rj(j)
-    WHERE k < ceil(o.n / 10e0) AND k * 10 + j < o.n"""
-_PATHS_SQL = """SELECT s.panel_id, s.config_id, s.b, s.j, o.ret FROM steps s
+_BOOT = 1000
+_STEPS = f"""SELECT panel_id, config_id, b, j, n,
+    (CAST('0x' || substr(md5('0|' || b || '|' || (j // 10)), 1, 8) AS BIGINT) % n + j % 10) % n AS i
+    FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT panel_id, config_id, max(n) AS n FROM obs GROUP BY 1, 2)),
+    range({_BOOT}) AS rb(b)"""
+_PATHS_SQL = """SELECT s.panel_id, s.config_id, s.b, s.j, s.n, o.ret FROM steps s
     JOIN obs o ON o.panel_id = s.panel_id AND o.config_id = s.config_id AND o.i = s.i"""
 _BOOT_SQL = """SELECT panel_id, config_id, b,
     CASE WHEN stddev_samp(ret) > 1e-12 THEN sqrt(365e0) * avg(ret) / stddev_samp(ret) ELSE 0e0 END AS sharpe,
     product(1 + ret) - 1 AS total_return FROM boot_paths GROUP BY 1, 2, 3"""
 
 
-@query("bootstrap_paths", sql("""SELECT panel_id, config_id, b, j, floor(1e6 * (ret) + 0.5e0) / 1e6 AS ret FROM boot_paths
-    WHERE config_id IN ('gated', 'equal_weight')""", steps=_STEPS, boot_paths=_PATHS_SQL))
+# Every path of every configuration; a path's returns and their order show in two means.
+@query("bootstrap_paths", sql("""SELECT panel_id, config_id, b, count(*) AS n, floor(1e6 * (avg(ret)) + 0.5e0) / 1e6 AS mean,
+    floor(1e6 * (avg(ret * (j + 1) / n)) + 0.5e0) / 1e6 AS ordered_mean FROM boot_paths GROUP BY 1, 2, 3""", steps=_STEPS, boot_paths=_PATHS_SQL))
 def _(d):
-    two = d.stored_daily.filter(F.col("config_id").isin("gated", "equal_weight"))
-    return bootstrap.bootstrap_paths(two, _BOOT)
+    paths = bootstrap.bootstrap_paths(d.stored_daily, _BOOT)
+    length = paths.groupBy("panel_id", "config_id", "b")
+    step = F.sum(F.col("ret") * (F.col("j") + 1)) / F.count("*") / F.count("*")
+    return length.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), step.alias("ordered_mean"))
 
 
 @query("bootstrap_metrics", sql("""SELECT panel_id, config_id, b, floor(1e6 * (sharpe) + 0.5e0) / 1e6 AS sharpe,
@@ -775,10 +803,9 @@ def _(d):
 
 
 @query("bootstrap_custom_metric", sql("""SELECT panel_id, config_id, b, floor(1e6 * (sum(abs(ret))) + 0.5e0) / 1e6 AS metric FROM boot_paths
-    WHERE config_id = 'equal_weight' GROUP BY 1, 2, 3""", steps=_STEPS, boot_paths=_PATHS_SQL))
+    GROUP BY 1, 2, 3""", steps=_STEPS, boot_paths=_PATHS_SQL))
 def _(d):
-    one = d.stored_daily.filter("config_id = 'equal_weight'")
-    return bootstrap.path_metric(bootstrap.bootstrap_paths(one, _BOOT), F.sum(F.abs("ret")))
+    return bootstrap.path_metric(bootstrap.bootstrap_paths(d.stored_daily, _BOOT), F.sum(F.abs("ret")))
 
 
 @query("bootstrap_ci", sql("""SELECT panel_id, config_id, p.sharpe, p.total_return, floor(1e6 * (quantile_cont(b.sharpe, 0.05)) + 0.5e0) / 1e6 AS sharpe_lo,
@@ -910,6 +937,17 @@ def _(d):
     return rebalance.execution_plan(_last_reads(d), now, target, ["panel_id"], 10_000.0)
 
 
+@query("plan_intents", sql("""SELECT panel_id, row_number() OVER (PARTITION BY panel_id ORDER BY CASE action WHEN 'sell' THEN 0 ELSE 1 END, usd_amount DESC, symbol) AS seq,
+    symbol, action, floor(1e6 * (usd_amount) + 0.5e0) / 1e6 AS usd_amount, floor(1e6 * (fraction) + 0.5e0) / 1e6 AS fraction FROM diff
+    WHERE panel_id IN (SELECT p.panel_id FROM path p JOIN risk k ON k.panel_id = p.panel_id AND k.pos = p.pos
+      JOIN last_day z ON z.panel_id = p.panel_id AND z.pos = p.pos
+      WHERE p.path_id = 'baseline' AND NOT k.risk_off AND p.regime <> 'high_volatility')""", diff=_DIFF, last_day=_LAST))
+def _(d):
+    now, target = _books(d)
+    plan = rebalance.execution_plan(_last_reads(d), now, target, ["panel_id"], 10_000.0)
+    return rebalance.plan_intents(plan, rebalance.weights_to_intents(now, target, ["panel_id"], 10_000.0), ["panel_id"])
+
+
 @query("equity_pivot", sql(f"""SELECT d.panel_id, d.date, p.regime, {', '.join(
     f"floor(1e6 * (ln(max(CASE WHEN config_id = '{c}' THEN equity END) / 1e4)) + 0.5e0) / 1e6 AS {c}" for c in CONFIG_IDS)}
     FROM daily d LEFT JOIN path p ON p.panel_id = d.panel_id AND p.date = d.date AND p.path_id = 'baseline' GROUP BY 1, 2, 3"""))
@@ -933,7 +971,7 @@ def _(d):
 @query("regime_day_share", sql("""SELECT panel_id, config_id, regime, days,
     floor(1e6 * (days / CAST(sum(days) OVER (PARTITION BY panel_id, config_id) AS DOUBLE)) + 0.5e0) / 1e6 AS day_share FROM pnl""", pnl=_PNL))
 def _(d):
-    return report.regime_day_share(portfolio.regime_pnl(d.daily, d.panel_path.filter("path_id = 'baseline'")))
+    return report.regime_day_share(_regime_pnl(d))
 
 
 @query("dd_breach", sql("""SELECT o.panel_id, o.config_id, floor(1e6 * (abs(o.mean_max_drawdown)) + 0.5e0) / 1e6 AS drawdown,
@@ -963,6 +1001,21 @@ def _(d):
     )
 
 
+@query("read_flat_export", sql("""SELECT b.panel_id, b.date, b.regime, floor(1e6 * (b.prob) + 0.5e0) / 1e6 AS confidence, r.risk_off,
+    floor(1e6 * (b.realized_vol) + 0.5e0) / 1e6 AS realized_vol,
+    'attribution,confidence,date,features,posterior,recommended_stance,regime,risk_off' AS keys
+    FROM best b JOIN risk r ON r.panel_id = b.panel_id AND r.pos = b.pos"""))
+def _(d):
+    reads = d.reads.join(d.gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"])
+    docs = export.flat_reads(reads)
+    schema = "STRUCT<confidence: DOUBLE, date: DATE, features: MAP<STRING, DOUBLE>, regime: STRING, risk_off: BOOLEAN>"
+    parsed = docs.withColumn("r", F.from_json("document", schema))
+    return parsed.select(
+        "panel_id", "r.date", "r.regime", "r.confidence", "r.risk_off", F.col("r.features")["realized_vol"].alias("realized_vol"),
+        F.array_join(F.json_object_keys("document"), ",").alias("keys"),
+    )
+
+
 @query("result_json_export", sql("""SELECT panel_id, config_id, count(*) AS n_days, count(ret) AS n_returns,
     min(date) AS first_date, floor(1e6 * (ln(arg_max(equity, pos) / 1e4)) + 0.5e0) / 1e6 AS last_log_equity,
     floor(1e6 * (avg(turnover)) + 0.5e0) / 1e6 AS turnover FROM daily GROUP BY 1, 2"""))
@@ -992,10 +1045,9 @@ def _(d):
     return docs.select("panel_id", F.inline(parsed))
 
 
-@query("weight_lines_export", pick("routed", "panel_id config_id symbol", "", "w", where="config_id = 'gated'"))
+@query("weight_lines_export", pick("routed", "panel_id config_id symbol", "", "w"))
 def _(d):
     cal = d.calendar.select("panel_id", "pos", "date")
-    held = d.routed.filter("config_id = 'gated'")
-    lines = export.weight_lines(held.drop("date").join(cal, ["panel_id", "pos"]))
+    lines = export.weight_lines(d.routed.drop("date").join(cal, ["panel_id", "pos"]))
     doc = F.from_json("document", "STRUCT<panel_id: STRING, config_id: STRING, symbol: STRING, weight: DOUBLE>")
     return lines.select(doc.alias("x")).select("x.panel_id", "x.config_id", "x.symbol", F.col("x.weight").alias("w"))

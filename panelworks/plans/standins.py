@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import so_far
@@ -63,26 +63,39 @@ class Inputs:
         brand = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
         return self.table("lineitem").join(brand, "l_partkey")
 
+    @staticmethod
+    def measures() -> list[Column]:
+        """Cents and units are whole numbers: their sums are exact in any order."""
+        units = F.col("l_quantity")
+        flag = F.when(F.col("l_returnflag") == "R", units).when(F.col("l_returnflag") == "A", -units)
+        return [
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+            units.alias("units"),
+            F.when(units >= 40, units).alias("large"),
+            F.coalesce(flag, F.lit(0.0)).alias("returned"),
+        ]
+
+    @cached_property
+    def weekly_sales(self) -> DataFrame:
+        """Shipments by (brand, week) alone, which need no supplier."""
+        week = F.trunc(F.to_date("l_shipdate"), "week").alias("week")
+        rows = self.shipments.select("symbol", week, *self.measures())
+        return rows.groupBy("symbol", "week").agg(*[F.sum(c).alias(c) for c in ("cents", "units", "large", "returned")])
+
     @cached_property
     def sales(self) -> DataFrame:
         """Shipments rolled up by (brand, week) and by (brand, nation, month).
 
         Both groupings come from one scan and are combined map-side, so the raw rows
-        are read and shuffled as partial sums once. Cents and units are whole
-        numbers: their sums are exact in any order.
+        are read and shuffled as partial sums once.
         """
         nation = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-        units = F.col("l_quantity")
-        flag = F.when(F.col("l_returnflag") == "R", units).when(F.col("l_returnflag") == "A", -units)
         rows = self.shipments.join(nation, "l_suppkey").select(
             "symbol",
             F.col("s_nationkey").alias("nation"),
             F.trunc(F.to_date("l_shipdate"), "week").alias("week"),
             F.trunc(F.to_date("l_shipdate"), "month").alias("month"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-            units.alias("units"),
-            F.when(units >= 40, units).alias("large"),
-            F.coalesce(flag, F.lit(0.0)).alias("returned"),
+            *self.measures(),
         )
         sets = [["symbol", "week"], ["symbol", "nation", "month"]]
         return rows.groupingSets(sets, "symbol", "nation", "week", "month").agg(
@@ -205,7 +218,11 @@ class Inputs:
 
     @cached_property
     def side_series(self) -> DataFrame:
-        weekly = self.stored_sales.filter(F.col("week").isNotNull()).select(
+        return self.series_of(self.weekly_sales)
+
+    @staticmethod
+    def series_of(sales: DataFrame) -> DataFrame:
+        weekly = sales.filter(F.col("week").isNotNull()).select(
             "symbol",
             F.col("week").alias("date"),
             F.col("units").alias("dexvol"),
@@ -247,10 +264,11 @@ class Inputs:
 
     @cached_property
     def bars(self) -> DataFrame:
+        ten_digits = F.lit("1" + "0" * 10).cast("decimal(11,0)")  # room for the part key
         ticks = self.shipments.select(
             "symbol",
             F.col("l_shipdate").alias("ts"),
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(12,0)") * 10_000_000 + F.col("l_partkey")).alias("seq"),
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(12,0)") * ten_digits + F.col("l_partkey")).alias("seq"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("qty"),
         )
@@ -258,8 +276,8 @@ class Inputs:
 
     def strategies(self) -> dict[str, DataFrame]:
         p = self.panel
-        mom = materialize(weights.momentum(p, 30, 3))
-        side = self.side_series
+        mom = weights.momentum(p, 30, 3)
+        side = self.series_of(self.stored_sales)
         return {
             "equal_weight": weights.equal_weight(p),
             "momentum": mom,
