@@ -21,7 +21,8 @@ are further copies. Whole texts are read at any length; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ SIMILAR = 0.8
 MIN_WORDS = 20
 BANDS, ROWS = 9, 3
 _SEED = 3
-_rng = np.random.default_rng(_SEED)
-_MULTIPLY = _rng.integers(1, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+
+
+@cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(_SEED)
+    return rng.integers(1, 1 << 64, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, n, dtype=np.uint64)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -51,13 +55,14 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([digest(a + b + c + d + e) for a, b, c, d, e in zip(w, w[1:], w[2:], w[3:], w[4:])], dtype=np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
+def band_keys(hashes: np.ndarray, bands: int = BANDS) -> list[int]:
     """One signed key per band."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    multiply, add = _permutations(bands * ROWS)
+    low = np.full(bands * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 2048):
         h = hashes[at : at + 2048]
-        low = np.minimum(low, (h[:, None] * _MULTIPLY + _ADD).min(axis=0))
-    rows = low.astype("<u8").reshape(BANDS, ROWS)
+        low = np.minimum(low, (h[:, None] * multiply + add).min(axis=0))
+    rows = low.astype("<u8").reshape(bands, ROWS)
     return [xxhash.xxh64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)]
 
 
@@ -135,19 +140,14 @@ def _torn(members: DataFrame, roots: DataFrame) -> DataFrame:
     return part.join(torn, "key")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, component_id, component_size, removed) of every paragraph that has a copy or
-    near copy; component_id is "document:line" of the first of the component."""
-    found = saved(paragraphs(docs, id_col, text_col, min_words))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "ka", "kb")
-    classes = found.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
-    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
-    members = classes.select("cid", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("doc"), F.explode("keys").alias("key"))
+def similar_roots(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cid, root) of the classes (cid, doc, keys) that exact Jaccard similarity links; ``sets_of``
+    gives the shingle sets (cid, hashes) of the classes (cid) that share a key with another."""
+    members = classes.select("cid", "doc", F.explode("keys").alias("key"))
     ends = F.struct(F.min_by("cid", "doc").alias("early"), F.min("cid").alias("low"), F.max("cid").alias("high"))
     buckets = members.groupBy("key").agg(ends.alias("e")).select("key", "e.*").where("low < high")
     colliding = saved(members.drop("doc").join(buckets, "key"))
-    wanted = colliding.select("cid").distinct().join(classes, "cid").select("cid", "first.ka", "first.kb", "first.line")
-    sets = saved(_sets(docs, wanted, id_col, text_col))
+    sets = saved(sets_of(colliding.select("cid").distinct()))
     star = colliding.select("cid", F.explode(F.array("early", "low")).alias("hub"))
     links = saved(_similar(_ordered(star, "hub"), sets))
     held = _torn(colliding.select("key", "cid"), components(links)).join(sets, "cid")
@@ -155,7 +155,19 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root"))
     sizes = (F.size("x.hashes") >= SIMILAR * F.size("y.hashes") - 1e-9) & (F.size("y.hashes") >= SIMILAR * F.size("x.hashes") - 1e-9)
     more = x.join(y, apart & sizes & _jaccard(F.col("x.hashes"), F.col("y.hashes"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "cid")
+    return components(links.unionByName(more)).withColumnRenamed("node", "cid")
+
+
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line, component_id, component_size, removed) of every paragraph that has a copy or
+    near copy; component_id is "document:line" of the first of the component."""
+    found = saved(paragraphs(docs, id_col, text_col, min_words))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "ka", "kb")
+    classes = found.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
+    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
+    first = classes.select("cid", "first.ka", "first.kb", "first.line")
+    members = classes.select("cid", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("doc"), "keys")
+    roots = similar_roots(members, lambda wanted: _sets(docs, wanted.join(first, "cid"), id_col, text_col))
     grouped = classes.select("class", "cid", "n", F.struct("first.last", "first.doc_id", "first.line").alias("first")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = grouped.groupBy("root").agg(F.sum("n").alias("component_size"), F.min("first").alias("head")).where("component_size > 1")
     repeated = grouped.select("class", "root").join(whole, "root").select("class", "component_size", "head")

@@ -89,6 +89,19 @@ def test_fingerprints_link_through_chains(spark):
     assert _roots(10, [(index[a], index[b]) for a, b in want]) == _roots(10, [tuple(index[v] for v in p) for p in got])
 
 
+def test_pipeline_drops_near_copies(spark):
+    base = [f"near{i}" for i in range(200)]
+    edited = lambda *places: " ".join("edit" if i in places else w for i, w in enumerate(base))
+    texts = [" ".join(base), edited(50, 120), edited(20, 70, 120, 170), edited(*range(10, 200, 20)), " ".join(base).upper(), "a b", "a c", None, ""]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(None, "no id here", "en", "s", 10), (None, "nor does this one", "en", "s", 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert (_fingerprint(texts[0]) ^ _fingerprint(texts[2])).bit_count() > 2  # beyond the links of op1
+    kept = corpus_pipeline.dedup_near_copies(spark, docs, SF).collect()
+    # Two and four edits leave 186 and 176 of 196 shingles (0.90 and 0.81), ten leave 0.6.
+    assert Counter(r.doc_id for r in kept) == Counter({0: 1, 3: 1, 5: 1, 6: 1, 7: 1, None: 2})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 300), (None, 3), (250, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
