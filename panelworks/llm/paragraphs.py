@@ -1,8 +1,9 @@
 """Repeated paragraphs by MinHash banding, exact verification and components.
 
-A paragraph is a line of at least ``MIN_WORDS`` words (shorter lines are headings, notices and other
-wording that unrelated documents share by right). Paragraphs equal in words are one class, whatever
-their number of copies. Each class gets ``BANDS`` keys of ``ROWS`` MinHash values over its five-word
+A paragraph is a line of at least ``MIN_WORDS`` words, or all consecutive shorter lines up to a blank
+line or such a long one, so that wrapped text and tables are paragraphs too. Blocks of fewer words in
+all are left out (headings, notices and other wording that unrelated documents share by right).
+Paragraphs equal in words are one class, whatever their number of copies. Each class gets ``BANDS`` keys of ``ROWS`` MinHash values over its five-word
 shingles; at the threshold of 0.8 a pair shares a key with probability 1 - (1 - 0.8^3)^9 = 0.998.
 
 Classes that share a key are verified by the exact Jaccard similarity of their shingle sets. In
@@ -70,37 +71,52 @@ def _words(line: bytes) -> list[bytes]:
     return line.lower().split()  # bytes: ASCII letters and ASCII white space
 
 
+def blocks(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first line, lines, words) of each paragraph: long lines, and consecutive short lines joined."""
+    start, joined = 0, []
+    for n, s in enumerate([*text.split(b"\n"), b""]):
+        words = _words(s)
+        if 0 < len(words) < min_words:
+            start = start if joined else n
+            joined += words
+            continue
+        if joined and len(joined) >= min_words:
+            yield start, n - start, joined
+        joined = []
+        if words and len(words) >= min_words:
+            yield n, 1, words
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, ka, kb, line, class, keys): each paragraph with the keys of its row, the digest of
-    its words and its band keys (the band is mixed into the key)."""
+    """(doc_id, ka, kb, line, lines, class, keys): each paragraph with the keys of its row, its first
+    line and number of lines, the digest of its words and its band keys (the band is mixed into the key)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                row, line, digest, keys = [], [], [], []
+                row, line, lines, digest, keys = [], [], [], [], []
                 for i, text in enumerate(part.column(3)):
-                    for n, s in enumerate((text.as_py() or "").encode("utf-8", "replace").split(b"\n")):
-                        words = _words(s)
-                        if len(words) >= min_words:
-                            row.append(i)
-                            line.append(n)
-                            digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                            keys.append(band_keys(shingles(words)))
+                    for first, count, words in blocks((text.as_py() or "").encode("utf-8", "replace"), min_words):
+                        row.append(i)
+                        line.append(first)
+                        lines.append(count)
+                        digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                        keys.append(band_keys(shingles(words)))
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(at) for c in range(3)], pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "ka", "kb", "line", "class", "keys"],
+                    [*[part.column(c).take(at) for c in range(3)], pa.array(line, pa.int32()), pa.array(lines, pa.int32()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "ka", "kb", "line", "lines", "class", "keys"],
                 )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), ka.alias("ka"), kb.alias("kb"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, line int, class binary, keys array<long>")
+    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, line int, lines int, class binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, hashes): the shingle sets of the classes in ``wanted`` (cid, ka, kb, line), read from
+    """(cid, hashes): the shingle sets of the classes in ``wanted`` (cid, ka, kb, line, lines), read from
     one copy each."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +125,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
 
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
-    rows = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("line", "cid")).alias("at"))  # lines of one text
+    rows = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("line", "lines", "cid")).alias("at"))  # paragraphs of one text
     texts = docs.select(ka.alias("ka"), kb.alias("kb"), F.col(text_col).alias("text")).join(rows, ["ka", "kb"])
     picked = texts.select(F.split("text", "\n").alias("ls"), F.explode("at").alias("a"))
-    lines = picked.select(F.col("a.cid").alias("cid"), F.element_at("ls", F.col("a.line") + 1).alias("text"))
+    lines = picked.select(F.col("a.cid").alias("cid"), F.array_join(F.slice("ls", F.col("a.line") + 1, F.col("a.lines")), "\n").alias("text"))
     return lines.mapInArrow(batches, "cid long, hashes array<long>").dropDuplicates(["cid"])
 
 
@@ -159,19 +175,19 @@ def similar_roots(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, component_id, component_size, removed) of every paragraph that has a copy or
-    near copy; component_id is "document:line" of the first of the component."""
+    """(doc_id, line, component_id, component_size, removed, n_lines) of every paragraph that has a copy
+    or near copy; component_id is "document:line" of the first of the component, line a paragraph's first."""
     found = saved(paragraphs(docs, id_col, text_col, min_words))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "ka", "kb")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "ka", "kb", "lines")
     classes = found.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
-    first = classes.select("cid", "first.ka", "first.kb", "first.line")
+    first = classes.select("cid", "first.ka", "first.kb", "first.line", "first.lines")
     members = classes.select("cid", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("doc"), "keys")
     roots = similar_roots(members, lambda wanted: _sets(docs, wanted.join(first, "cid"), id_col, text_col))
     grouped = classes.select("class", "cid", "n", F.struct("first.last", "first.doc_id", "first.line").alias("first")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = grouped.groupBy("root").agg(F.sum("n").alias("component_size"), F.min("first").alias("head")).where("component_size > 1")
     repeated = grouped.select("class", "root").join(whole, "root").select("class", "component_size", "head")
-    out = found.select("doc_id", "line", "class").join(repeated, "class")
+    out = found.select("doc_id", "line", "lines", "class").join(repeated, "class")
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line") == F.col("head.line"))
     head = F.concat_ws(":", F.coalesce(F.col("head.doc_id").cast("string"), F.lit("null")), F.col("head.line"))
-    return out.select("doc_id", "line", head.alias("component_id"), "component_size", (~same).alias("removed"))
+    return out.select("doc_id", "line", head.alias("component_id"), "component_size", (~same).alias("removed"), F.col("lines").alias("n_lines"))

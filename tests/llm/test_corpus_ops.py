@@ -161,6 +161,17 @@ def test_paragraphs(spark, odd, none):
     assert paragraphs.repeated_paragraphs(none).count() == 0
 
 
+def test_wrapped_paragraphs(spark):
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    table = "\n".join(f"row {i} value" for i in range(30))
+    texts = [wrap(PASSAGE, 10), wrap(PASSAGE, 10), f"Title here\n\n{wrap(PASSAGE, 7)}\n\nThe end", table, f"{PASSAGE}x\n{table}", "Title here\n\nThe end"]
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line, r.n_lines, r.component_id, r.removed) for r in got} == {
+        (0, 0, 6, "0:0", False), (1, 0, 6, "0:0", True), (2, 2, 9, "0:0", True), (4, 0, 1, "0:0", True), (3, 0, 30, "3:0", False), (4, 1, 30, "3:0", True),
+    }
+    assert len(got) == 6
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = lang_id.identify(docs, spark.read.parquet(f"{SF}/pages.parquet")).toPandas()
