@@ -7,7 +7,7 @@ into blocks, each with its own random code words, and a direction joins one word
 all directions it passes from the best score sums of two halves of the blocks: the work follows the
 length of the list, not the number of directions.
 
-The threshold is the vector's own: the score of its ``PASSED``-th best direction. One threshold for
+The threshold is the vector's own: the score of its ``passed_filters``-th best direction. One threshold for
 all was measured to leave some vectors without a filter and give others ten thousand, as the code
 meets some vectors better than others; near vectors have near scores on every direction, so their
 own thresholds agree as well.
@@ -15,7 +15,8 @@ own thresholds agree as well.
 Vectors that pass a common filter are joined, thinned by the Hamming distance of sign sketches (far
 beyond what linked vectors show), made distinct and verified by the cosine in double precision.
 The code grows with the number of vectors, so that a filter is expected to hold about ``OCCUPANCY``
-unrelated vectors at any size.
+unrelated vectors at any size. Two linked vectors share a falling part of their filters as directions
+multiply, so the number of filters per vector grows too (``passed_filters``).
 
 Equal vectors are one class and are never expanded into pairs. Unlike lengths are compared only
 within a length. Defined results: rows whose vector is null, empty, zero or holds a null or
@@ -40,9 +41,12 @@ from panelworks.llm.vectors import distinct_vectors, matrix, usable
 MIN_COSINE = 0.95
 BLOCKS = 4
 OCCUPANCY = 2.0
-PASSED = 64
+PASSED = 64  # filters of a vector among up to PASSED_AT vectors
+PASSED_AT = 20_000
+PASSED_GROWTH = 0.2  # measured: see README
 SKETCH = 128  # sign bits
 SEED = 7
+_SCORES = 1 << 22  # score sums of a half held at once
 
 
 class Code:
@@ -95,13 +99,19 @@ def decode(unit: np.ndarray, code: Code, passed: int = PASSED) -> np.ndarray:
     return np.take_along_axis(a, best, axis=1) * width + np.take_along_axis(b, best, axis=1)
 
 
+def passed_filters(n: int) -> int:
+    """Filters of each of n vectors, so that linked vectors share one at any size of the code."""
+    return math.ceil(PASSED * max(1.0, n / PASSED_AT) ** PASSED_GROWTH)
+
+
 def code_words(n: int, dim: int) -> int:
     """Words per block, so that n vectors leave about ``OCCUPANCY`` in a filter."""
-    return max(2, math.ceil((n * PASSED / OCCUPANCY) ** (1 / min(BLOCKS, dim))))
+    return max(2, math.ceil((n * passed_filters(n) / OCCUPANCY) ** (1 / min(BLOCKS, dim))))
 
 
-def _filters(classes: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """(rep, dim, filter, s0, s1): the filters each distinct vector passes, and its sketch."""
+def _filters(classes: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """(rep, dim, filter, s0, s1): the filters each distinct vector passes, and its sketch; ``sizes``
+    has the code words and the filters of a vector by dimension."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
@@ -109,16 +119,18 @@ def _filters(classes: DataFrame, sizes: dict[int, int]) -> DataFrame:
             reps = np.asarray(batch.column(0))
             dims = np.asarray(batch.column(2))
             for dim in np.unique(dims).tolist():
+                words, passed = sizes[dim]
                 if dim not in codes:
-                    codes[dim] = Code(dim, sizes[dim])
+                    codes[dim] = Code(dim, words)
                 code = codes[dim]
                 at = np.flatnonzero(dims == dim)
-                for low in range(0, len(at), 256):
-                    part = at[low : low + 256]
+                step = max(1, min(256, _SCORES // words ** ((len(code.blocks) + 1) // 2)))
+                for low in range(0, len(at), step):
+                    part = at[low : low + step]
                     x = matrix(batch.column(1).take(pa.array(part)), dim)
                     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    found = decode(x, code)
+                    found = decode(x, code, passed)
                     row, found = np.repeat(np.arange(len(part)), found.shape[1]), found.ravel()
                     sketch = np.packbits(x @ code.sketch > 0, axis=1).view("<i8")
                     yield pa.RecordBatch.from_arrays(
@@ -148,7 +160,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
 
 def linked_classes(classes: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(a, b, cosine) of distinct vectors found at or above ``min_cosine``, a < b."""
-    sizes = {r["dim"]: code_words(r["n"], r["dim"]) for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dim"]: (code_words(r["n"], r["dim"]), passed_filters(r["n"])) for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
     angle = math.acos(min_cosine) / math.pi
     most = math.ceil(SKETCH * angle + 8 * math.sqrt(SKETCH * angle * (1 - angle)))
     filters = saved(_filters(classes, sizes))

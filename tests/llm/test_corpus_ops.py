@@ -134,6 +134,21 @@ def test_embedding_dedup(spark):
     assert cap_filters.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [20_000, 1_000_000, 30_000_000])
+def test_near_vectors_share_a_filter_at_any_size(n):
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((2, 800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    code, passed = cap_filters.Code(64, cap_filters.code_words(n, 64)), cap_filters.passed_filters(n)
+    common = []
+    for at in range(0, 800, 20):
+        a, b = (cap_filters.decode(v[at : at + 20], code, passed) for v in (x, y))
+        common += [len(np.intersect1d(*r)) for r in zip(a, b)]
+    assert sum(c == 0 for c in common) <= 1 and np.mean(common) > 25
+
+
 def test_nearest(spark):
     rows = _vectors(600)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id is null or vec_id < 606")
