@@ -1,11 +1,12 @@
 """License notices: fixed phrases, and templates by an exact set-similarity join.
 
-A line of text and a template are sets of words. A line names a template when it holds at least
-``threshold`` of the template's words. Words of no template cannot count, so a line keeps only
-template words, ordered by how many lines of the corpus hold them, rarest first. To reach the needed
-overlap, one of a template's first ``size - needed + 1`` words must be in the line: those prefixes
-are joined by word. Lines with fewer template words than needed (length filter) and pairs whose
-words after the first common one cannot suffice (positional filter) are dropped, the rest verified.
+A template is named when ``SPREAD`` times its number of words, taken in a row anywhere in the text, hold
+at least ``threshold`` of its distinct words; line breaks do not count. First texts and templates are
+compared as sets of words: a text keeps only template words, ordered by how many texts hold them,
+rarest first. To reach the needed overlap, one of a template's first ``size - needed + 1`` words must
+be in the text: those prefixes are joined by word. Texts with fewer template words than needed (length
+filter) and pairs whose words after the first common one cannot suffice (positional filter) are
+dropped. The rest are verified at each place of a template's word, with the words that follow it.
 
 The templates are a parameter, so the ordered word list that the driver holds is bounded by them.
 Prefix words are rare by choice; an equi-join on them carries only lines that may match.
@@ -48,6 +49,7 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 THRESHOLD = 0.9
+SPREAD = 2
 
 _GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # code points outside words, before lower-casing
 _WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # the others; ranges match far faster than a negated set
@@ -69,9 +71,10 @@ def _template_words(text: str) -> list[str]:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score (the largest share of a template found in one line, 0 below ``threshold``)."""
+    score (the largest share of a template found in one place, 0 below ``threshold``)."""
     spark = docs.sparkSession
     sets = [(label, _template_words(t)) for label, t in templates]
+    spans = {label: SPREAD * len(re.findall(r"[0-9a-z]+", t.lower())) for label, t in templates}
     vocabulary = sorted({w for _, words in sets for w in words})
     phrase = _pattern(*[p for p, _ in PHRASES])
     # A plain search for the last words spares most texts the patterns.
@@ -80,21 +83,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Two letters beyond ASCII have ASCII lower cases; they are replaced, as their words match no template.
     plain = F.lower(F.replace(F.replace(F.col("t"), F.lit("İ"), F.lit("ı")), F.lit("K"), F.lit("ǩ")))
     known = F.array(*[F.lit(w) for w in vocabulary])
+    enough = [F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), F.col("words"))) >= math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
+    all_words = F.split("low", f"[{_GAP}]+")
+    places = F.filter(F.transform(all_words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(known, x["w"]))
     scanned = saved(
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
         .withColumn("low", plain)
+        .withColumn("words", F.array_intersect(known, all_words))
         .select(
             F.monotonically_increasing_id().alias("row"), "doc_id",
             _count(F.col("t"), WORDS).alias("n_words"),
             F.array(*counts).alias("found"),
             F.when(hint & F.col("t").rlike(phrase), _count(F.regexp_extract(F.col("t"), f"(?s)^(.*?){phrase}", 1), WORDS)).alias("first_word"),
             F.when(hint & F.col("t").rlike(phrase), _count(F.regexp_extract(F.col("t"), f"(?s)^(.*){phrase}", 1), WORDS)).alias("last_word"),
-            F.transform(F.split("low", "\n"), lambda s: F.array_intersect(known, F.split(s, f"[{_GAP}]+"))).alias("lines"),
+            "words",
+            F.when(F.greatest(*enough, F.lit(False)), places).alias("places"),
         )
     )
-    lines = scanned.select("row", F.posexplode("lines").alias("line", "words")).where(F.size("words") > 0)
-    # Template words by the number of lines that hold them: at most one row per word of the templates.
-    held = {r["w"]: r["n"] for r in lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    texts = scanned.select("row", "words").where(F.size("words") > 0)
+    # Template words by the number of texts that hold them: at most one row per word of the templates.
+    held = {r["w"]: r["n"] for r in texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     prefixes = []
@@ -102,19 +110,25 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranked = sorted(words, key=place.__getitem__)
         needed = math.ceil(threshold * len(ranked) - 1e-9)
         prefixes += [(w, label, i, len(ranked), needed, ranked) for i, w in enumerate(ranked[: len(ranked) - needed + 1])]
-    index = literal_rows(spark, ["w", "label", "i", "size", "needed", "template"], [(*p[:5], list(p[5])) for p in prefixes])
-    ordered = lines.withColumn("words", F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")))
+    index = literal_rows(spark, ["w", "label", "i", "size", "needed", "template", "span"], [(*p[:5], list(p[5]), spans[p[1]]) for p in prefixes])
+    ordered = texts.withColumn("words", F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")))
     candidates = (
-        ordered.select("row", "line", "words", F.posexplode("words").alias("j", "w"))
+        ordered.select("row", "words", F.posexplode("words").alias("j", "w"))
         .join(index, "w")
         .where(F.size("words") >= F.col("needed"))  # length
         .where(F.least(F.col("size") - F.col("i"), F.size("words") - F.col("j")) >= F.col("needed"))  # position
     )
-    share = F.size(F.array_intersect("template", "words")) / F.col("size")
-    matched = candidates.select("row", "label", share.alias("share")).where(F.col("share") >= threshold - 1e-12)
+    pairs = candidates.where(F.size(F.array_intersect("template", "words")) >= F.col("needed")).select("row", "label", "template", "size", "span").distinct()
+    words = scanned.select("row", "places").join(pairs, "row").select("row", "label", "template", "size", "span", F.inline("places"))
+    # Places over the span: the words less than one span after a place are those of its range.
+    reach = 1 - 0.5 / max(spans.values(), default=1)
+    near = F.expr(f"collect_set(w) OVER (PARTITION BY row, label ORDER BY x RANGE BETWEEN CURRENT ROW AND {reach!r}D FOLLOWING)")
+    share = F.size(near) / F.col("size")
+    found = words.where(F.array_contains("template", F.col("w"))).withColumn("x", F.col("at") / F.col("span"))
+    matched = found.select("row", "label", share.alias("share")).where(F.col("share") >= threshold - 1e-12)
     named = matched.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("score"))
     base = F.array_compact(F.array(*[F.when(F.col("found")[i] > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
-    out = scanned.drop("lines").join(named, "row", "left").withColumn("base", F.array_sort(base))
+    out = scanned.drop("words", "places").join(named, "row", "left").withColumn("base", F.array_sort(base))
     return out.select(
         "doc_id", "n_words",
         F.aggregate("found", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_base"),

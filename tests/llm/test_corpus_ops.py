@@ -258,6 +258,16 @@ def test_licenses(spark, odd, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_license_blocks_do_not_depend_on_lines(spark):
+    notices = dict(license_scan.TEMPLATES)
+    wrap = lambda text, n: "\n * ".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    filler = "word " * 40
+    texts = [f"{filler}\n{wrap(notices[n], 6)}\n{filler}" for n in ("bsd", "mit-notice", "isc", "gpl-notice")]
+    texts += [f"all {filler} rights {filler} reserved", f"{filler} All rights reserved {filler}", f"reserved all {filler} all\nrights\nreserved"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mit-notice", 1.0), 2: ("isc", 1.0), 3: ("gpl,gpl-notice", 1.0), 4: ("", 0.0), 5: ("all-rights-reserved", 1.0), 6: ("all-rights-reserved", 1.0)}
+
+
 def test_lines(spark, odd, none):
     out = line_dedup.line_dedup(odd)
     assert [c for c in out.columns if c != "n_removed"] == [c for c in odd.columns if c != "n_lines"] + ["n_lines"]
