@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, byte_bpe, cap_filters, hnsw, html_extract, lang_id, paragraphs, simhash
+from panelworks.llm import bpe, byte_bpe, cap_filters, hnsw, html_extract, lang_id, paragraphs, prefix_trie, simhash, turn_align
 from panelworks.llm.common import table
 from panelworks.llm.license_scan import LICENSE_SQL, license_scan
 from panelworks.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
@@ -55,6 +55,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_align.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_turn_repair": op12_turn_repair,
     "op13_byte_bpe": op13_byte_bpe,
 }
-SQL = {"op8_license_scan": LICENSE_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIX_SQL}
+SQL = {"op8_license_scan": LICENSE_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIX_SQL, "op11_prefix_trie": prefix_trie.TRIE_SQL, "op12_turn_repair": turn_align.TURN_SQL}

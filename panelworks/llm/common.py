@@ -49,3 +49,15 @@ def hash_sample(rows: DataFrame, limit: int) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, read back without lineage."""
     return materialize(df)
+
+
+# DuckDB common table expressions: the CRC-32 steps of all bytes, and the CRC-32 of an ASCII column.
+CRC32_STEPS_SQL = """crc_steps AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS steps
+  FROM range(256) r(n))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII expression, where ``crc_steps`` is joined."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1])), 4294967295)"
