@@ -25,6 +25,7 @@ clash). An empty table gives no rows. Texts are encoded whole at any length.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -34,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PIECES = 300_000  # codes of matches kept per worker, and as many older ones; up to 130 MB
+MAX_PIECES = 400_000  # codes of matches kept per worker, and as many older ones; up to 170 MB
 MAX_PAIRS = 500_000  # checked token pairs kept per worker; about 60 MB
 RUN = 50_000  # matches looked at together, or characters of short texts
-GROUP_CHARS = 500_000  # of texts encoded together
+GROUP_CHARS = 2_000_000  # of texts encoded together
 
 
 def ranks_path() -> str:
@@ -61,13 +62,19 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        ends: dict[int, set[int]] = {}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        # Lengths of the tokens that end in the same three bytes, longest first; shorter tokens by fewer.
+        short = {token: [2, 1] for token in ranks if len(token) == 2}
+        ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            ends.setdefault(token[-1], set()).add(len(token))
-        self.lengths = {last: sorted(found, reverse=True) for last, found in ends.items()}
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        self.short = short
+        self.lengths = {end: sorted(found, reverse=True) + short.get(end[1:], [1]) for end, found in ends.items()}
         self.pairs: dict[int, bool] = {}  # by left x number of tokens + right
         self.count = max(self.tokens, default=0) + 1
         self._reached: dict[int, bool] = {}
+        self._edges: dict[int, tuple] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -95,12 +102,52 @@ class Vocabulary:
             known = self._reached[token] = self.merged(self.tokens[token]) == [token]
         return known
 
+    def edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+        """The first and the last parts that merging the token's bytes goes through, each with the rank of
+        the merge that ends it (beyond all ranks: none does)."""
+        known = self._edges.get(token)
+        if known is None:
+            data, none = self.tokens[token], len(self.ranks)
+            parts = [data[i : i + 1] for i in range(len(data))]
+            first, last = [(parts[0], none)], [(parts[-1], none)]
+            while len(parts) > 1:
+                unions = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+                least = min(unions)
+                at = unions.index(least)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if at == 0:
+                    first[-1] = (first[-1][0], least)
+                    first.append((parts[0], none))
+                if at == len(parts) - 1:
+                    last[-1] = (last[-1][0], least)
+                    last.append((parts[-1], none))
+            known = self._edges[token] = first, last
+        return known
+
     def fit(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both gives these two tokens."""
+        """Whether merging the bytes of both gives these two tokens.
+
+        Each side is merged as if alone until a part across the border is merged: that happens when its rank
+        comes before those of the merges that end the two parts at the border (of equal ranks, the leftmost
+        merge comes first). Ranks of merges only rise, as a token's rank is above those of its parts.
+        """
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
-        known = self.pairs[left * self.count + right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return known
+        ends, starts = self.edges(left)[1], self.edges(right)[0]
+        rank, none = self.ranks.get, len(self.ranks)
+        i = j = 0
+        fits = True
+        while i < len(ends) and j < len(starts):
+            (a, until), (b, before) = ends[i], starts[j]
+            across = rank(a + b, none)
+            if across < until and (across < before or across == before < none):
+                fits = False
+                break
+            if until == before == none:
+                break
+            i, j = (i + 1, j) if until <= before else (i, j + 1)
+        self.pairs[left * self.count + right] = fits
+        return fits
 
 
 class PrefixTable:
@@ -112,29 +159,33 @@ class PrefixTable:
         self.last: list[int] = []
         self.append(data)
 
-    def _token(self, size: int, last: list[int]) -> int:
+    def _tokens(self, start: int, last: list[int]) -> Iterator[int]:
+        """The entries from ``start`` bytes on; the caller puts each into ``last`` before it asks for the next."""
         data, words = self.data, self.vocabulary
         rank, pairs, count = words.ranks.get, words.pairs, words.count
-        for length in words.lengths.get(data[size - 1], ()):
-            if length <= size and (token := rank(data[size - length : size])) is not None:
-                if length == size:
-                    fits = words.reached(token)
-                else:
-                    left = last[size - length - 1]
-                    fits = pairs.get(left * count + token)
-                    if fits is None:
-                        fits = words.fit(left, token)
-                if fits:
-                    return token
-        raise ValueError(f"no token of the vocabulary ends byte {size} of {data[:size]!r}")
+        lengths, short, single = words.lengths.get, words.short.get, [1]
+        for size in range(start + 1, len(data) + 1):
+            for length in (lengths(data[size - 3 : size]) if size > 2 else None) or short(data[max(size - 2, 0) : size], single):
+                if length <= size and (token := rank(data[size - length : size])) is not None:
+                    if length == size:
+                        fits = words.reached(token)
+                    else:
+                        left = last[size - length - 1]
+                        fits = pairs.get(left * count + token)
+                        if fits is None:
+                            fits = words.fit(left, token)
+                    if fits:
+                        yield token
+                        break
+            else:
+                raise ValueError(f"no token of the vocabulary ends byte {size} of {data[:size]!r}")
 
     def append(self, more: bytes) -> None:
         """Entries of the prefixes that end in ``more``; all before stay."""
         start = len(self.data)
         self.data += more
-        last = self.last
-        for size in range(start + 1, len(self.data) + 1):
-            last.append(self._token(size, last))
+        for token in self._tokens(start, self.last):
+            self.last.append(token)
 
     def cut(self, size: int) -> None:
         """Keep the first ``size`` bytes."""
@@ -147,8 +198,8 @@ class PrefixTable:
         self.data = self.data[:at] + added + self.data[at + removed :]
         new = old[:at]
         alike = 0
-        for size in range(at + 1, len(self.data) + 1):
-            new.append(self._token(size, new))
+        for size, token in enumerate(self._tokens(at, new), at + 1):
+            new.append(token)
             # Entries after the added bytes, compared with those stored for the same bytes before.
             alike = alike + 1 if size > at + len(added) and new[-1] == old[size - 1 + shift] else 0
             if alike >= self.vocabulary.longest:
@@ -159,11 +210,13 @@ class PrefixTable:
 
     def ids(self) -> list[int]:
         """Token ids of the whole."""
-        out, size = [], len(self.data)
+        out, last, sizes, size = [], self.last, self.vocabulary.sizes, len(self.data)
         while size:
-            out.append(self.last[size - 1])
-            size -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+            token = last[size - 1]
+            out.append(token)
+            size -= sizes[token]
+        out.reverse()
+        return out
 
 
 class Coder:
@@ -179,18 +232,18 @@ class Coder:
         self.codes: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the cache before it was last full
 
-    def piece(self, data: bytes) -> list[int]:
-        """Ids of one match. The table keeps the prefix it shares with the match before."""
-        whole = self.vocabulary.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        held, low, high = self.table.data, 0, min(len(self.table.data), len(data))
-        while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if held[:middle] == data[:middle] else (low, middle - 1)
-        self.table.cut(low)
-        self.table.append(data[low:])
-        return self.table.ids()
+    def piece(self, data: bytes) -> bytes:
+        """Code of one match. The table keeps the prefix it shares with the match before."""
+        table = self.table
+        held, low, high = table.data, 0, min(len(table.data), len(data))
+        while low < high and held[low : low + 4] == data[low : low + 4]:
+            low += 4
+        low = min(low, high)
+        while low < high and held[low] == data[low]:
+            low += 1
+        table.cut(low)
+        table.append(data[low:])
+        return array("I", table.ids()).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Codes of all of ``pieces``, from the cache or found in byte order."""
@@ -207,12 +260,12 @@ class Coder:
         whole = self.vocabulary.ranks.get
         for data, piece in todo:
             token = whole(data)
-            self.codes[piece] = np.array(self.piece(data) if token is None else [token], dtype="<u4").tobytes()
+            self.codes[piece] = self.piece(data) if token is None else array("I", (token,)).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Codes of whole texts; the new matches of all are found together."""
         found = list(map(self.pattern.findall, texts))
-        new = {p for pieces in found for p in pieces}
+        new = set().union(*found)
         known = new & self.codes.keys()
         if len(known) < len(new):
             self.learn(new if len(self.codes) + len(new) - len(known) > MAX_PIECES else new - known)
@@ -254,7 +307,7 @@ class EditableText:
         fresh = 0
         for match in self.coder.pattern.finditer(self.text, start):
             fresh += 1
-            self.pieces.append((match.end(), self.coder.encode(match.group()) if len(match.group()) <= RUN else np.array(self.coder.piece(match.group().encode()), "<u4").tobytes()))
+            self.pieces.append((match.end(), self.coder.encode(match.group())))
             if match.end() > settled and match.end() in ends:
                 self.pieces += old[ends[match.end()] + 1 :]
                 break
