@@ -8,13 +8,16 @@ are shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, so_far
 from ..schemas import FEATURES, REGIMES
-from .hmm import fit_models, latest_jobs, refit_position, training_jobs
+from ..session import materialize
+from .hmm import PathSpec, fit_models, latest_jobs, refit_position, training_jobs
 from .panel import by_panel
 
 STANCES = {"trending": "momentum", "ranging": "market portfolio", "high_volatility": "defensive"}
@@ -84,7 +87,7 @@ def posterior(scheduled: DataFrame, labelled: DataFrame, cols: tuple[str, ...] =
     With one row transitions play no part: start probability times emission,
     normalised in log space. A zero start probability gives posterior 0.
     """
-    rows = scheduled.join(labelled.drop("loglik"), ["panel_id", "refit_pos"])
+    rows = scheduled.join(labelled.drop("loglik", "trans"), ["panel_id", "refit_pos"])
     rows = rows.withColumns(
         {f"z_{c}": (F.col(c) - F.col("center")[j]) / F.col("scale")[j] for j, c in enumerate(cols)}
     )
@@ -154,6 +157,18 @@ def attribute(z: Column, signature: Column) -> Column:
     return F.transform_values(raw, lambda k, v: F.coalesce(v / F.nullif(whole, F.lit(0.0)), F.lit(0.0)))
 
 
+def path_reads(paths: Sequence[PathSpec], min_train: int = 60, refit_every: int = 5, **fit) -> DataFrame:
+    """Walk-forward reads of several paths, trained in one table of jobs: every date from ``min_train``
+    on, labelled by the path's latest model trained on data up to its refit position."""
+    models = materialize(fit_models(training_jobs(paths, min_train, refit_every), **fit))
+
+    def of(path: PathSpec) -> DataFrame:
+        labelled = label_states(models.filter(F.col("path_id") == path.path_id), path.cols)
+        return reads(posterior(refit_schedule(path.features, min_train, refit_every), labelled, path.cols), path.cols)
+
+    return reduce(DataFrame.unionByName, map(of, paths))
+
+
 def regime_reads(
     features: DataFrame,
     path_id: str = "baseline",
@@ -162,18 +177,15 @@ def regime_reads(
     cols: tuple[str, ...] = FEATURES,
     **fit,
 ) -> DataFrame:
-    """Walk-forward reads: every date from ``min_train`` on, labelled by the latest
-    model trained on data up to its refit position."""
-    models = fit_models(training_jobs(features, min_train, refit_every, cols), path_id, **fit)
-    scheduled = refit_schedule(features, min_train, refit_every)
-    return reads(posterior(scheduled, label_states(models, cols), cols), cols)
+    """``path_reads`` of a single path."""
+    return path_reads([PathSpec(path_id, features, cols)], min_train, refit_every, **fit)
 
 
 def latest_reads(
     features: DataFrame, path_id: str = "latest", cols: tuple[str, ...] = FEATURES, **fit
 ) -> DataFrame:
     """Read of each panel's last date by a model trained on its whole history."""
-    models = label_states(fit_models(latest_jobs(features, cols), path_id, **fit), cols)
+    models = label_states(fit_models(latest_jobs(PathSpec(path_id, features, cols)), **fit), cols)
     return reads(posterior(features.withColumn("refit_pos", F.col("pos")), models, cols), cols)
 
 

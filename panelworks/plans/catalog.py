@@ -11,6 +11,7 @@ from ..operators import (
     align,
     bootstrap,
     changepoint,
+    em,
     export,
     flows,
     hmm,
@@ -30,7 +31,7 @@ from ..sources import dims, payloads, stores
 from ..session import materialize, scratch_path
 from . import workflows
 from .oracle import pick, sql
-from .standins import CONFIG_IDS, CONFIGS, PATHS, STABLES, VARIANTS, Inputs, tidy
+from .standins import CONFIG_IDS, CONFIGS, PATHS, STABLES, TVL, VARIANTS, Inputs, tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -514,50 +515,74 @@ def _(d):
     return rows.select("panel_id", "path_id", "date", "regime", "risk_off", regime.stance(F.col("regime"), F.col("risk_off")).alias("stance"))
 
 
-# Trained models depend on random draws: the SQL checks what every training must hold.
-@query("hmm_fit", sql(f"""SELECT panel_id, 'baseline' AS path_id, CAST(refit_pos AS BIGINT) AS refit_pos, CAST(3 AS BIGINT) AS n_states,
-    1e0 AS start_total, true AS finite, {', '.join(
-    f"floor(1e6 * (m_{c}) + 0.5e0) / 1e6 AS {c}_center, floor(1e6 * (s_{c}) + 0.5e0) / 1e6 AS {c}_scale" for c in FEATURES)}
-    FROM prefix_models WHERE refit_pos >= 60 AND (refit_pos - 60) % 6 = 0"""))
+_MOMENTS = [f"{m}_{c}" for c in FEATURES for m in ("mu", "var")]
+
+
+@query("em_step", pick("em_states", "panel_id", "refit_pos state", " ".join(["loglik", "start", *_MOMENTS, "t0", "t1", "t2"])))
+def _(d):
+    states = d.em_models.select("panel_id", "refit_pos", "loglik", "trans", F.posexplode("states").alias("state", "s"))
+    moments = [F.col(f"s.{m}")[i].alias(f"{m}_{c}") for i, c in enumerate(FEATURES) for m in ("mu", "var")]
+    moves = [F.get(F.get("trans", F.col("state")), F.lit(j)).alias(f"t{j}") for j in range(3)]
+    return states.select("panel_id", "refit_pos", "state", "loglik", "s.start", *moments, *moves)
+
+
+@query("regime_path_em", sql("""SELECT panel_id, date, regime, CAST(pos AS BIGINT) AS pos, CAST(refit_pos AS BIGINT) AS refit_pos,
+    floor(1e6 * (prob) + 0.5e0) / 1e6 AS confidence FROM em_best"""))
+def _(d):
+    labelled = regime.label_states(materialize(d.em_models))
+    scored = regime.posterior(regime.refit_schedule(d.features), labelled)
+    refits = regime.refit_schedule(d.features).select("panel_id", "pos", "refit_pos")
+    return regime.reads(scored).join(refits, ["panel_id", "pos"]).select("panel_id", "date", "regime", "pos", "refit_pos", "confidence")
+
+
+# Trained models depend on random draws, which other engines do not repeat: no SQL.
+@query("hmm_fit")
 def _(d):
-    models = hmm.fit_models(hmm.training_jobs(d.features))
-    total = F.aggregate("states", F.lit(0.0), lambda a, s: a + s["start"])
+    models = hmm.fit_models(hmm.training_jobs([hmm.PathSpec("baseline", d.features)]))
     moments = [F.get(k, F.lit(i)).alias(f"{c}_{k}") for i, c in enumerate(FEATURES) for k in ("center", "scale")]
-    return models.select(
-        "panel_id", "path_id", "refit_pos", F.size("states").alias("n_states"), total.alias("start_total"),
-        (F.abs("loglik") < float("inf")).alias("finite"), *moments,
-    )
+    start = [F.col("states")[k]["start"].alias(f"start_{k}") for k in range(3)]
+    mu = [F.col("states")[k]["mu"][i].alias(f"mu_{k}_{c}") for k in range(3) for i, c in enumerate(FEATURES)]
+    return models.select("panel_id", "path_id", "refit_pos", "loglik", *moments, *start, *mu)
+
+
+@query("hmm_likelihood")
+def _(d):
+    """Log-likelihoods that the training reports, and those that the plan's forward pass finds."""
+    features = materialize(d.features)
+    models = materialize(hmm.fit_models(hmm.training_jobs([hmm.PathSpec("baseline", features)])))
+    scanned = em.em_step(features, models).select("panel_id", "refit_pos", F.col("loglik").alias("scanned"))
+    return models.select("panel_id", "refit_pos", "loglik").join(scanned, ["panel_id", "refit_pos"])
 
 
-def _read_checks(reads, *more):
-    """Keys of trained reads, and whether label, confidence and posterior fit together."""
-    mass = F.aggregate(F.map_values("posterior"), F.lit(0.0), lambda a, b: a + b)
-    top = F.abs(F.array_max(F.map_values("posterior")) - F.col("confidence")) < 1e-9
-    return reads.select("panel_id", "path_id", "date", *more, F.col("regime").isin(*REGIMES).alias("known"), top.alias("likeliest"), mass.alias("mass"))
+@query("regime_path")
+def _(d):
+    return regime.regime_reads(d.features).select("panel_id", "path_id", "date", "pos", hmm.refit_position(60, 5).alias("refit_pos"), "regime", "confidence")
 
 
-def _read_sql(path_id):
-    return sql(f"SELECT panel_id, '{path_id}' AS path_id, date, CAST(pos AS BIGINT) AS pos, true AS known, true AS likeliest, 1e0 AS mass FROM sched")
+@query("regime_path_extra")
+def _(d):
+    reads = regime.regime_reads(d.onchain_features, "tvl", cols=(*FEATURES, *TVL))
+    return reads.select("panel_id", "path_id", "date", "pos", hmm.refit_position(60, 5).alias("refit_pos"), "regime", "confidence")
 
 
-@query("regime_path", _read_sql("baseline"))
+@query("regime_paths")
 def _(d):
-    return _read_checks(regime.regime_reads(d.features), "pos")
+    return d.trained_paths.select("panel_id", "path_id", "date", "pos", "regime", "confidence")
 
 
-@query("regime_path_extra", _read_sql("tvl"))
+@query("trained_backtest")
 def _(d):
-    tvl = ("tvl_mom20", "tvl_dd", "pancake_share_mom20")
-    joined = align.align_asof(d.features, flows.tvl_features(*d.tvl), list(tvl), ["panel_id"])
-    return _read_checks(regime.regime_reads(joined, "tvl", cols=(*FEATURES, *tvl)), "pos")
+    """The gated router on both trained paths beside the market, and how the labels differ."""
+    configs = [weights.RouterConfig("gated", gated=True), weights.RouterConfig("gated_tvl", path_id="tvl", gated=True), weights.RouterConfig("market", fixed="equal_weight")]
+    extra = flows.tvl_features(*d.tvl)
+    out = workflows.strategy_comparison(d.prices, configs, extra_paths={"tvl": (extra, TVL)}, stables=STABLES)
+    return out["metrics"]
 
 
-@query("latest_read", sql("""SELECT f.panel_id, 'latest' AS path_id, f.date, r.risk_off, true AS known, true AS likeliest, 1e0 AS mass
-    FROM feats f JOIN risk r ON r.panel_id = f.panel_id AND r.pos = f.pos
-    JOIN last_day z ON z.panel_id = f.panel_id AND z.pos = f.pos""", last_day="SELECT panel_id, max(pos) AS pos FROM feats GROUP BY 1"))
+@query("latest_read")
 def _(d):
     reads = regime.latest_reads(d.features).join(d.gates.select("panel_id", "pos", "risk_off"), ["panel_id", "pos"])
-    return _read_checks(reads, "risk_off")
+    return reads.select("panel_id", "path_id", "date", "regime", "confidence", "risk_off", regime.stance(F.col("regime"), F.col("risk_off")).alias("stance"))
 
 
 # --- strategies -------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from ..schemas import FEATURES
-from .standins import CONFIGS, PATHS
+from .standins import CONFIGS, MOVE, PATHS, STAY
 
 _ORDER = ("high_volatility", "ranging", "trending")
 
@@ -373,6 +373,67 @@ CTES = {
     + " AS whole FROM best",
 }
 
+_KEYS = "m.panel_id = {0}.panel_id AND m.refit_pos = {0}.refit_pos"
+_T = [[STAY if i == j else MOVE for j in range(3)] for i in range(3)]
+
+
+def _em() -> dict[str, str]:
+    """One EM step by recursion over dates: forward, backward, sums per model and state."""
+    density = [
+        "-0.5e0 * (" + " + ".join(f"ln(2e0 * pi() * s{k}.var_{c}) + pow((f.{c} - p.m_{c}) / p.s_{c} - s{k}.mu_{c}, 2) / s{k}.var_{c}" for c in FEATURES) + f") AS l{k}"
+        for k in range(3)
+    ]
+    states = " ".join(f"JOIN states s{k} ON s{k}.panel_id = p.panel_id AND s{k}.refit_pos = p.refit_pos AND s{k}.state = {k}" for k in range(3))
+    moved = [" + ".join(f"m.a{i} * {_T[i][j]!r}e0" for i in range(3)) for j in range(3)]
+    back = [" + ".join(f"{_T[i][j]!r}e0 * b.b{j} * m.e{j}" for j in range(3)) for i in range(3)]
+    scaled = lambda n: ", ".join(f"u{k} / (u0 + u1 + u2) AS {n}{k}" for k in range(3))
+    gamma = ", ".join(f"a{k} * e{k} / (a0 * e0 + a1 * e1 + a2 * e2) AS g{k}" for k in range(3))
+    pair = {(i, j): f"p{i} * {_T[i][j]!r}e0 * b{j} * e{j}" for i in range(3) for j in range(3)}
+    moves = ", ".join(f"{x} / ({' + '.join(pair.values())}) AS x{i}{j}" for (i, j), x in pair.items())
+    new = []
+    for k in range(3):
+        mu = ", ".join(f"sum(g{k} * z_{c}) / greatest(sum(g{k}), 1e-10) AS mu_{c}" for c in FEATURES)
+        sq = ", ".join(f"sum(g{k} * z_{c} * z_{c}) AS q_{c}" for c in FEATURES)
+        out = ", ".join(f"sum(x{k}{j}) / (sum(x{k}0) + sum(x{k}1) + sum(x{k}2)) AS t{j}" for j in range(3))
+        new.append(f"SELECT panel_id, refit_pos, {k} AS state, sum(ll) AS loglik, max(CASE WHEN pos = 0 THEN g{k} END) AS start, greatest(sum(g{k}), 1e-10) AS mass, {mu}, {sq}, {out} FROM em_dates GROUP BY 1, 2")
+    var = ", ".join(f"greatest((1e-2 + greatest(q_{c} - mass * mu_{c} * mu_{c}, 0e0)) / mass, 1e-12) AS var_{c}" for c in FEATURES)
+    own = CTES["ranked_states"].replace("FROM states", "FROM em_states")
+    return {
+        "em_rows": f"""
+        SELECT *, exp(l0 - peak) AS b0, exp(l1 - peak) AS b1, exp(l2 - peak) AS b2 FROM (
+            SELECT *, greatest(l0, l1, l2) AS peak FROM (
+                SELECT p.panel_id, p.refit_pos, f.pos, {', '.join(f"(f.{c} - p.m_{c}) / p.s_{c} AS z_{c}" for c in FEATURES)}, {', '.join(density)}
+                FROM prefix_models p {states} JOIN feats f ON f.panel_id = p.panel_id AND f.pos <= p.refit_pos))""",
+        "em_ahead": f"""
+        SELECT panel_id, refit_pos, pos, {scaled('a')}, ln(u0 + u1 + u2) AS ll FROM (
+            SELECT b.panel_id, b.refit_pos, b.pos, {', '.join(f"s{k}.start * b.b{k} AS u{k}" for k in range(3))}
+            FROM em_rows b {states.replace('p.', 'b.')} WHERE b.pos = 0)
+        UNION ALL
+        SELECT panel_id, refit_pos, pos, {scaled('a')}, ln(u0 + u1 + u2) FROM (
+            SELECT b.panel_id, b.refit_pos, b.pos, {', '.join(f"({moved[j]}) * b.b{j} AS u{j}" for j in range(3))}
+            FROM em_ahead m JOIN em_rows b ON {_KEYS.format('b')} AND b.pos = m.pos + 1)""",
+        "em_behind": f"""
+        SELECT panel_id, refit_pos, pos, 1e0 AS e0, 1e0 AS e1, 1e0 AS e2 FROM em_rows WHERE pos = refit_pos
+        UNION ALL
+        SELECT panel_id, refit_pos, pos, {scaled('e')} FROM (
+            SELECT b.panel_id, b.refit_pos, b.pos - 1 AS pos, {', '.join(f"{back[i]} AS u{i}" for i in range(3))}
+            FROM em_behind m JOIN em_rows b ON {_KEYS.format('b')} AND b.pos = m.pos WHERE b.pos > 0)""",
+        "em_dates": f"""
+        SELECT panel_id, refit_pos, pos, {', '.join(f"z_{c}" for c in FEATURES)}, ll + peak AS ll, {gamma}, {moves} FROM (
+            SELECT b.*, m.a0, m.a1, m.a2, m.ll, e.e0, e.e1, e.e2, q.a0 AS p0, q.a1 AS p1, q.a2 AS p2
+            FROM em_rows b JOIN em_ahead m ON {_KEYS.format('b')} AND m.pos = b.pos
+            JOIN em_behind e ON e.panel_id = b.panel_id AND e.refit_pos = b.refit_pos AND e.pos = b.pos
+            LEFT JOIN em_ahead q ON q.panel_id = b.panel_id AND q.refit_pos = b.refit_pos AND q.pos = b.pos - 1)""",
+        "em_states": f"SELECT *, {var} FROM ({' UNION ALL '.join(new)})",
+        "em_ranked": own,
+        "em_scores": CTES["scores"].replace("JOIN ranked_states", "JOIN em_ranked"),
+        "em_post": CTES["post"].replace("FROM scores", "FROM em_scores"),
+        "em_best": CTES["best"].replace("FROM post", "FROM em_post"),
+    }
+
+
+CTES |= _em()
+
 _SOURCE = re.compile(r"(?:FROM|JOIN)\s+(\w+)")
 
 
@@ -380,16 +441,22 @@ def sql(select: str, **extra: str) -> str:
     """``select`` preceded by the table expressions it needs, in dependency order."""
     ctes = {**CTES, **extra}
     needed: list[str] = []
+    open_: set[str] = set()  # a recursive one names itself
+    recursive = False
 
     def visit(text: str) -> None:
+        nonlocal recursive
         for name in _SOURCE.findall(text):
-            if name in ctes and name not in needed:
+            recursive |= name in open_
+            if name in ctes and name not in needed and name not in open_:
+                open_.add(name)
                 visit(ctes[name])
+                open_.remove(name)
                 needed.append(name)
 
     visit(select)
     body = ", ".join(f"{name} AS ({ctes[name]})" for name in needed)
-    return f"WITH {body} {select}" if needed else select
+    return f"WITH {'RECURSIVE ' if recursive else ''}{body} {select}" if needed else select
 
 
 def pick(source: str, keys: str = "", ints: str = "", doubles: str = "", where: str = "") -> str:

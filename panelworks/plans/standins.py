@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import so_far
 from ..operators import features as feat
-from ..operators import flows, panel, portfolio, regime, weights
+from ..operators import align, em, flows, panel, portfolio, regime, weights
+from ..operators.hmm import PathSpec
 from ..operators.panel import by_panel
 from ..schemas import FEATURES, REGIMES
 from ..session import materialize
@@ -29,6 +30,7 @@ from ..session import materialize
 STABLES = ("Brand#1", "Brand#2")
 PATHS = {"baseline": 1.0, "eager": 0.8}
 LABEL_START = 30
+STAY, MOVE = 0.9, 0.05  # transitions that the EM step starts from
 CONFIGS = [
     weights.RouterConfig("gated", gated=True),
     weights.RouterConfig("confirm2", gated=True, confirm=2),
@@ -44,6 +46,7 @@ CONFIGS = [
     weights.RouterConfig("mean_reversion", fixed="mean_reversion"),
     weights.RouterConfig("equal_weight", fixed="equal_weight"),
 ]
+TVL = ("tvl_mom20", "tvl_dd", "pancake_share_mom20")
 CONFIG_IDS = [c.config_id for c in CONFIGS]
 VARIANTS = ["gated", "confirm2", "confirm3", "ungated"]
 
@@ -365,6 +368,23 @@ class Inputs:
             F.array(*[state(r) for r in order]).alias("states"),
         )
 
+    @cached_property
+    def em_models(self) -> DataFrame:
+        """The models of every prefix after one EM step from sticky transitions."""
+        trans = F.array(*[F.array(*[F.lit(STAY if i == j else MOVE) for j in range(3)]) for i in range(3)])
+        return em.em_step(materialize(self.features), self.models.withColumn("trans", trans))
+
+    @cached_property
+    def onchain_features(self) -> DataFrame:
+        """Market features with those of the order value as of each date."""
+        return align.align_asof(self.features, flows.tvl_features(*self.tvl), list(TVL), ["panel_id"])
+
+    @cached_property
+    def trained_paths(self) -> DataFrame:
+        """Reads of two paths, market features alone and with the order value's, trained in one call."""
+        market, wide = materialize(self.features), materialize(self.onchain_features)
+        return materialize(regime.path_reads([PathSpec("baseline", market), PathSpec("tvl", wide, (*FEATURES, *TVL))]))
+
     @cached_property
     def reads(self) -> DataFrame:
         scheduled = regime.refit_schedule(self.features)
@@ -388,4 +408,4 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-__all__ = ["CONFIGS", "CONFIG_IDS", "Inputs", "PATHS", "REGIMES", "STABLES", "VARIANTS", "tidy"]
+__all__ = ["CONFIGS", "CONFIG_IDS", "Inputs", "MOVE", "PATHS", "REGIMES", "STABLES", "STAY", "TVL", "VARIANTS", "tidy"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap, features, panel, portfolio, regime, validation, weights, windows
 from ..operators.align import align_asof
+from ..operators.hmm import PathSpec
 from ..schemas import FEATURES
 from ..session import materialize
 
@@ -28,11 +29,15 @@ def strategy_comparison(
     stables: tuple[str, ...] = weights.STABLECOINS,
     top_n: int = 3,
     extra_strategies: DataFrame | None = None,
+    extra_paths: dict[str, tuple[DataFrame, tuple[str, ...]]] | None = None,
     **accounting: float,
 ) -> dict[str, DataFrame]:
     """Backtest every configuration on every usable panel.
 
-    Without ``path`` the regime path is trained walk-forward. ``extra_strategies``
+    Without ``path`` the regime path "baseline" is trained walk-forward on market features, and beside it
+    every path of ``extra_paths``, ``{path_id: (series, columns)}``, on market features with the columns of
+    ``series(date, columns)`` as of each date: all in one training, so configurations of different paths
+    are routed side by side. ``extra_strategies``
     adds weight rows under further strategy names, with or without ``next_ret``.
     Unknown strategy or path names raise ValueError.
     """
@@ -41,7 +46,11 @@ def strategy_comparison(
     enriched = materialize(features.enriched(panel.indexed(prices, cal)))
     market = materialize(features.market_daily(enriched))
     if path is None:
-        path = materialize(regime.regime_reads(features.feature_panel(market)))
+        frame = materialize(features.feature_panel(market))
+        specs = [PathSpec("baseline", frame)]
+        for path_id, (series, cols) in (extra_paths or {}).items():
+            specs.append(PathSpec(path_id, materialize(align_asof(frame, series, list(cols), ["panel_id"])), (*FEATURES, *cols)))
+        path = materialize(regime.path_reads(specs))
     gates = features.risk_off(market)
     held = (
         weights.equal_weight(enriched)

@@ -13,3 +13,5 @@ MODELS = (
     "panel_id STRING, path_id STRING, refit_pos INT, loglik DOUBLE, "
     f"center ARRAY<DOUBLE>, scale ARRAY<DOUBLE>, states ARRAY<{STATE}>"
 )
+# A trained model also has its transitions, one row per state.
+FITTED = f"{MODELS}, trans ARRAY<ARRAY<DOUBLE>>"

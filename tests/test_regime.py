@@ -5,7 +5,7 @@ import pytest
 from helpers import day, ordered
 from pyspark.sql import functions as F
 
-from panelworks.operators import changepoint, hmm, regime
+from panelworks.operators import changepoint, em, hmm, regime
 from panelworks.schemas import FEATURES, MODELS, REGIMES
 
 
@@ -23,7 +23,8 @@ def features(spark, x, panel_id="p"):
 
 def test_fit_recovers_blocks():
     x = blocks()
-    loglik, center, scale, states = hmm.fit_hmm(x, 3, 8, 200, 1e-4, 0)
+    loglik, center, scale, states, trans = hmm.fit_hmm(x, 3, 8, 200, 1e-4, 0)
+    assert np.allclose(np.sum(trans, axis=1), 1)
     z = (x - center) / scale
     truth = np.array([z[:80].mean(0), z[80:160].mean(0), z[160:].mean(0)])
     for t in truth:
@@ -75,8 +76,64 @@ def test_reads_are_causal_and_complete(spark):
 def test_refit_cadence(spark):
     got = ordered(regime.refit_schedule(features(spark, np.zeros((80, 4))), 60, 5), "pos")
     assert sorted({r.refit_pos for r in got}) == [60, 66, 72, 78]
-    jobs = hmm.training_jobs(features(spark, np.zeros((80, 4))), 60, 5)
-    assert {(r.refit_pos, len(r.x)) for r in jobs.collect()} == {(60, 61), (66, 67), (72, 73), (78, 79)}
+    jobs = hmm.training_jobs([hmm.PathSpec("a", features(spark, np.zeros((80, 4))))], 60, 5, refits=3)
+    assert {(r.path_id, tuple(r.refits), len(r.x)) for r in jobs.collect()} == {("a", (60, 66, 72), 73), ("a", (78,), 79)}
+
+
+def test_prefixes_trained_together_equal_those_trained_alone():
+    x = blocks(7, 30) + np.random.default_rng(2).normal(0, 0.01, (90, 4))
+    lengths = [61, 67, 73, 90]
+    for n, (loglik, center, _, states, trans) in zip(lengths, hmm.fit_prefixes(x, lengths, 3, 4, 60, 1e-4, 0)):
+        alone = hmm.fit_hmm(x[:n], 3, 4, 60, 1e-4, 0)
+        assert loglik == pytest.approx(alone[0], abs=1e-5) and np.allclose(center, alone[1])
+        assert np.allclose([s["mu"] for s in states], [s["mu"] for s in alone[3]], atol=1e-4) and np.allclose(trans, alone[4], atol=1e-4)
+
+
+def test_paths_trained_in_one_call_equal_each_alone(spark):
+    f = features(spark, blocks(5, 25))
+    wide = f.withColumn("flow", F.sin("pos"))
+    fit = {"n_restarts": 2, "n_iter": 20}
+    specs = [hmm.PathSpec("base", f), hmm.PathSpec("flow", wide, (*FEATURES, "flow"))]
+    both = regime.path_reads(specs, **fit)
+    for spec in specs:
+        alone = ordered(regime.regime_reads(spec.features, spec.path_id, cols=spec.cols, **fit), "pos")
+        got = ordered(both.filter(F.col("path_id") == spec.path_id), "pos")
+        assert [(r.pos, r.regime) for r in got] == [(r.pos, r.regime) for r in alone] and len(got) == 15
+        assert np.allclose([r.confidence for r in got], [r.confidence for r in alone])
+        assert set(got[0].features) == set(spec.cols)
+
+
+def params_of(fitted, refit_pos):
+    from panelworks.schemas import FITTED
+
+    return [("p", "m", refit_pos, *fitted)], FITTED
+
+
+@pytest.mark.parametrize("chunk", [7, 64])
+def test_em_step_in_a_plan_equals_the_batch(spark, chunk):
+    x = blocks(4, 40)
+    center, scale = x.mean(0), x.std(0)
+    z = (x - center) / scale
+    rng = np.random.default_rng(3)
+    start, trans = np.array([[0.5, 0.3, 0.2]]), rng.dirichlet([2, 2, 2], (1, 3))
+    mu, var = rng.normal(size=(1, 3, 4)), np.exp(rng.normal(size=(1, 3, 4)))
+    loglik, gamma, moves = hmm._expect(z, start, trans, mu, var)
+    want = hmm._maximise(z[None], gamma, moves)
+    states = [{"start": float(start[0, k]), "mu": mu[0, k].tolist(), "var": var[0, k].tolist()} for k in range(3)]
+    given = spark.createDataFrame(*params_of((0.0, center.tolist(), scale.tolist(), states, trans[0].tolist()), len(x) - 1))
+    got = em.em_step(features(spark, x), given, chunk=chunk).first()
+    assert got.loglik == pytest.approx(loglik[0])
+    assert np.allclose([s.start for s in got.states], want[0][0]) and np.allclose(got.trans, want[1][0])
+    assert np.allclose([s.mu for s in got.states], want[2][0]) and np.allclose([s["var"] for s in got.states], want[3][0])
+
+
+def test_em_step_confirms_a_trained_likelihood(spark):
+    x = blocks(8, 30)
+    fitted = hmm.fit_hmm(x[:70], 3, 4, 80, 1e-4, 0)
+    got = em.em_step(features(spark, x), spark.createDataFrame(*params_of(fitted, 69))).first()
+    assert got.loglik == pytest.approx(fitted[0])
+    again = em.em_steps(features(spark, x), spark.createDataFrame(*params_of(fitted, 69)), 2, chunk=16).first()
+    assert again.loglik >= fitted[0] - 1e-9
 
 
 def test_scaler_prefix(spark):
