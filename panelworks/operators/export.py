@@ -6,6 +6,9 @@ are not bounded by the calendar and are exported as one line per holding.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +98,93 @@ def read_documents(reads: DataFrame, service: str, job_id: Column | None = None)
         job.alias("job_id"), read_struct().alias("read"), F.lit(service).alias("service"), F.lit(VERSION).alias("version")
     )
     return _sorted_maps(reads).select(*_read_keys(reads), F.to_json(envelope).alias("document"))
+
+
+@dataclass(frozen=True)
+class Part:
+    """One member of a combined document: ``item`` of every row. With ``name`` the items are an object by
+    that key, with ``order`` a list in that order, with neither the single row's item."""
+
+    rows: DataFrame
+    item: Column
+    name: Column | None = None
+    order: Column | None = None
+
+
+def combined_documents(parts: dict[str, Part], key: str = "panel_id") -> DataFrame:
+    """One nested JSON document per key from several tables.
+
+    The rows of all tables are tagged and stacked, and one grouping by key gathers every member, so no
+    table is joined to another. Members are parameter-sized or bounded by the calendar. Dotted names nest;
+    members without rows are empty lists or objects, or null.
+    """
+
+    def tagged(name: str, part: Part) -> DataFrame:
+        place = part.name if part.name is not None else part.order if part.order is not None else F.lit(0)
+        return part.rows.select(F.col(key), F.struct(place.alias("at"), part.item.alias("item")).alias(name))
+
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tagged(f"part{i}", p) for i, p in enumerate(parts.values())])
+    gathered = stacked.groupBy(key).agg(*[F.collect_list(f"part{i}").alias(f"part{i}") for i in range(len(parts))])
+    earlier = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    tree: dict = {}
+    for i, (name, part) in enumerate(parts.items()):
+        rows = F.array_sort(f"part{i}", earlier)
+        if part.name is not None:
+            member = F.map_from_entries(F.transform(rows, lambda r: F.struct(r["at"], r["item"])))
+        elif part.order is not None:
+            member = F.transform(rows, lambda r: r["item"])
+        else:
+            member = F.get(rows, F.lit(0))["item"]
+        *above, last = name.split(".")
+        reduce(lambda node, step: node.setdefault(step, {}), above, tree)[last] = member
+
+    def nested(node: dict) -> Column:
+        return F.struct(*[(nested(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()])
+
+    return gathered.select(key, F.to_json(nested(tree), KEEP_NULLS).alias("document"))
+
+
+def regime_artifact(path: DataFrame, attribution: DataFrame, metrics: DataFrame, daily: DataFrame) -> DataFrame:
+    """Per panel: the labels of one path by date, the return of one configuration per regime, and the
+    metrics and equity curve of every configuration.
+
+    ``path(panel_id, date, regime)``, ``attribution`` as ``portfolio.regime_pnl`` gives it for one
+    configuration, ``metrics`` and ``daily`` of all.
+    """
+    keys = ["panel_id", "config_id"]
+    names = [c for c in metrics.columns if c not in keys]
+    curves = daily.groupBy(*keys).agg(_curve("equity").alias("equity"))
+    return combined_documents({
+        "regime_path": Part(path, F.struct(_day().alias("date"), "regime"), order=F.col("date")),
+        "regime_attribution": Part(attribution, F.struct("days", "total_return", "mean_return", "share_of_pnl"), name=F.col("regime")),
+        "strategies": Part(metrics.join(curves, keys), F.struct(F.struct(*names).alias("metrics"), "equity"), name=F.col("config_id")),
+    })
+
+
+def validation_artifact(prices: DataFrame, counts: DataFrame, report: dict[str, DataFrame]) -> DataFrame:
+    """Per panel: its days and names, label counts of every path, the selection with its windows, test
+    metrics of every configuration, and the deflated Sharpe ratio and intervals of the selected one.
+
+    ``prices(panel_id, symbol, ord, date)``, ``counts`` as ``regime.label_counts`` gives them, ``report``
+    as ``workflows.out_of_sample`` does.
+    """
+    days = prices.groupBy("panel_id").agg(F.count_distinct("date").alias("days"))
+    symbols = prices.groupBy("panel_id", "symbol").agg(F.min("ord").alias("ord"))
+    by_path = counts.groupBy("panel_id", "path_id").agg(F.map_from_entries(F.collect_list(F.struct("regime", "days"))).alias("counts"))
+    oos, ci = report["oos"], report["intervals"]
+    metrics = [c for c in oos.columns if c not in ("panel_id", "n_trials")]
+    windows = F.struct(*[c for c in report["selection"].columns if c != "panel_id"])
+    interval = lambda m: F.struct(F.col(m).alias("point"), F.col(f"{m}_lo").alias("lo"), F.col(f"{m}_hi").alias("hi"))
+    means = [c for c in report["per_config"].columns if c not in ("panel_id", "config_id")]
+    return combined_documents({
+        "panel.days": Part(days, F.col("days")),
+        "panel.symbols": Part(symbols, F.col("symbol"), order=F.col("ord")),
+        "regime_value_counts": Part(by_path, F.col("counts"), name=F.col("path_id")),
+        "selection.per_window": Part(report["selection"], windows, order=F.col("window_id")),
+        "selection.oos": Part(oos, F.struct(*metrics)),
+        "selection.n_trials": Part(oos, F.col("n_trials")),
+        "selection.selected_variant": Part(report["selected"], F.col("selected")),
+        "per_config_oos": Part(report["per_config"], F.struct(*means), name=F.col("config_id")),
+        "deflated_sharpe": Part(report["deflated_sharpe"], F.struct(F.col("dsr").alias("value"), "n_trials", F.col("sr_var").alias("sr_variance"))),
+        "bootstrap": Part(ci, F.struct(interval("sharpe").alias("sharpe"), interval("total_return").alias("total_return"))),
+    })

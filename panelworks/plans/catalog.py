@@ -787,14 +787,18 @@ def _(d):
 _Q1, _Q2 = 0.6744897501960817, 1.3287219496247633
 
 
-@query("deflated_sharpe", sql(f"""SELECT panel_id, config_id, n_obs, n_trials, floor(1e6 * (benchmark) + 0.5e0) / 1e6 AS benchmark,
-    floor(1e6 * (CASE WHEN n_obs >= 2 AND sd >= 1e-12 AND spread > 0 THEN greatest(0e0, least(1e0, 0.5e0 + exp(-z * z / 2) / sqrt(2 * pi()) * series)) ELSE 0e0 END) + 0.5e0) / 1e6 AS dsr
+_DSR = f"""SELECT panel_id, config_id, n_obs, n_trials, sr_var, benchmark,
+    CASE WHEN n_obs >= 2 AND sd >= 1e-12 AND spread > 0 THEN greatest(0e0, least(1e0, 0.5e0 + exp(-z * z / 2) / sqrt(2 * pi()) * series)) ELSE 0e0 END AS dsr
     FROM (SELECT *, (SELECT sum(sign(z) * exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2e0) - lgamma(k + 1.5e0) + 0.5e0 * ln(pi()))) FROM range(0, 400) AS r(k)) AS series
       FROM (SELECT *, (sr - benchmark) * sqrt(n_obs - 1) / sqrt(CASE WHEN spread > 0 THEN spread END) AS z
-        FROM (SELECT m.*, v.n_trials, 1 - m.skew * m.sr + (m.kurt - 1) / 4 * m.sr * m.sr AS spread,
+        FROM (SELECT m.*, v.n_trials, v.sr_var, 1 - m.skew * m.sr + (m.kurt - 1) / 4 * m.sr * m.sr AS spread,
               sqrt(v.sr_var) * ((1 - 0.5772156649e0) * {_Q1}e0 + 0.5772156649e0 * {_Q2}e0) AS benchmark
               FROM moments m JOIN srvar v ON v.panel_id = m.panel_id
-              WHERE m.config_id IN ('gated', 'confirm2', 'confirm3', 'ungated'))))"""))
+              WHERE m.config_id IN ('gated', 'confirm2', 'confirm3', 'ungated'))))"""
+
+
+@query("deflated_sharpe", sql("""SELECT panel_id, config_id, n_obs, n_trials, floor(1e6 * (benchmark) + 0.5e0) / 1e6 AS benchmark,
+    floor(1e6 * (dsr) + 0.5e0) / 1e6 AS dsr FROM deflated""", deflated=_DSR))
 def _(d):
     return validation.deflated_sharpe(d.stored_daily, VARIANTS).select("panel_id", "config_id", "n_obs", "n_trials", "benchmark", "dsr")
 
@@ -1076,3 +1080,125 @@ def _(d):
     lines = export.weight_lines(d.routed.drop("date").join(cal, ["panel_id", "pos"]))
     doc = F.from_json("document", "STRUCT<panel_id: STRING, config_id: STRING, symbol: STRING, weight: DOUBLE>")
     return lines.select(doc.alias("x")).select("x.panel_id", "x.config_id", "x.symbol", F.col("x.weight").alias("w"))
+
+
+# --- combined documents, parsed back into rows (section, name, label, n, value) ------------------
+
+_ROUND = "floor(1e6 * ({0}) + 0.5e0) / 1e6"
+
+
+def _section(section, name, source, label="CAST(NULL AS VARCHAR)", n="CAST(NULL AS BIGINT)", value=None):
+    value = _ROUND.format(value) if value else "CAST(NULL AS DOUBLE)"
+    return f"SELECT panel_id, '{section}' AS section, {name} AS name, {label} AS label, CAST({n} AS BIGINT) AS n, {value} AS value FROM {source}"
+
+
+def _rows(parsed, *sections):
+    """Long rows of a parsed document; a section is (name, array of (name, label, n, value))."""
+
+    def tagged(section, items):
+        return F.transform(items, lambda x: F.struct(F.lit(section).alias("section"), x["name"].alias("name"), x["label"].alias("label"), x["n"].alias("n"), x["value"].alias("value")))
+
+    return parsed.select("panel_id", F.inline(F.concat(*[tagged(*s) for s in sections])))
+
+
+def _item(name, label=None, n=None, value=None):
+    empty = F.lit(None)
+    return F.struct(
+        name.cast("string").alias("name"), (empty if label is None else label).cast("string").alias("label"),
+        (empty if n is None else n).cast("bigint").alias("n"), (empty if value is None else value).cast("double").alias("value"),
+    )
+
+
+def _each(section, items, names, make):
+    """A section per name: ``make(item, name)`` of all items."""
+
+    def of(name):
+        return F.transform(items, lambda item: make(item, name))
+
+    return [(section, of(name)) for name in names]
+
+
+def _dotted(entry, field):
+    return F.concat(entry["key"], F.lit(f".{field}"))
+
+
+_BUNDLE = "sharpe sortino max_drawdown win_rate turnover total_return".split()
+_ARTIFACT_SQL = [
+    _section("path", "strftime(date, '%Y-%m-%d')", "path WHERE path_id = 'baseline'", label="regime"),
+    *[_section("attribution", f"regime || '.{c}'", "shares WHERE config_id = 'gated'", n="days", value=c) for c in ("total_return", "mean_return", "share_of_pnl")],
+    *[_section("metrics", f"config_id || '.{c}'", "bundle", value=c) for c in _BUNDLE],
+    _section("equity", "config_id || '.' || strftime(date, '%Y-%m-%d')", "daily", value="ln(equity / 1e4)"),
+]
+
+
+@query("regime_artifact_export", sql(" UNION ALL ".join(_ARTIFACT_SQL), pnl=_PNL, bundle=_METRICS_SQL,
+    shares="SELECT *, coalesce(total_return / nullif(sum(total_return) OVER (PARTITION BY panel_id, config_id), 0), 0) AS share_of_pnl FROM pnl"))
+def _(d):
+    pnl = portfolio.regime_pnl(d.stored_daily.filter("config_id = 'gated'"), d.panel_path.filter("path_id = 'baseline'"))
+    path = d.panel_path.filter("path_id = 'baseline'")
+    docs = export.regime_artifact(path, pnl, portfolio.metrics(d.stored_daily), d.stored_daily)
+    schema = ("STRUCT<regime_path: ARRAY<STRUCT<date: STRING, regime: STRING>>, "
+              "regime_attribution: MAP<STRING, STRUCT<days: BIGINT, total_return: DOUBLE, mean_return: DOUBLE, share_of_pnl: DOUBLE>>, "
+              f"strategies: MAP<STRING, STRUCT<metrics: STRUCT<{', '.join(f'{m}: DOUBLE' for m in _BUNDLE)}>, equity: ARRAY<STRUCT<date: STRING, value: DOUBLE>>>>>")
+    x = F.from_json("document", schema)
+    parsed = docs.select("panel_id", x.alias("x"))
+    shares, books = F.map_entries("x.regime_attribution"), F.map_entries("x.strategies")
+    equity = F.flatten(F.transform(books, lambda b: F.transform(b["value"]["equity"], lambda e: _item(F.concat(b["key"], F.lit("."), e["date"]), value=F.log(e["value"] / 1e4)))))
+    return _rows(
+        parsed,
+        ("path", F.transform("x.regime_path", lambda r: _item(r["date"], r["regime"]))),
+        *_each("attribution", shares, ("total_return", "mean_return", "share_of_pnl"), lambda e, c: _item(_dotted(e, c), n=e["value"]["days"], value=e["value"][c])),
+        *_each("metrics", books, _BUNDLE, lambda b, c: _item(_dotted(b, c), value=b["value"]["metrics"][c])),
+        ("equity", equity),
+    )
+
+
+_OOS = [m + s for m in _M.split() for s in ("", "_median")]
+_MEANS = "mean_sharpe mean_total_return mean_max_drawdown".split()
+_MODAL = """SELECT panel_id, chosen AS config_id FROM (SELECT panel_id, chosen, row_number() OVER (PARTITION BY panel_id ORDER BY count(*) DESC, chosen) AS rk
+    FROM selection GROUP BY 1, 2) WHERE rk = 1"""
+_POINT = """SELECT panel_id, config_id, CASE WHEN stddev_samp(ret) > 1e-12 THEN sqrt(365e0) * avg(ret) / stddev_samp(ret) ELSE 0e0 END AS sharpe,
+    product(1 + ret) - 1 AS total_return FROM obs JOIN modal USING (panel_id, config_id) GROUP BY 1, 2"""
+_RANGE = """SELECT panel_id, quantile_cont(sharpe, 0.05) AS sharpe_lo, quantile_cont(sharpe, 0.95) AS sharpe_hi,
+    quantile_cont(total_return, 0.05) AS total_return_lo, quantile_cont(total_return, 0.95) AS total_return_hi
+    FROM boot JOIN modal USING (panel_id, config_id) GROUP BY 1"""
+_REPORT_SQL = [
+    _section("days", "'days'", "(SELECT panel_id, count(DISTINCT date) AS d FROM prices GROUP BY 1)", n="d"),
+    _section("symbol", "symbol", "(SELECT panel_id, symbol, row_number() OVER (PARTITION BY panel_id ORDER BY min(ord)) - 1 AS k FROM prices GROUP BY 1, 2)", n="k"),
+    _section("count", "path_id || '.' || regime", "(SELECT panel_id, path_id, regime, count(*) AS d FROM path GROUP BY 1, 2, 3)", n="d"),
+    *[_section("window", f"window_id || '.{m}'", "selection", label="chosen", n="n_days", value=m) for m in _M.split()],
+    *[_section("oos", f"'{c}'", f"(SELECT panel_id, {'median' if c.endswith('_median') else 'avg'}({c.removesuffix('_median')}) AS v FROM selection GROUP BY 1)", n="4", value="v") for c in _OOS],
+    _section("selected", "'selected'", "modal", label="config_id"),
+    *[_section("per_config", f"config_id || '.{c}'", "oos", value=c) for c in _MEANS],
+    *[_section("dsr", f"'{c}'", "(SELECT d.* FROM deflated d JOIN modal m ON m.panel_id = d.panel_id AND m.config_id = d.config_id)", n="n_trials", value=c) for c in ("dsr", "sr_var")],
+    *[_section("bootstrap", f"'{m}.point'", "point", value=m) for m in ("sharpe", "total_return")],
+    *[_section("bootstrap", f"'{m}.{side}'", "range_", value=f"{m}_{side}") for m in ("sharpe", "total_return") for side in ("lo", "hi")],
+]
+
+
+@query("validation_artifact_export", sql(" UNION ALL ".join(_REPORT_SQL), deflated=_DSR, modal=_MODAL, point=_POINT, range_=_RANGE,
+    steps=_STEPS, boot_paths=_PATHS_SQL, boot=_BOOT_SQL))
+def _(d):
+    report = workflows.out_of_sample(d.stored_daily, d.calendar, VARIANTS, n_boot=_BOOT)
+    docs = export.validation_artifact(d.prices, regime.label_counts(d.panel_path), report)
+    doubles = lambda names: ", ".join(f"{c}: DOUBLE" for c in names)
+    point = "STRUCT<point: DOUBLE, lo: DOUBLE, hi: DOUBLE>"
+    schema = (f"STRUCT<panel: STRUCT<days: BIGINT, symbols: ARRAY<STRING>>, regime_value_counts: MAP<STRING, MAP<STRING, BIGINT>>, "
+              f"selection: STRUCT<per_window: ARRAY<STRUCT<window_id: BIGINT, chosen: STRING, n_days: BIGINT, {doubles(_M.split())}>>, "
+              f"oos: STRUCT<{doubles(_OOS)}>, n_trials: BIGINT, selected_variant: STRING>, per_config_oos: MAP<STRING, STRUCT<{doubles(_MEANS)}>>, "
+              f"deflated_sharpe: STRUCT<value: DOUBLE, n_trials: BIGINT, sr_variance: DOUBLE>, bootstrap: STRUCT<sharpe: {point}, total_return: {point}>>")
+    parsed = docs.select("panel_id", F.from_json("document", schema).alias("x")).select("panel_id", "x.*")
+    paths, books = F.map_entries("regime_value_counts"), F.map_entries("per_config_oos")
+    one = lambda item: F.array(item)
+    return _rows(
+        parsed,
+        ("days", one(_item(F.lit("days"), n=F.col("panel.days")))),
+        ("symbol", F.transform("panel.symbols", lambda s, k: _item(s, n=k))),
+        ("count", F.flatten(F.transform(paths, lambda p: F.transform(F.map_entries(p["value"]), lambda r: _item(F.concat(p["key"], F.lit("."), r["key"]), n=r["value"]))))),
+        *_each("window", "selection.per_window", _M.split(), lambda w, m: _item(F.concat(w["window_id"].cast("string"), F.lit(f".{m}")), w["chosen"], w["n_days"], w[m])),
+        *[("oos", one(_item(F.lit(c), n=F.col("selection.n_trials"), value=F.col(f"selection.oos.{c}")))) for c in _OOS],
+        ("selected", one(_item(F.lit("selected"), F.col("selection.selected_variant")))),
+        *_each("per_config", books, _MEANS, lambda b, c: _item(_dotted(b, c), value=b["value"][c])),
+        *[("dsr", one(_item(F.lit(c), n=F.col("deflated_sharpe.n_trials"), value=F.col(f"deflated_sharpe.{f}")))) for c, f in (("dsr", "value"), ("sr_var", "sr_variance"))],
+        *[("bootstrap", one(_item(F.lit(f"{m}.{s}"), value=F.col(f"bootstrap.{m}.{s}")))) for m in ("sharpe", "total_return") for s in ("point", "lo", "hi")],
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from ..schemas import FEATURES
-from .standins import CONFIGS, MOVE, PATHS, STAY
+from .standins import APART, CONFIGS, MOVE, PATHS, STAY
 
 _ORDER = ("high_volatility", "ranging", "trending")
 
@@ -383,7 +383,7 @@ def _em() -> dict[str, str]:
         "-0.5e0 * (" + " + ".join(f"ln(2e0 * pi() * s{k}.var_{c}) + pow((f.{c} - p.m_{c}) / p.s_{c} - s{k}.mu_{c}, 2) / s{k}.var_{c}" for c in FEATURES) + f") AS l{k}"
         for k in range(3)
     ]
-    states = " ".join(f"JOIN states s{k} ON s{k}.panel_id = p.panel_id AND s{k}.refit_pos = p.refit_pos AND s{k}.state = {k}" for k in range(3))
+    states = " ".join(f"JOIN em_start s{k} ON s{k}.panel_id = p.panel_id AND s{k}.refit_pos = p.refit_pos AND s{k}.state = {k}" for k in range(3))
     moved = [" + ".join(f"m.a{i} * {_T[i][j]!r}e0" for i in range(3)) for j in range(3)]
     back = [" + ".join(f"{_T[i][j]!r}e0 * b.b{j} * m.e{j}" for j in range(3)) for i in range(3)]
     scaled = lambda n: ", ".join(f"u{k} / (u0 + u1 + u2) AS {n}{k}" for k in range(3))
@@ -399,6 +399,7 @@ def _em() -> dict[str, str]:
     var = ", ".join(f"greatest((1e-2 + greatest(q_{c} - mass * mu_{c} * mu_{c}, 0e0)) / mass, 1e-12) AS var_{c}" for c in FEATURES)
     own = CTES["ranked_states"].replace("FROM states", "FROM em_states")
     return {
+        "em_start": f"SELECT panel_id, refit_pos, state, start, {', '.join(f'mu_{c} + (state - 1) * {APART!r}e0 AS mu_{c}, var_{c}' for c in FEATURES)} FROM states",
         "em_rows": f"""
         SELECT *, exp(l0 - peak) AS b0, exp(l1 - peak) AS b1, exp(l2 - peak) AS b2 FROM (
             SELECT *, greatest(l0, l1, l2) AS peak FROM (

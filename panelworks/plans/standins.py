@@ -31,6 +31,7 @@ STABLES = ("Brand#1", "Brand#2")
 PATHS = {"baseline": 1.0, "eager": 0.8}
 LABEL_START = 30
 STAY, MOVE = 0.9, 0.05  # transitions that the EM step starts from
+APART = 0.25  # and how far its means are moved apart
 CONFIGS = [
     weights.RouterConfig("gated", gated=True),
     weights.RouterConfig("confirm2", gated=True, confirm=2),
@@ -370,9 +371,12 @@ class Inputs:
 
     @cached_property
     def em_models(self) -> DataFrame:
-        """The models of every prefix after one EM step from sticky transitions."""
+        """The models of every prefix after one EM step from sticky transitions and means moved apart, so
+        that no two states are alike."""
+        shift = lambda s, i: F.struct(s["start"].alias("start"), F.transform(s["mu"], lambda m: m + (i - 1) * APART).alias("mu"), s["var"].alias("var"))
+        start = self.models.withColumn("states", F.transform("states", shift))
         trans = F.array(*[F.array(*[F.lit(STAY if i == j else MOVE) for j in range(3)]) for i in range(3)])
-        return em.em_step(materialize(self.features), self.models.withColumn("trans", trans))
+        return em.em_step(materialize(self.features), start.withColumn("trans", trans))
 
     @cached_property
     def onchain_features(self) -> DataFrame:
@@ -408,4 +412,4 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-__all__ = ["CONFIGS", "CONFIG_IDS", "Inputs", "MOVE", "PATHS", "REGIMES", "STABLES", "STAY", "TVL", "VARIANTS", "tidy"]
+__all__ = ["APART", "CONFIGS", "CONFIG_IDS", "Inputs", "MOVE", "PATHS", "REGIMES", "STABLES", "STAY", "TVL", "VARIANTS", "tidy"]

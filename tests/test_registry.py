@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "missing_worklist", "align_asof", "cex_flow_daily", "token_resolve", "ohlcv_json_flatten", "top_pool", "bars_store",
     "feature_panel", "posterior_score", "attribution_topk", "w_router", "metrics_bundle", "select_config",
-    "windows_combinatorial", "deflated_sharpe", "bootstrap_ci", "bocpd", "intents", "execution_plan", "scale_backtest",
+    "em_step", "regime_path_em", "regime_artifact_export", "windows_combinatorial", "deflated_sharpe", "bootstrap_ci", "bocpd", "intents", "execution_plan", "scale_backtest",
 ]
 
 

@@ -49,6 +49,15 @@ def test_walk_forward_path_is_trained_when_absent(spark):
     assert out["label_counts"].agg(F.sum("days")).first()[0] == 6
 
 
+def test_paths_of_several_feature_sets_are_routed_side_by_side(spark):
+    panels = prices(spark, walk(66, 4))
+    extra = panels.select("date").distinct().select("date", (F.dayofyear("date") % 5).cast("double").alias("flow"))
+    configs = [RouterConfig("free"), RouterConfig("fused", path_id="flow"), RouterConfig("market", fixed="equal_weight")]
+    out = workflows.strategy_comparison(panels, configs, extra_paths={"flow": (extra, ("flow",))})
+    assert {(r.path_id, r["count"]) for r in out["path"].groupBy("path_id").count().collect()} == {("baseline", 6), ("flow", 6)}
+    assert {r.config_id for r in out["metrics"].collect()} == {"free", "fused", "market"}
+
+
 def test_unknown_names_raise_and_own_strategies_need_no_returns(spark):
     panels = prices(spark, walk(40, 5))
     path = labels(spark, ["ranging"] * 40)
