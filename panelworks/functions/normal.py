@@ -1,7 +1,7 @@
 """Normal distribution function and quantile as column expressions, which Spark SQL lacks.
 
-Both are piecewise rational approximations, accurate to about 1e-15 (the distribution function) and 1e-15
-relative (the quantile). All of it is column arithmetic: no row leaves the JVM.
+Both are piecewise rational approximations, accurate to about 1e-15, the distribution function
+absolutely and the quantile relatively. All of it is column arithmetic: no row leaves the JVM.
 """
 
 from __future__ import annotations
