@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, byte_bpe, cap_filters, hnsw, html_extract, lang_id, paragraphs, prefix_trie, simhash, turn_align
+from panelworks.llm import bpe, byte_bpe, cap_filters, hnsw, html_extract, lang_id, paragraphs, passages, prefix_trie, simhash, turn_align
 from panelworks.llm.common import table
 from panelworks.llm.license_scan import LICENSE_SQL, license_scan
 from panelworks.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
@@ -28,7 +28,11 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Repeated and near-repeated paragraphs by lines, and passages that documents share wherever they stand."""
+    docs = table(spark, sf_dir, "documents")
+    lines = paragraphs.repeated_paragraphs(docs).withColumn("kind", F.lit("paragraph"))
+    shared = passages.repeated_passages(docs).withColumn("kind", F.lit("passage"))
+    return lines.unionByName(shared, allowMissingColumns=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
