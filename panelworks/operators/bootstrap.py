@@ -1,21 +1,24 @@
 """Circular block bootstrap.
 
-Block starts come from a hash of (seed, path, block), so any engine and any
-retry draws the same blocks. Common metrics need only per-block sums, so a path
-of n returns costs n / block_len joined rows instead of n; an arbitrary metric
-can be taken over the expanded paths.
+Block starts come from a hash of (seed, path, block), so any engine and any retry draws the same blocks.
+A configuration's returns are packed into one array (bounded by the calendar), and its paths are drawn in
+that row: no join, and no row per step. A path's metrics come from the ordered merge of its blocks'
+states, which are computed once per start, so a path of n returns costs n / block_len merges; an arbitrary
+metric is taken over the path as an array. Paths of a configuration are spread over tasks in groups of
+``GROUP``, so a single long series uses the whole cluster.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import FLAT, PERIODS_PER_YEAR
+from ..functions.columns import PERIODS_PER_YEAR
+from . import states
 
 _PAIR = ["panel_id", "config_id"]
+METRICS = ("sharpe", "total_return", "sortino", "max_drawdown")
+GROUP = 100  # paths of a configuration drawn by one task
 
 
 def observed_returns(returns: DataFrame) -> DataFrame:
@@ -29,32 +32,48 @@ def observed_returns(returns: DataFrame) -> DataFrame:
     )
 
 
-def block_starts(observed: DataFrame, n_boot: int = 1000, block_len: int = 10, seed: int = 0) -> DataFrame:
-    """Start index of every block of every resampled path.
+def _packed(returns: DataFrame) -> DataFrame:
+    """``(panel_id, config_id, rets, n)``: the non-NULL returns of each configuration in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ret"))), lambda x: x["ret"])
+    packed = returns.filter(F.col("ret").isNotNull()).groupBy(*_PAIR).agg(ordered.alias("rets"))
+    return packed.withColumn("n", F.size("rets").cast("bigint"))
 
-    Paths are spread over tasks before blocks are drawn: a single long series
-    still uses the whole cluster.
-    """
-    sizes = observed.groupBy(*_PAIR).agg(F.max("n").alias("n"))
-    paths = sizes.select(*_PAIR, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    blocks = paths.repartition(*_PAIR, "b").select(
-        *_PAIR, "n", "b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block_len).cast("int") - 1)).alias("k")
-    )
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "b", "k")), 1, 8), 16, 10).cast("bigint")
-    return blocks.withColumn("start", draw % F.col("n"))
+
+def _grouped(packed: DataFrame, n_boot: int) -> DataFrame:
+    """Each packed row once per group of paths, groups spread over tasks, and then once per path ``b``."""
+    firsts = F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(GROUP))
+    groups = packed.select("*", F.explode(firsts).alias("low"))
+    spread = groups.repartition(4 * packed.sparkSession.sparkContext.defaultParallelism, *_PAIR, "low")
+    last = F.least(F.col("low") + (GROUP - 1), F.lit(n_boot - 1))
+    return spread.select("*", F.explode(F.sequence("low", last)).alias("b")).drop("low")
+
+
+def block_start(b: Column, k: Column, n: Column, seed: int = 0) -> Column:
+    """Start index of block ``k`` of path ``b``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), b, k)), 1, 8), 16, 10).cast("bigint") % n
+
+
+def _blocks(block_len: int) -> Column:
+    return F.sequence(F.lit(0), F.ceil(F.col("n") / block_len).cast("int") - 1)
+
+
+def path_arrays(returns: DataFrame, n_boot: int = 1000, block_len: int = 10, seed: int = 0) -> DataFrame:
+    """``(panel_id, config_id, b, path)``: resampled paths as arrays, each as long as the series."""
+    n = F.col("n")
+
+    def block(k: Column) -> Column:
+        size = F.least(F.lit(block_len).cast("bigint"), n - k * block_len)
+        start = F.transform(F.array(block_start(F.col("b"), k, n, seed)), lambda s: F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), lambda o: F.get(F.col("rets"), ((s + o) % n).cast("int"))))
+        return F.get(start, F.lit(0))
+
+    drawn = _grouped(_packed(returns), n_boot)
+    return drawn.select(*_PAIR, "b", F.flatten(F.transform(_blocks(block_len), block)).alias("path"))
 
 
 def bootstrap_paths(returns: DataFrame, n_boot: int = 1000, block_len: int = 10, seed: int = 0) -> DataFrame:
-    """Resampled paths ``(panel_id, config_id, b, j, ret)``, each as long as the series."""
-    observed = observed_returns(returns)
-    steps = (
-        block_starts(observed, n_boot, block_len, seed)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(block_len - 1))).alias("offset"))
-        .select(*_PAIR, "b", (F.col("k") * block_len + F.col("offset")).alias("j"), "n",
-                ((F.col("start") + F.col("offset")) % F.col("n")).alias("i"))
-        .filter(F.col("j") < F.col("n"))
-    )
-    return steps.drop("n").join(observed.drop("n"), [*_PAIR, "i"]).select(*_PAIR, "b", "j", "ret")
+    """Resampled paths ``(panel_id, config_id, b, j, ret)``, a row per step."""
+    arrays = path_arrays(returns, n_boot, block_len, seed)
+    return arrays.select(*_PAIR, "b", F.posexplode("path").alias("j", "ret")).withColumn("j", F.col("j").cast("bigint"))
 
 
 def path_metric(paths: DataFrame, metric: Column) -> DataFrame:
@@ -62,50 +81,29 @@ def path_metric(paths: DataFrame, metric: Column) -> DataFrame:
     return paths.groupBy(*_PAIR, "b").agg(metric.alias("metric"))
 
 
-def _block_sums(observed: DataFrame, block_len: int) -> DataFrame:
-    """Sums over the block beginning at each index, wrapping past the end, for the
-    full length and for the shorter last block of a path."""
-    tail = ((F.col("n") - 1) % block_len + 1).cast("int")
-    wraps = F.ceil((block_len - 1) / F.col("n")).cast("int")
-    copies = F.transform(F.sequence(F.lit(0), wraps), lambda c: F.col("i") + c * F.col("n"))
-    line = observed.select(*_PAIR, "ret", "n", tail.alias("tail"), F.explode(copies).alias("i"))
-    line = line.filter(F.col("i") < F.col("n") + block_len - 1)
-    ahead = Window.partitionBy(*_PAIR).orderBy("i").rowsBetween(0, block_len - 1)
-    members = line.withColumn("block", F.collect_list("ret").over(ahead)).filter(F.col("i") < F.col("n"))
-    part = lambda size: F.slice("block", 1, size)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, r: s + r)
-    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, r: s + r * r)
-    growth = lambda a: F.aggregate(a, F.lit(1.0), lambda s, r: s * (1.0 + r))
-    sums = lambda a: F.struct(
-        total(a).alias("total"), square(a).alias("square"), growth(a).alias("growth")
-    )
-    return members.select(
-        *_PAIR, F.col("i").alias("start"), sums(F.col("block")).alias("whole"), sums(part(F.col("tail"))).alias("last")
-    )
-
-
 def bootstrap_metrics(
     returns: DataFrame, n_boot: int = 1000, block_len: int = 10, seed: int = 0, periods: int = PERIODS_PER_YEAR
 ) -> DataFrame:
-    """Annualised Sharpe and total return of every resampled path."""
-    observed = observed_returns(returns)
-    drawn = block_starts(observed, n_boot, block_len, seed).join(
-        _block_sums(observed, block_len), [*_PAIR, "start"]
-    )
-    ends = F.col("k") == F.ceil(F.col("n") / block_len) - 1
-    sums = drawn.select(*_PAIR, "b", "n", F.when(ends, F.col("last")).otherwise(F.col("whole")).alias("s"))
-    per_path = sums.groupBy(*_PAIR, "b", "n").agg(
-        F.sum("s.total").alias("total"), F.sum("s.square").alias("square"), F.product("s.growth").alias("growth")
-    )
+    """``METRICS`` of every resampled path."""
     n = F.col("n")
-    mean = F.col("total") / n
-    sd = F.sqrt(F.greatest(F.col("square") - F.col("total") * mean, F.lit(0.0)) / F.when(n > 1, n - 1))
-    return per_path.select(
-        *_PAIR,
-        "b",
-        F.coalesce(F.when(sd > FLAT, math.sqrt(periods) * mean / sd), F.lit(0.0)).alias("sharpe"),
-        (F.col("growth") - 1.0).alias("total_return"),
-    )
+    tail = (n - 1) % block_len + 1
+
+    def at_each(size: Column) -> Column:
+        """States of the runs of ``size`` returns from each start, past the end as well."""
+        run = lambda i: F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), lambda o: F.get(F.col("rets"), ((i + o) % n).cast("int")))
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: states.of_returns(run(i)))
+
+    whole = F.when(n >= block_len, at_each(F.lit(block_len).cast("bigint")))  # else the last block is the only one
+    packed = _packed(returns).withColumns({"whole": whole, "last": at_each(tail)}).drop("rets")
+    ends = F.ceil(n / block_len).cast("int") - 1
+
+    # Starts, then states, then the merge: each is an array, so that none is computed again per use.
+    starts = F.transform(_blocks(block_len), lambda k: F.struct(k.alias("k"), block_start(F.col("b"), k, n, seed).cast("int").alias("at")))
+    drawn = _grouped(packed, n_boot).withColumn("starts", starts)
+    parts = F.transform("starts", lambda s: F.when(s["k"] == ends, F.get("last", s["at"])).otherwise(F.get("whole", s["at"])))
+    drawn = drawn.select(*_PAIR, "b", states.merged(parts).alias("state"))
+    found = states.metrics(F.col("state"), periods)
+    return drawn.select(*_PAIR, "b", *[found[m].alias(m) for m in METRICS])
 
 
 def confidence_interval(samples: DataFrame, metrics: list[str], ci: float = 0.90) -> DataFrame:
@@ -118,14 +116,15 @@ def confidence_interval(samples: DataFrame, metrics: list[str], ci: float = 0.90
 
 
 def bootstrap_ci(
-    returns: DataFrame, n_boot: int = 1000, block_len: int = 10, seed: int = 0, ci: float = 0.90
+    returns: DataFrame,
+    n_boot: int = 1000,
+    block_len: int = 10,
+    seed: int = 0,
+    ci: float = 0.90,
+    metrics: tuple[str, ...] = ("sharpe", "total_return"),
 ) -> DataFrame:
-    """Point estimate and interval of annualised Sharpe and total return."""
+    """Point estimate and interval of the named ``METRICS``."""
     samples = bootstrap_metrics(returns, n_boot, block_len, seed)
-    r = F.col("ret")
-    sd = F.stddev_samp(r)
-    point = returns.groupBy(*_PAIR).agg(
-        F.coalesce(F.when(sd > FLAT, math.sqrt(PERIODS_PER_YEAR) * F.avg(r) / sd), F.lit(0.0)).alias("sharpe"),
-        (F.product(1.0 + r) - 1.0).alias("total_return"),
-    )
-    return point.join(confidence_interval(samples, ["sharpe", "total_return"], ci), _PAIR)
+    found = states.metrics(states.of_returns(F.col("rets")))
+    point = _packed(returns).select(*_PAIR, *[found[m].alias(m) for m in metrics])
+    return point.join(confidence_interval(samples, list(metrics), ci), _PAIR)

@@ -11,28 +11,42 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import FLAT, compounded, per_period_sharpe, ratio, sharpe, so_far, sortino
+from ..functions.columns import FLAT, per_period_sharpe, so_far
 from ..functions.normal import phi, phi_inv
+from ..session import materialize
+from . import states
 
 METRICS = ("total_return", "sharpe", "sortino", "max_drawdown")
 _KEYS = ["panel_id", "config_id", "window_id", "role"]
 
 
+def segments(windows: DataFrame) -> DataFrame:
+    """``(panel_id, pos, segment)``: maximal runs of dates that belong to the same windows and roles. Any
+    window is a sequence of whole segments."""
+    mine = windows.groupBy("panel_id", "pos").agg(F.array_sort(F.collect_set(F.struct("window_id", "role"))).alias("members"))
+    w = Window.partitionBy("panel_id").orderBy("pos")
+    goes_on = F.col("members").eqNullSafe(F.lag("members").over(w)) & (F.lag("pos").over(w) == F.col("pos") - 1)
+    numbered = mine.withColumn("opens", F.coalesce((~goes_on).cast("int"), F.lit(1)))
+    return numbered.select("panel_id", "pos", F.sum("opens").over(so_far(w)).alias("segment"))
+
+
 def window_metrics(returns: DataFrame, windows: DataFrame) -> DataFrame:
     """Metrics per configuration, window and role on an equity path rebuilt inside
-    the window. Its drawdown starts at the first equity after a return."""
+    the window. Its drawdown starts at the first equity after a return.
+
+    Returns are reduced once to a state per segment, and a window merges the states of its segments, so
+    the work does not grow with the number of windows a date belongs to.
+    """
+    pieces = materialize(segments(windows))
     rows = returns.filter(F.col("ret").isNotNull()).select("panel_id", "config_id", "pos", "ret")
-    inside = rows.join(windows.select("panel_id", "pos", "window_id", "role"), ["panel_id", "pos"])
-    w = Window.partitionBy(*_KEYS).orderBy("pos")
-    path = inside.withColumn("eq", F.product(1.0 + F.col("ret")).over(so_far(w)))
-    path = path.withColumn("dd", ratio("eq", F.max("eq").over(so_far(w))) - 1.0)
-    return path.groupBy(*_KEYS).agg(
-        F.count("*").alias("n_days"),
-        compounded("ret").alias("total_return"),
-        sharpe("ret").alias("sharpe"),
-        sortino("ret").alias("sortino"),
-        F.min("dd").alias("max_drawdown"),
-    )
+    inside = rows.join(pieces, ["panel_id", "pos"]).groupBy("panel_id", "config_id", "segment")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ret"))), lambda x: x["ret"])
+    own = inside.agg(ordered.alias("rets")).select("panel_id", "config_id", "segment", states.of_returns(F.col("rets")).alias("state"))
+    members = windows.join(pieces, ["panel_id", "pos"]).select("panel_id", "segment", "window_id", "role").distinct()
+    gathered = own.join(members, ["panel_id", "segment"]).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("segment", "state"))).alias("parts"))
+    whole = gathered.select(*_KEYS, states.merged(F.transform("parts", lambda x: x["state"])).alias("state"))
+    found = states.metrics(F.col("state"))
+    return whole.select(*_KEYS, F.col("state.n").cast("bigint").alias("n_days"), *[found[m].alias(m) for m in METRICS])
 
 
 def evaluate_windows(returns: DataFrame, windows: DataFrame) -> DataFrame:

@@ -828,7 +828,7 @@ def _(d):
 @query("bootstrap_metrics", sql("""SELECT panel_id, config_id, b, floor(1e6 * (sharpe) + 0.5e0) / 1e6 AS sharpe,
     floor(1e6 * (total_return) + 0.5e0) / 1e6 AS total_return FROM boot""", steps=_STEPS, boot_paths=_PATHS_SQL, boot=_BOOT_SQL))
 def _(d):
-    return bootstrap.bootstrap_metrics(d.stored_daily, _BOOT)
+    return bootstrap.bootstrap_metrics(d.stored_daily, _BOOT).select("panel_id", "config_id", "b", "sharpe", "total_return")
 
 
 @query("bootstrap_custom_metric", sql("""SELECT panel_id, config_id, b, floor(1e6 * (sum(abs(ret))) + 0.5e0) / 1e6 AS metric FROM boot_paths
@@ -848,6 +848,21 @@ def _(d):
     return bootstrap.bootstrap_ci(d.stored_daily, _BOOT)
 
 
+_BOOT_DD = """SELECT panel_id, config_id, b, min(dd) AS max_drawdown,
+    coalesce(CASE WHEN stddev_samp(CASE WHEN ret < 0 THEN ret END) >= 1e-12 THEN sqrt(365e0) * avg(ret) / stddev_samp(CASE WHEN ret < 0 THEN ret END) END, 0e0) AS sortino
+    FROM (SELECT *, eq / max(eq) OVER w - 1 AS dd FROM (SELECT *, product(1 + ret) OVER w AS eq FROM boot_paths
+        WINDOW w AS (PARTITION BY panel_id, config_id, b ORDER BY j)) WINDOW w AS (PARTITION BY panel_id, config_id, b ORDER BY j)) GROUP BY 1, 2, 3"""
+
+
+# Metrics that depend on the order of a path: its blocks' states are merged in order.
+@query("bootstrap_drawdown_ci", sql("SELECT panel_id, config_id, " + ", ".join(
+    f"floor(1e6 * (quantile_cont({m}, {q})) + 0.5e0) / 1e6 AS {m}_{side}" for m in ("max_drawdown", "sortino") for side, q in (("lo", 0.05), ("hi", 0.95)))
+    + " FROM boot_dd GROUP BY 1, 2", steps=_STEPS, boot_paths=_PATHS_SQL, boot_dd=_BOOT_DD))
+def _(d):
+    out = bootstrap.bootstrap_ci(d.stored_daily, _BOOT, metrics=("max_drawdown", "sortino"))
+    return out.select("panel_id", "config_id", "max_drawdown_lo", "max_drawdown_hi", "sortino_lo", "sortino_hi")
+
+
 @query("oos_selected", sql("""SELECT s.panel_id, s.selected, o.n_obs, floor(1e6 * (o.sr) + 0.5e0) / 1e6 AS sr,
     floor(1e6 * (b.lo) + 0.5e0) / 1e6 AS sharpe_lo, floor(1e6 * (b.hi) + 0.5e0) / 1e6 AS sharpe_hi
     FROM (SELECT panel_id, chosen AS selected FROM (SELECT panel_id, chosen,

@@ -8,7 +8,7 @@ from helpers import calendar, ordered, returns
 from pyspark.sql import functions as F
 
 from panelworks.functions.normal import phi, phi_inv
-from panelworks.operators import bootstrap, validation, windows
+from panelworks.operators import bootstrap, states, validation, windows
 
 
 def members(df):
@@ -160,6 +160,12 @@ def test_block_sums_equal_expanded_paths(spark, n, block):
         assert row.total_return == pytest.approx(np.prod(1 + x) - 1)
         sd = x.std(ddof=1) if n > 1 else 0.0
         assert row.sharpe == pytest.approx(np.sqrt(365) * x.mean() / sd if sd > 1e-12 else 0.0, rel=1e-9)
+        equity = np.cumprod(1 + x)
+        assert row.max_drawdown == pytest.approx((equity / np.maximum.accumulate(equity) - 1).min())
+        down = x[x < 0].std(ddof=1) if (x < 0).sum() > 1 else 0.0
+        assert row.sortino == pytest.approx(np.sqrt(365) * x.mean() / down if down > 1e-12 else 0.0, rel=1e-9)
+    plan = bootstrap.bootstrap_metrics(r, 30, block)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_bootstrap_interval_is_ordered_and_repeatable(spark):
@@ -170,3 +176,25 @@ def test_bootstrap_interval_is_ordered_and_repeatable(spark):
     # Same draws; sums may be merged in another order.
     assert list(again)[2:] == pytest.approx(list(one)[2:], rel=1e-9)
     assert one.sharpe_lo < one.sharpe < one.sharpe_hi
+
+
+def test_states_merge_to_the_whole(spark):
+    rng = np.random.default_rng(9)
+    runs = [[], [0.1], [-1.0, 0.5], [0.0, 0.0], list(rng.normal(0, 0.05, 9)), [-0.02, -0.02], list(rng.normal(0.01, 0.1, 30))]
+    pairs = [(i, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(itertools.product(runs, runs))]
+    df = spark.createDataFrame(pairs, "i int, a array<double>, b array<double>")
+    both = states.merge(states.of_returns(F.col("a")), states.of_returns(F.col("b")))
+    whole = states.of_returns(F.concat("a", "b"))
+    for r in df.select(both.alias("x"), whole.alias("y"), F.concat("a", "b").alias("r")).collect():
+        assert list(r.x) == pytest.approx(list(r.y), abs=1e-12)
+        if r.r:
+            e = np.cumprod(1 + np.array(r.r))
+            top = np.maximum.accumulate(e)
+            assert r.x.worst == pytest.approx(min((e[top > 0] / top[top > 0] - 1).min(initial=0), 0)) and r.x.growth == pytest.approx(e[-1])
+
+
+def test_window_metrics_read_each_return_once(spark):
+    """Work per return does not depend on the number of windows: overlapping windows share segments."""
+    folds = windows.combinatorial_windows(calendar(spark, 60), 6, 2, 2)
+    pieces = validation.segments(folds)
+    assert pieces.count() == pieces.select("pos").distinct().count() and pieces.agg(F.max("segment")).first()[0] <= 6 * 5
