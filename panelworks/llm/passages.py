@@ -1,21 +1,25 @@
 """Passages of ``WORDS`` words or more that documents share, wherever they stand.
 
-Words are set off by ASCII white space and ASCII letters are lower-cased; lines play no part. A passage is
-a maximal run of words each of whose ``WORDS``-word stretches stands in another document as well.
-
-Candidates come from stretches at content-defined places. Of every ``REACH`` places in a row the one of
-the least five-word hash is an anchor, and the ``STRETCH`` words from it on are a stretch; both depend on
-the words alone. A shared run of ``STRETCH + REACH - 1`` = ``WORDS`` words has an anchor whose stretch lies
-within it, the same in all documents, so no shared passage is missed. Stretches of two documents or more
-leave few places: there all runs of ``WORDS`` words that hold such a stretch are hashed, and those of two
-documents or more make up the passages, exactly.
-
-Passages that share a run are linked through the first passage that holds it, so a run of n documents costs
-n links. All but the first passage (by document id, then word) of a component are marked as removed.
-
-Defined results: null and empty texts have none. Rows that are equal in id and text are one document, and
-each gives its rows; a passage repeated only within one document is none. Null ids are ordered last. Other
-columns are ignored. Texts are read whole at any length. Runs are compared by 128-bit hashes.
+Words are set off by ASCII white space and ASCII letters are lower-cased; lines play no part. Equal texts
+are one text with a number of copies, and a copied text is one whole passage. Different texts are compared
+in two steps, both at content-defined places: of every so many places in a row, the one of the least
+five-word hash is an anchor, and a fixed number of words from it on is a stretch. Anchors depend on the
+words alone, so a shared run of ``stretch + reach - 1`` words holds a stretch that is the same in all texts.
+
+1. Short, sparse stretches (``STRETCH`` words, one in about 18): those of two texts or more leave few places.
+2. Near these places, stretches of ``LONG`` words, denser; those of two texts or more are shared for certain
+   (by 128-bit hashes). Both steps miss no run of ``WORDS`` shared words.
+
+Overlapping or touching stretches of step 2 are a passage. So every shared run of ``WORDS`` words has a
+passage of at least ``LONG`` words within it, which leaves out fewer than ``WORDS - LONG + 1`` words at either
+end; no passage holds less than ``LONG`` shared words.
+
+Passages that share a stretch are linked through the first that holds it, so a stretch of n texts costs n
+links. All but the first passage (by document id, then word) of a component are marked as removed.
+
+Defined results: null and empty texts have none. Rows equal in id and text are copies like any others. A
+passage repeated only within one text is none. Null ids are ordered last. Other columns are ignored. Texts
+are read whole at any length. Texts are named by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,15 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import row_keys, saved
+from panelworks.llm.common import WORD, row_keys, saved
 from panelworks.llm.components import components
 
 WORDS = 50
-STRETCH = 25
-REACH = WORDS - STRETCH + 1
+STRETCH = 16
+LONG = 40
 GRAM = 5
 # Fixed odd multipliers of two word-sequence hashes.
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -84,81 +88,94 @@ def anchors(words: np.ndarray, stretch: int, reach: int) -> np.ndarray:
     return np.unique(n - 1 - np.concatenate(found))
 
 
-def _hashed(rows: DataFrame, kind: str, places) -> DataFrame:
-    """(doc_id, ka, at, h1, h2) of the runs that ``places(words, hits)`` gives as (places, size)."""
-    many = "hits" in rows.columns
+def _hashed(rows: DataFrame, places, wide: bool) -> DataFrame:
+    """(t, h1), or (t, at, h1, h2) if ``wide``, of the runs that ``places(words, hits)`` gives with their
+    size; rows are (t, text) or (t, text, hits)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
-                hits = part.column(3).to_pylist() if many else [None] * part.num_rows
+                hits = part.column(2).to_pylist() if wide else [None] * part.num_rows
                 row, at, h1, h2 = [], [], [], []
-                for i, (text, hit) in enumerate(zip(part.column(2), hits)):
+                for i, (text, hit) in enumerate(zip(part.column(1), hits)):
                     words = word_hashes(text.as_py())
                     where, size = places(words, hit)
                     row.append(np.full(len(where), i))
                     at.append(where)
                     h1.append(runs(words, size, _BASES[0])[where])
-                    h2.append(runs(words, size, _BASES[1])[where])
-                take = pa.array(np.concatenate(row).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(at).astype(np.int32)), *[pa.array(np.concatenate(h).view(np.int64)) for h in (h1, h2)]],
-                    names=["doc_id", "ka", "at", "h1", "h2"],
-                )
-
-    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, at int, h1 long, h2 long")
-
-
-def _shared(found: DataFrame) -> DataFrame:
-    """Hashes (h1, h2) that more than one document holds, with the first place of each."""
-    doc = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ka")
-    grouped = found.groupBy("h1", "h2").agg(F.min(doc).alias("low"), F.max(doc).alias("high"))
-    return grouped.where("low != high").select("h1", "h2")
-
-
-def _same_doc(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.ka") == F.col(f"{b}.ka"))
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, stretch: int = STRETCH) -> DataFrame:
-    """(doc_id, first_word, n_words, component_id, component_size, removed) of every passage of ``words``
-    words or more that another document holds; component_id is "document:word" of the component's first."""
-    reach = words - stretch + 1
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), row_keys(F.col(id_col), F.col(text_col))[0].alias("ka"), F.col(text_col).alias("text"))
-
-    def all_stretches(seq: np.ndarray, hit: None) -> tuple[np.ndarray, int]:
-        return anchors(seq, stretch, reach), stretch
-
-    def around(seq: np.ndarray, hit: list[int]) -> tuple[np.ndarray, int]:
-        starts = np.unique(np.add.outer(np.array(hit, dtype=np.int64), np.arange(stretch - words, 1)))
-        return starts[(starts >= 0) & (starts <= len(seq) - words)], words
-
-    found = saved(_hashed(texts, kind, all_stretches))
-    hits = found.join(_shared(found), ["h1", "h2"]).groupBy("doc_id", "ka").agg(F.collect_set("at").alias("hits"))
-    wanted = texts.alias("t").join(saved(hits).alias("h"), _same_doc("t", "h")).select("t.doc_id", "t.ka", "t.text", "h.hits")
-    wide = saved(_hashed(wanted.dropDuplicates(["doc_id", "ka"]), kind, around))
-    held = saved(wide.join(_shared(wide), ["h1", "h2"]))
-
-    # Overlapping or touching runs of a document are one passage.
-    listed = held.groupBy("doc_id", "ka").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    opens = F.filter("ats", lambda a, i: (i == 0) | (a - F.get(F.col("ats"), i - 1) > 1))
-    closes = F.filter("ats", lambda a, i: (i == F.size("ats") - 1) | (F.get(F.col("ats"), i + 1) - a > 1))
-    spans = saved(listed.select("doc_id", "ka", F.inline(F.arrays_zip(opens.alias("low"), closes.alias("high")))).withColumn("pid", F.monotonically_increasing_id()))
-
-    # A run links its passages to the one of the least id.
-    every = spans.select("doc_id", "ka", "pid", F.explode(F.sequence("low", "high")).alias("at"))
-    placed = saved(held.alias("r").join(every.alias("s"), _same_doc("r", "s") & (F.col("r.at") == F.col("s.at"))).select("r.h1", "r.h2", "s.pid"))
+                    if wide:
+                        h2.append(runs(words, size, _BASES[1])[where])
+                signed = lambda parts: pa.array(np.concatenate(parts).view(np.int64))
+                columns = {"t": part.column(0).take(pa.array(np.concatenate(row).astype(np.int64)))}
+                if wide:
+                    columns["at"] = pa.array(np.concatenate(at).astype(np.int32))
+                columns["h1"] = signed(h1)
+                if wide:
+                    columns["h2"] = signed(h2)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(batches, "t long, at int, h1 long, h2 long" if wide else "t long, h1 long")
+
+
+def _shared(found: DataFrame, *key: str) -> DataFrame:
+    """The keys that more than one text holds."""
+    return found.groupBy(*key).agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low != high").select(*key)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, stretch: int = STRETCH, long: int = LONG) -> DataFrame:
+    """(doc_id, first_word, n_words, component_id, component_size, removed) of every passage that another
+    document holds as well; component_id is "document:word" of the component's first."""
+    text = F.col(text_col)
+    texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).where("text is not null")
+
+    def sparse(seq: np.ndarray, hit: None) -> tuple[np.ndarray, int]:
+        return anchors(seq, stretch, words - stretch + 1), stretch
+
+    def near(seq: np.ndarray, hit: list[int]) -> tuple[np.ndarray, int]:
+        at = sparse(seq, None)[0]
+        at = at[np.isin(runs(seq, stretch)[at].view(np.int64), np.array(hit, dtype=np.int64))]
+        every = anchors(seq, long, words - long + 1)
+        # A run of ``words`` words that holds both a stretch at a and a long one at p.
+        low, high = np.searchsorted(at, every - (words - long)), np.searchsorted(at, every + (words - stretch), side="right")
+        return every[high > low], long
+
+    found = saved(_hashed(texts, sparse, wide=False))
+    hits = found.join(_shared(found, "h1"), "h1").groupBy("t").agg(F.collect_set("h1").alias("hits"))
+
+    # One row of each text that has hits: that of the least row hash.
+    rows = saved(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), row_keys(F.col(id_col), text)[1].alias("kb"), F.regexp_count(text, F.lit(WORD)).alias("length")).where("length > 0"))
+    classes = saved(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("kb").alias("kb"), F.min("length").alias("length")))
+    wanted = saved(hits.join(classes.select("t", "kb"), "t"))
+    one = docs.select(F.xxhash64(text).alias("t"), row_keys(F.col(id_col), text)[1].alias("kb"), text.alias("text"))
+    held = saved(_hashed(one.join(wanted, ["t", "kb"]).select("t", "text", "hits"), near, wide=True).distinct())
+    runs_ = saved(held.join(_shared(held, "h1", "h2"), ["h1", "h2"]))
+
+    # Overlapping or touching stretches are one passage; a copied text is one as a whole.
+    whole = classes.where((F.col("copies") > 1) & (F.col("length") >= words)).select("t", F.lit(0).alias("low"), F.col("length").alias("stop"))
+    listed = runs_.join(whole.select("t"), "t", "left_anti").groupBy("t").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    apart = lambda i: F.get(F.col("ats"), i + 1) - F.get(F.col("ats"), i) > long
+    opens = F.filter("ats", lambda a, i: (i == 0) | apart(i - 1))
+    closes = F.filter("ats", lambda a, i: (i == F.size("ats") - 1) | apart(i))
+    pieces = listed.select("t", "ats", F.posexplode(F.arrays_zip(opens.alias("low"), closes.alias("high"))).alias("piece", "z"))
+    spans = pieces.select("t", F.col("z.low").alias("low"), (F.col("z.high") + long).alias("stop"), F.filter("ats", lambda a: a.between(F.col("z.low"), F.col("z.high"))).alias("ats"))
+    none = F.array().cast("array<int>")
+    spans = saved(spans.unionByName(whole.withColumn("ats", none)).withColumn("pid", F.monotonically_increasing_id()))
+
+    # A stretch links its passages to the one of the least id.
+    placed = runs_.join(spans.select("t", "pid", F.explode("ats").alias("at")), ["t", "at"]).select("h1", "h2", "pid")
+    placed = saved(placed.unionByName(runs_.join(spans.where(F.size("ats") == 0).select("t", "pid"), "t").select("h1", "h2", "pid")))
     least = placed.groupBy("h1", "h2").agg(F.min("pid").alias("a"))
     links = placed.join(least, ["h1", "h2"]).select("a", F.col("pid").alias("b")).where("a != b").distinct()
-    roots = components(links).withColumnRenamed("node", "pid")
-    known = spans.join(roots, "pid").withColumns({"first_word": F.col("low"), "n_words": F.col("high") - F.col("low") + words})
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "first_word", "ka")
-    copies = texts.groupBy("doc_id", "ka").agg(F.count("*").alias("copies"))
-    rows = known.alias("k").join(copies.alias("c"), _same_doc("k", "c")).select("k.*", "c.copies")
-    heads = rows.groupBy("root").agg(F.sum("copies").alias("component_size"), F.min(place).alias("head"))
-    out = rows.join(heads, "root").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    known = spans.drop("ats").join(components(links).withColumnRenamed("node", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
+
+    out = saved(rows.select("doc_id", "t").join(known, "t").select("doc_id", F.col("low").alias("first_word"), (F.col("stop") - F.col("low")).alias("n_words"), "root", "pid"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "first_word")
+    heads = out.groupBy("root").agg(F.count("*").alias("component_size"), F.min(place).alias("head"))
     head = F.concat_ws(":", F.coalesce(F.col("head.doc_id").cast("string"), F.lit("null")), F.col("head.first_word"))
-    removed = (place != F.col("head")) | (F.col("copy") > 1)
-    return out.select("doc_id", "first_word", "n_words", head.alias("component_id"), "component_size", removed.alias("removed"))
+    joined = out.join(heads, "root").select("doc_id", "first_word", "n_words", head.alias("component_id"), "component_size", (place == F.col("head")).alias("leads"), "root")
+    # Equal rows share the first place: one of them stays.
+    twins = joined.where("leads").groupBy("doc_id", "first_word", "n_words", "component_id", "component_size", "root").agg(F.count("*").alias("n"))
+    first = twins.select("doc_id", "first_word", "n_words", "component_id", "component_size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    kept = first.select("doc_id", "first_word", "n_words", "component_id", "component_size", (F.col("k") > 1).alias("removed"))
+    return joined.where(~F.col("leads")).select("doc_id", "first_word", "n_words", "component_id", "component_size", F.lit(True).alias("removed")).unionByName(kept)
