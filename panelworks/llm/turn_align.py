@@ -425,12 +425,12 @@ hurt AS (
     CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
     unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
   FROM hit WHERE hit <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM hurt),
 placed AS (
-  SELECT conv_id, turn, role, text, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open_end,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
-  FROM hurt),
+  SELECT conv_id, turn, role, text, pos, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open_end
+  FROM ordered),
 turns AS (
   SELECT conv_id, pos, turn, role, text, initial, blank, again AND NOT blank AS duplicate, open_end AND NOT again AND NOT blank AS truncated,
     blank OR again AS gone, CASE WHEN open_end AND NOT again AND NOT blank THEN 3 ELSE 0 END AS cut,
