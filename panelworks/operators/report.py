@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 
 
-def equity_table(daily: DataFrame, path: DataFrame, config_ids: list[str]) -> DataFrame:
-    """One row per panel date, one equity column per configuration, with its label."""
+def equity_table(daily: DataFrame, path: DataFrame, config_ids: list[str], path_ids: list[str] | None = None) -> DataFrame:
+    """One row per panel date, one equity column per configuration, with its label: of the only path, or of
+    each path named in ``path_ids`` as ``<path_id>_regime``."""
     wide = daily.groupBy("panel_id", "date").pivot("config_id", config_ids).agg(F.first("equity"))
-    return wide.join(path.select("panel_id", "date", "regime"), ["panel_id", "date"], "left")
+    if path_ids is None:
+        return wide.join(path.select("panel_id", "date", "regime"), ["panel_id", "date"], "left")
+    labels = path.groupBy("panel_id", "date").pivot("path_id", path_ids).agg(F.first("regime"))
+    return wide.join(labels.select("panel_id", "date", *[F.col(p).alias(f"{p}_regime") for p in path_ids]), ["panel_id", "date"], "left")
 
 
 def rebased(daily: DataFrame) -> DataFrame:

@@ -54,9 +54,9 @@ def query(name: str, oracle: str | None = None):
 
 
 @query("price_panel", pick("prices", "panel_id symbol date", "ord", "close",
-    where="date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND panel_id <> 'brands'"))
+    where="date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"))
 def _(d):
-    return panel.price_panel(d.nation_prices.drop("ord"), d.symbols, "1996-01-01", "1998-12-31")
+    return panel.price_panel(d.lazy_prices.drop("ord"), d.universe, "1996-01-01", "1998-12-31")
 
 
 @query("dense_panel", pick("dense", "panel_id symbol date", "ord pos", "close"))
@@ -70,14 +70,14 @@ def _(d):
 
 
 _UNIVERSE = """SELECT panel_id, 'Brand#' || k AS symbol, CAST(k AS BIGINT) AS ord
-    FROM (SELECT DISTINCT 'nation_' || s_nationkey AS panel_id FROM supplier), range(1, 31) AS r(k)"""
+    FROM (SELECT 'nation_' || s_nationkey AS panel_id FROM supplier UNION SELECT 'brands' FROM supplier), range(1, 31) AS r(k)"""
 
 
 @query("missing_worklist", sql("""SELECT u.panel_id, u.symbol, u.ord FROM universe u LEFT JOIN
     (SELECT DISTINCT panel_id, symbol FROM prices WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30') p
     ON p.panel_id = u.panel_id AND p.symbol = u.symbol WHERE p.symbol IS NULL""", universe=_UNIVERSE))
 def _(d):
-    return panel.missing_symbols(d.nation_prices, d.symbols, "1996-01-01", "1996-06-30")
+    return panel.missing_symbols(d.lazy_prices, d.universe, "1996-01-01", "1996-06-30")
 
 
 @query("panel_guard", sql("""SELECT panel_id, count(DISTINCT date) AS n_dates, count(DISTINCT symbol) AS n_symbols,
@@ -472,9 +472,9 @@ def _(d):
     return regime.attribution_topk(d.reads)
 
 
-@query("hysteresis", pick("lab_active", "panel_id config_id date regime active", "pos", where="config_id = 'ungated'"))
+@query("hysteresis", pick("lab_active", "panel_id config_id date regime active", "pos", where="config_id IN ('ungated', 'gated_eager')"))
 def _(d):
-    path = d.path.filter("path_id = 'baseline'").withColumn("config_id", F.lit("ungated"))
+    path = d.path.withColumn("config_id", F.when(F.col("path_id") == "baseline", "ungated").otherwise("gated_eager"))
     return runs.hysteresis(path, ["panel_id", "config_id"]).select("panel_id", "config_id", "date", "regime", "active", "pos")
 
 
@@ -992,12 +992,13 @@ def _(d):
     return rebalance.plan_intents(plan, rebalance.weights_to_intents(now, target, ["panel_id"], 10_000.0), ["panel_id"])
 
 
-@query("equity_pivot", sql(f"""SELECT d.panel_id, d.date, p.regime, {', '.join(
+@query("equity_pivot", sql(f"""SELECT d.panel_id, d.date, b.regime AS baseline_regime, e.regime AS eager_regime, {', '.join(
     f"floor(1e6 * (ln(max(CASE WHEN config_id = '{c}' THEN equity END) / 1e4)) + 0.5e0) / 1e6 AS {c}" for c in CONFIG_IDS)}
-    FROM daily d LEFT JOIN path p ON p.panel_id = d.panel_id AND p.date = d.date AND p.path_id = 'baseline' GROUP BY 1, 2, 3"""))
+    FROM daily d LEFT JOIN path b ON b.panel_id = d.panel_id AND b.date = d.date AND b.path_id = 'baseline'
+    LEFT JOIN path e ON e.panel_id = d.panel_id AND e.date = d.date AND e.path_id = 'eager' GROUP BY 1, 2, 3, 4"""))
 def _(d):
-    table = report.equity_table(d.daily, d.panel_path.filter("path_id = 'baseline'"), CONFIG_IDS)
-    return table.select("panel_id", "date", "regime", *[F.log(F.col(c) / 1e4).alias(c) for c in CONFIG_IDS])
+    table = report.equity_table(d.daily, d.panel_path, CONFIG_IDS, list(PATHS))
+    return table.select("panel_id", "date", "baseline_regime", "eager_regime", *[F.log(F.col(c) / 1e4).alias(c) for c in CONFIG_IDS])
 
 
 @query("rebased_returns", sql("""SELECT panel_id, config_id, date, floor(1e6 * ((equity / 1e4 - 1) * 100) + 0.5e0) / 1e6 AS pct_return FROM daily"""))

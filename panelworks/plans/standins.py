@@ -173,6 +173,12 @@ class Inputs:
             "panel_id", F.concat(F.lit("Brand#"), F.col("ord")).alias("symbol"), "ord"
         )
 
+    @cached_property
+    def universe(self) -> DataFrame:
+        """The same names for every panel, the weekly one included."""
+        brands = self.symbols.select(F.lit("brands").alias("panel_id"), "symbol", "ord").distinct()
+        return self.symbols.unionByName(brands)
+
     @cached_property
     def calendar(self) -> DataFrame:
         """Written, so that its true size decides how it is joined."""
