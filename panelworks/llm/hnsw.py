@@ -17,8 +17,9 @@ Equal vectors are one node, so a vector that many rows hold does not fill the ne
 class's least ids, one more than asked for, can be among the nearest; they are taken by rank.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part. Vectors meet only others of their length. Null ids take no part. With fewer candidates than
-asked for, all found are returned.
+part. Vectors meet only others of their length. Null ids take no part. Rows equal in id and
+vector are one. An id with several vectors is nearest by the best of them, as a query and as a candidate.
+With fewer candidates than asked for, all found are returned.
 """
 
 from __future__ import annotations
@@ -226,18 +227,24 @@ def nearest_classes(shards: DataFrame, queries: DataFrame, k: int, beam: int = B
     return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(walk, "query_id long, rep long, score double")
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM) -> DataFrame:
+def nearest(
+    rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found to each row where ``queries`` holds,
-    among all other rows, by inner product; ties to the smaller id."""
+    among all rows of other ids, by inner product; ties to the smaller id."""
     rows = rows.where(F.col(id_col).isNotNull())
     members, classes = distinct_vectors(rows, id_col, vec_col)
+    members = members.distinct()  # repeated rows are one
     asked = members.join(rows.where(queries).select(F.col(id_col).alias("vec_id")).distinct(), "vec_id", "left_semi")
     asked = saved(asked.join(classes, "rep").select(F.col("vec_id").alias("query_id"), "vec"))
-    found = nearest_classes(index(classes), asked, k + 1, beam)
+    # An id's own vectors may come before all others.
+    own = asked.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    found = nearest_classes(index(classes, shard_rows), asked, k + own, beam, block_rows)
+    found = found.groupBy("query_id", "rep").agg(F.max("score").alias("score"))  # of any of the id's vectors
     order = [F.desc("score"), F.asc("rep")]
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= k + 1).drop("r")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= k + own).drop("r")
     within = Window.partitionBy("rep").orderBy("vec_id")
     few = members.withColumn("r", F.row_number().over(within)).where(F.col("r") <= k + 1).drop("r")
-    ranked = best.join(few, "rep").where("vec_id != query_id")
+    ranked = best.join(few, "rep").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
