@@ -27,7 +27,7 @@ from ..operators import (
 )
 from ..operators import features as feat
 from ..schemas import FEATURES, REGIMES
-from ..sources import dims, payloads, stores
+from ..sources import dims, landed, payloads, stores
 from ..session import materialize, scratch_path
 from . import workflows
 from .oracle import pick, sql
@@ -322,6 +322,95 @@ def _(d):
     return payloads.top_pools(rows.select("token", F.to_json(F.struct("data")).alias("body")))
 
 
+# --- the same shapes landed in one table: fetches overlap, and the last fetch of each key is broken ----
+
+_OLD, _NEW, _BAD = "2024-01-01", "2024-01-02", "2024-01-03"
+
+
+def _landed(source, key, fetched, body):
+    return F.struct(F.lit(source).alias("source"), key.cast("string").alias("key"), F.lit(fetched).cast("date").alias("fetched_at"), body.alias("body"))
+
+
+def _raw(df, *responses):
+    return df.select(F.inline(F.array(*responses)))
+
+
+def _broken(body):
+    return F.substring(body, 1, 20)
+
+
+@query("landed_bars", sql("""SELECT symbol, date, floor(1e6 * (CASE WHEN year(date) < 1996 THEN open + 1 ELSE open END) + 0.5e0) / 1e6 AS open,
+    floor(1e6 * (high) + 0.5e0) / 1e6 AS high, floor(1e6 * (low) + 0.5e0) / 1e6 AS low, floor(1e6 * (close) + 0.5e0) / 1e6 AS close,
+    floor(1e6 * (volume) + 0.5e0) / 1e6 AS volume FROM bars WHERE year(date) < 2000"""))
+def _(d):
+    # The old fetch ends with 1997 and has other opens; the new one begins with 1996.
+    def body(symbol, quotes):
+        entry = F.struct(quotes.alias("quotes"))
+        k = F.substring(symbol, 7, 9).cast("int") % 3
+        keyed = lambda v: F.to_json(F.struct(F.create_map(symbol, v).alias("data")))
+        return F.when(k == 0, keyed(F.array(entry))).when(k == 1, keyed(entry)).otherwise(F.to_json(F.struct(entry.alias("data"))))
+
+    stale = d.bars.filter(F.year("date") < 1998).withColumn("open", F.col("open") + 1).groupBy("symbol").agg(F.collect_list(_bar_json()).alias("quotes"))
+    fresh = d.bars.filter(F.year("date").between(1996, 1999)).groupBy("symbol").agg(F.collect_list(_bar_json()).alias("quotes"))
+    make = lambda df, day: _raw(df, _landed("ohlcv", F.col("symbol"), day, body(F.col("symbol"), F.col("quotes"))))
+    bad = _raw(fresh, _landed("ohlcv", F.col("symbol"), _BAD, _broken(body(F.col("symbol"), F.col("quotes")))))
+    return landed.bars(landed.parsed(make(stale, _OLD).unionByName(make(fresh, _NEW)).unionByName(bad)))
+
+
+@query("landed_quotes", sql("""SELECT symbol, floor(1e6 * (arg_max(close, date)) + 0.5e0) / 1e6 AS price,
+    CASE WHEN max(date) < DATE '2001-11-01' THEN NULL ELSE floor(1e6 * (arg_max(volume, date)) + 0.5e0) / 1e6 END AS volume_24h FROM bars GROUP BY 1"""))
+def _(d):
+    last = d.bars.groupBy("symbol").agg(F.max_by("close", "date").alias("price"), F.max_by("volume", "date").alias("vol"), F.max("date").alias("date"))
+    quote = lambda add: F.struct((F.col("price") + add).alias("price"), F.when(F.col("date") >= "2001-11-01", F.col("vol")).alias("volume_24h"))
+    # Old responses name three symbols each, new ones one.
+    entry = lambda add: F.struct(F.struct(quote(add).alias("USD")).alias("quote"))
+    many = last.groupBy((F.crc32("symbol") % 7).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("symbol", entry(1)))).alias("data"))
+    old = _raw(many, _landed("quotes", F.col("k"), _OLD, F.to_json(F.struct("data"))))
+    one = F.to_json(F.struct(F.create_map("symbol", entry(0)).alias("data")))
+    new = _raw(last, _landed("quotes", F.col("symbol"), _NEW, one), _landed("quotes", F.col("symbol"), _BAD, _broken(one)))
+    return landed.quotes(landed.parsed(old.unionByName(new)))
+
+
+def _pool_bodies(d):
+    """Landed pools of each token: an old fetch with larger reserves, a new one, and a broken one."""
+    sums = d.transfers.groupBy("token", F.hour("ts").alias("h")).agg(
+        F.floor(F.sum(F.round(F.col("amount") * 100).cast("bigint")) / 100000).alias("s"), F.count("*").alias("n")
+    )
+    listed = F.array_sort(F.collect_list(F.struct("h", "s", "n")))
+
+    def body(times):
+        reserve = lambda p: F.when(p["h"] % 10 == 3, "n/a").otherwise((p["s"] * times).cast("string"))
+        pool = lambda p: F.struct(
+            F.concat(F.lit("bsc_"), p["h"]).alias("id"),
+            F.struct(reserve(p).alias("reserve_in_usd"), F.create_map(F.lit("h24"), p["n"].cast("string")).alias("volume_usd")).alias("attributes"),
+        )
+        return F.to_json(F.struct(F.transform("pools", pool).alias("data")))
+
+    rows = sums.groupBy("token").agg(listed.alias("pools"))
+    return _raw(rows, _landed("pools", F.col("token"), _OLD, body(100)), _landed("pools", F.col("token"), _NEW, body(1)), _landed("pools", F.col("token"), _BAD, _broken(body(1))))
+
+
+@query("landed_pools", SQL["top_pool"])
+def _(d):
+    return landed.pools(landed.parsed(_pool_bodies(d)))
+
+
+@query("landed_tvl", sql("""SELECT 'BSC' AS chain_id, date, floor(1e6 * (CASE WHEN year(date) < 1996 THEN -1 ELSE tvl END) + 0.5e0) / 1e6 AS value FROM chain"""))
+def _(d):
+    point = F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("date"), F.col("v").alias("tvl"))
+    days = d.tvl[0].withColumn("v", F.col("value") * 1.0)
+    make = lambda df: F.to_json(F.collect_list(point))
+    old = days.withColumn("v", F.lit(-1.0)).groupBy("chain_id").agg(make(days).alias("body"))
+    new = days.filter(F.year("date") >= 1996).groupBy("chain_id").agg(make(days).alias("body"))
+    at = lambda df, day, b: _raw(df, _landed("tvl", F.col("chain_id"), day, b))
+    return landed.tvl(landed.parsed(at(old, _OLD, F.col("body")).unionByName(at(new, _NEW, F.col("body"))).unionByName(at(new, _BAD, _broken(F.col("body"))))))
+
+
+@query("landed_rejects", sql(f"""SELECT 'pools' AS source, token AS key, DATE '{_BAD}' AS fetched_at, CAST(20 AS BIGINT) AS n_chars FROM transfers GROUP BY token"""))
+def _(d):
+    return landed.rejects(landed.parsed(_pool_bodies(d))).drop("body")
+
+
 @query("transfer_rows_flatten", sql("""SELECT token, date, floor(1e6 * (sum(amount)) + 0.5e0) / 1e6 AS volume, count(*) AS count
     FROM transfers GROUP BY 1, 2"""))
 def _(d):

@@ -43,11 +43,17 @@ def ohlcv_quotes(raw: DataFrame, convert: str = "USD") -> DataFrame:
 
 
 def latest_quotes(raw: DataFrame, convert: str = "USD") -> DataFrame:
-    """Latest price and 24-hour volume per symbol of ``raw(body)``; absent is NULL."""
+    """Latest price and 24-hour volume per symbol of ``raw(body)``; absent is NULL. With ``fetched_at``
+    the newest fetch that names a symbol gives its row."""
     schema = "STRUCT<data: MAP<STRING, STRUCT<quote: MAP<STRING, STRUCT<price: DOUBLE, volume_24h: DOUBLE>>>>>"
-    rows = raw.select(F.explode(F.from_json("body", schema)["data"]).alias("symbol", "entry"))
+    fetched = ["fetched_at"] if "fetched_at" in raw.columns else []
+    rows = raw.select(*fetched, F.explode(F.from_json("body", schema)["data"]).alias("symbol", "entry"))
     quote = F.try_element_at("entry.quote", F.lit(convert))
-    return rows.select("symbol", quote["price"].alias("price"), quote["volume_24h"].alias("volume_24h"))
+    rows = rows.select(*fetched, "symbol", quote["price"].alias("price"), quote["volume_24h"].alias("volume_24h"))
+    if not fetched:
+        return rows
+    last = F.max_by(F.struct("price", "volume_24h"), "fetched_at")
+    return rows.groupBy("symbol").agg(last.alias("v")).select("symbol", "v.*")
 
 
 def _last_per_day(rows: DataFrame, keys: list[str], day: Column, **values: Column) -> DataFrame:
@@ -90,8 +96,10 @@ def top_pools(raw: DataFrame, network: str = "bsc") -> DataFrame:
     """Highest-reserve pool per token of ``raw(token, body)``.
 
     Non-numeric amounts count as 0 and the first pool wins ties; tokens without
-    pools yield no row.
+    pools yield no row. With ``fetched_at`` a token's newest fetch counts.
     """
+    if "fetched_at" in raw.columns:
+        raw = raw.groupBy("token").agg(F.max_by("body", "fetched_at").alias("body"))
     schema = (
         "STRUCT<data: ARRAY<STRUCT<id: STRING, attributes: "
         "STRUCT<reserve_in_usd: STRING, volume_usd: MAP<STRING, STRING>>>>>"

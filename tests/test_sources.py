@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.operators import export, rebalance, report
 from panelworks.session import scratch_path
-from panelworks.sources import dims, payloads, stores
+from panelworks.sources import dims, landed, payloads, stores
 
 QUOTE = {"time_open": "2024-01-02T00:00:00.000Z", "quote": {"USD": {"open": 1, "high": 3, "low": 0.5, "close": 2, "volume": 9}}}
 
@@ -191,3 +191,34 @@ def test_the_last_fetch_of_a_day_wins(spark):
     listed = lambda rows: {"data": {"attributes": {"ohlcv_list": rows}}}
     twice = fetched([(2, listed([[s, 5, 5, 5, 5, 5]])), (1, listed([[s, 1, 1, 1, 1, 1]]))])
     assert [r.close for r in payloads.candles(twice.withColumnRenamed("k", "symbol")).collect()] == [5.0]
+
+
+def test_newest_fetch_of_quotes_and_pools(spark):
+    quote = lambda p: json.dumps({"data": {"A": {"quote": {"USD": {"price": p}}}}})
+    raw = spark.createDataFrame([(quote(2.0), 2), (quote(1.0), 1), ("{broken", 3)], "body string, fetched_at int")
+    assert [tuple(r) for r in payloads.latest_quotes(raw).collect()] == [("A", 2.0, None)]
+    pool = lambda n, r: json.dumps({"data": [{"id": f"bsc_{n}", "attributes": {"reserve_in_usd": r}}]})
+    raw = spark.createDataFrame([("t", pool("old", "9"), 1), ("t", pool("new", "5"), 2)], "token string, body string, fetched_at int")
+    assert [tuple(r) for r in payloads.top_pools(raw).collect()] == [("t", "new", 5.0, 0.0)]
+
+
+def test_landed_responses_of_every_shape(spark):
+    day = lambda d, o: {"time_open": f"2024-01-0{d}T00:00:00.000Z", "quote": {"USD": {"open": o, "close": 1}}}
+    rows = [
+        ("ohlcv", "A", 1, json.dumps({"data": {"A": [{"quotes": [day(1, 1.0), day(2, 2.0)]}]}})),
+        ("ohlcv", "A", 2, json.dumps({"data": {"A": {"quotes": [day(2, 5.0), day(2, 6.0)]}}})),
+        ("ohlcv", "B", 1, json.dumps({"data": {"quotes": [day(3, 3)]}})),
+        ("ohlcv", "A", 3, '{"data": {"A"'), ("ohlcv", "C", 1, None), ("ohlcv", "D", 1, ""), ("ohlcv", "E", 1, "[]"),
+        ("tvl", "BSC", 1, json.dumps([{"date": 86400, "tvl": 1}, {"date": 86401, "tvl": 2.5}])),
+        ("protocol", "BSC", 1, json.dumps({"chainTvls": {"Binance": {"tvl": [{"date": 0, "totalLiquidityUSD": 7}]}}})),
+        ("pools", "t", 1, json.dumps({"data": [{"id": "bsc_x", "attributes": {"reserve_in_usd": "3", "volume_usd": {"h24": "n/a"}}}]})),
+        ("pools", "t", 2, json.dumps({"data": []})), ("pools", "u", 1, json.dumps({"data": [{"attributes": {}}, {"id": "y"}]})),
+    ]
+    docs = landed.parsed(spark.createDataFrame(rows, "source string, key string, fetched_at int, body string"))
+    assert {(r.key, r.fetched_at, r.n_chars) for r in landed.rejects(docs).collect()} == {("A", 3, 13), ("C", 1, 0), ("D", 1, 0)}
+    assert {(r.symbol, r.date.day, r.open) for r in landed.bars(docs).collect()} == {("A", 1, 1.0), ("A", 2, 6.0), ("B", 3, 3.0)}
+    assert [(r.chain_id, r.date.day, r.value) for r in landed.tvl(docs).collect()] == [("BSC", 2, 2.5)]
+    assert [r.value for r in landed.tvl(docs, "protocol", "Binance").collect()] == [7.0] and landed.tvl(docs, "protocol", "Other").count() == 0
+    assert {tuple(r) for r in landed.pools(docs).collect()} == {("u", "", 0.0, 0.0)}
+    assert {(r.source, r.key, r.fetched_at) for r in landed.newest(docs).collect()} >= {("ohlcv", "A", 2), ("pools", "t", 2)}
+    assert landed.quotes(docs).count() == 0
