@@ -62,12 +62,14 @@ def _put(df: DataFrame, path: str, schema: str, folders: list[str], keys: list[s
     buckets = kept or buckets
     if stored is not None:
         # Everything stored for a written key is replaced; neighbours sharing its
-        # folders are carried over. Folders not touched are not read.
-        df = materialize(df)
-        touched = df.select(*keys).distinct()
+        # folders are carried over. Folders not touched are not read. The write is
+        # staged and replaces folders when all tasks are done, so the neighbours,
+        # and rows derived from the store, are read while it runs: rows are written
+        # once. Only the keys, a small table, are set down first.
+        touched = materialize(df.select(*keys).distinct())
         folder_keys = touched.withColumn("bucket", bucket_of("symbol", buckets)).select(*folders).distinct()
         neighbours = stored.join(folder_keys, folders, "left_semi").join(touched, keys, "left_anti")
-        df = materialize(neighbours.drop("bucket").unionByName(df))
+        df = neighbours.drop("bucket").unionByName(df)
     _write(df, path, folders, buckets)
 
 

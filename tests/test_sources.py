@@ -5,6 +5,7 @@ from helpers import day, ordered
 from pyspark.sql import functions as F
 
 from panelworks.operators import export, rebalance, report
+from panelworks.schemas import BARS
 from panelworks.session import scratch_path
 from panelworks.sources import dims, landed, payloads, stores
 
@@ -222,3 +223,16 @@ def test_landed_responses_of_every_shape(spark):
     assert {tuple(r) for r in landed.pools(docs).collect()} == {("u", "", 0.0, 0.0)}
     assert {(r.source, r.key, r.fetched_at) for r in landed.newest(docs).collect()} >= {("ohlcv", "A", 2), ("pools", "t", 2)}
     assert landed.quotes(docs).count() == 0
+
+
+def test_a_put_may_read_the_store_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    rows = [(s, day(i), 1.0, 2.0, 0.5, float(i), 3.0) for s in "ABCDEFGH" for i in range(5)]
+    bars = spark.createDataFrame(rows, BARS)
+    stores.put_bars(bars, path, buckets=2)
+    doubled = stores.get_bars(spark, path, ["A", "C"]).withColumn("close", F.col("close") * 2)
+    stores.put_bars(doubled, path)
+    got = {(r.symbol, r.date): r.close for r in stores.get_bars(spark, path).collect()}
+    assert got == {(s, d): c * (2 if s in "AC" else 1) for s, d, _, _, _, c, _ in rows}
+    stores.put_bars(stores.get_bars(spark, path), path)
+    assert stores.get_bars(spark, path).count() == 40
