@@ -1010,12 +1010,24 @@ _BOCPD = """WITH RECURSIVE runs(series_id, t, run, mass, mu, beta) AS (
     FROM runs r JOIN obs_x o ON o.series_id = r.series_id AND o.t = r.t WHERE r.run <= 1 GROUP BY 1, 2"""
 
 
-@query("bocpd", sql("SELECT * FROM obs_x", obs_x=_RUNS).replace("WITH ", "WITH RECURSIVE ", 1).replace(
-    " SELECT * FROM obs_x", _BOCPD.replace("WITH RECURSIVE", ",", 1)))
-def _(d):
+_BOCPD_SQL = sql("SELECT * FROM obs_x", obs_x=_RUNS).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    " SELECT * FROM obs_x", _BOCPD.replace("WITH RECURSIVE", ",", 1))
+
+
+def _return_series(d):
     returns = feat.simple_returns(d.indexed).filter(F.col("ret").isNotNull())
-    series = returns.select(F.concat_ws("/", "panel_id", "symbol").alias("series_id"), "pos", F.col("ret").alias("x"))
-    return changepoint.change_points(series)
+    return returns.select(F.concat_ws("/", "panel_id", "symbol").alias("series_id"), "pos", F.col("ret").alias("x"))
+
+
+@query("bocpd", _BOCPD_SQL)
+def _(d):
+    return changepoint.change_points(_return_series(d))
+
+
+# The same series, carried over stretches of 128 dates through the state table.
+@query("bocpd_chunked", _BOCPD_SQL)
+def _(d):
+    return changepoint.change_points_chunked(materialize(_return_series(d)), 128)
 
 
 # --- rebalancing and reports ------------------------------------------------

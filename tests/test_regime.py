@@ -196,6 +196,22 @@ def test_change_point_spikes_at_a_mean_shift(spark):
         assert prob[50:54].max() > 5 * np.median(prob[20:48])
 
 
+def test_change_points_over_stretches_equal_the_whole(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, i, float(v)) for s, n in (("a", 90), ("b", 35), ("c", 61)) for i, v in enumerate(np.concatenate([rng.normal(0, 1, n), rng.normal(4, 1, 20)])) if (s, i) != ("c", 40)]
+    series = spark.createDataFrame(rows, "series_id string, pos int, x double")
+    whole = {(r.series_id, r.pos): r.cp_prob for r in changepoint.change_points(series).collect()}
+    for chunk in (7, 30):
+        got = {(r.series_id, r.pos): r.cp_prob for r in changepoint.change_points_chunked(series, chunk).collect()}
+        assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k], abs=1e-12) for k in got)
+    pruned = {(r.series_id, r.pos): r.cp_prob for r in changepoint.change_points_chunked(series, 30, prune=1e-6).collect()}
+    state = {r.series_id: r for r in changepoint.advance(series, prune=1e-6).collect()}
+    for k in whole:
+        assert pruned[k] == pytest.approx(whole[k], abs=10 * state[k[0]].lost + 1e-9)
+    assert all(0 < r.lost < 1e-3 and len(r.run) < 70 for r in state.values())
+    assert changepoint.change_points_chunked(series.limit(0)).count() == 0
+
+
 def test_change_point_underflow_restarts():
     out = changepoint.short_run_mass(np.array([0.0, 1e200, 0.0]), 0.01, 0.0, 1.0, 1.0, 1.0)
     assert np.isfinite(out).all()
