@@ -8,36 +8,39 @@ a language combines
 - the chance that rows of the language declare this code, and end in this suffix, and
 - a prior of the host, smoothed towards its domain and that towards the whole corpus.
 
-The text models are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, by hash order). All
-other tables are expected counts over all rows, from grouped sums of the text posteriors: one pass
+Languages are the labels that at least ``MIN_LABELLED`` rows carry (the ``MAX_LANGUAGES`` most frequent, if
+there are more). The text models are fitted on whole texts of a bounded sample of labelled rows
+(``TRAIN_ROWS`` of each language, by hash order), counted where they are read. All other tables are expected counts over all rows, from grouped sums of the text posteriors: one pass
 over the texts leaves four likelihoods and three short keys per row, and everything after works on
 those. A row's own share is taken out of its host's counts. Hot hosts are summed before any shuffle,
 and small count tables are joined by measured size.
 
 A row is rejected when nothing speaks for a language: no letters at all, a text that fits unrelated
-letters better than each language, or a posterior below ``MIN_POSTERIOR``.
+letters better than each language, or a posterior below ``MIN_POSTERIOR``. A row that declares a language
+without a model is not judged: with letters it is kept under its own label.
 
 Defined results: null and empty texts give no text evidence; null, empty or unknown declarations,
 suffixes and hosts are categories of their own. Without any evidence the corpus prior decides and
 the row is rejected. Without labelled rows every language is equally likely. Repeated rows count as
-often as they occur. Other columns pass through in ``keep_identified``.
+often as they occur. Of equally likely languages the first by name is taken. Other columns pass through
+in ``keep_identified``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import hash_sample, saved
+from panelworks.llm.common import saved
 
-LANGUAGES = ("de", "en", "es", "fr")
-TRAIN_ROWS = 2000  # labelled rows the text model is fitted on
-TRAIN_CHARS = 4000  # at most this much of each of them
+MIN_LABELLED = 20  # rows that a language needs to be modelled
+MAX_LANGUAGES = 64
+TRAIN_ROWS = 500  # labelled rows of each language that the text model is fitted on
 BUCKETS = 1 << 15  # hashed trigrams
 TEMPER = 0.1  # weight of a trigram's log-likelihood ratio
 SMOOTH = 0.5
@@ -57,14 +60,36 @@ def trigrams(text: str | None) -> np.ndarray:
     return (((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def fit(rows: DataFrame, text: str, label: str, languages: tuple[str, ...] = LANGUAGES, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """(trigram, language) log-likelihoods from at most ``train_rows`` labelled rows; the last column
-    is that of unrelated letters."""
-    known = rows.where(F.col(label).isin(*languages) & F.col(text).isNotNull())
-    sample = hash_sample(known, train_rows).select(F.substring(text, 1, TRAIN_CHARS).alias("t"), F.col(label).alias("l"))
-    counts = np.zeros((BUCKETS, len(languages)))
-    for row in sample.collect():
-        np.add.at(counts[:, languages.index(row["l"])], trigrams(row["t"]), 1)
+def languages(rows: DataFrame, label: str, least: int = MIN_LABELLED) -> dict[str, int]:
+    """Languages to be modelled with their number of labelled rows, by name."""
+    counts = rows.groupBy(F.lower(label).alias("l")).agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.trim("l") != ""))
+    found = counts.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
+    return {r["l"]: r["n"] for r in sorted(found, key=lambda r: r["l"])}
+
+
+def fit(rows: DataFrame, text: str, label: str, known: dict[str, int], train_rows: int = TRAIN_ROWS) -> np.ndarray:
+    """(trigram, language) log-likelihoods from at most ``train_rows`` labelled rows of each language; the
+    last column is that of unrelated letters."""
+    names = list(known)
+    counts = np.zeros((BUCKETS, len(names)))
+    if names:
+        hashed = rows.select(F.lower(label).alias("l"), F.col(text).alias("t")).where(F.col("l").isin(names) & F.col("t").isNotNull())
+        hashed = hashed.withColumn("h", F.xxhash64("t", "l"))
+        # A cut of the hash leaves about twice as many rows of each language before they are ranked.
+        share = F.create_map(*[F.lit(x) for name, n in known.items() for x in (name, min(1.0, 2.0 * train_rows / n))])
+        cut = hashed.where(F.pmod("h", F.lit(1 << 30)) <= share[F.col("l")] * (1 << 30))
+        ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= train_rows)
+        sample = ranked.select("l", "t").repartition(max(1, len(names) * train_rows // 100))
+
+        def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in source:
+                for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    found, times = np.unique(trigrams(t.as_py()), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"l": [name] * len(found), "gram": pa.array(found, pa.int64()), "n": pa.array(times, pa.int64())})
+
+        grams = sample.mapInArrow(batches, "l string, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
+        for row in grams.collect():  # BUCKETS per language at most
+            counts[row["gram"], names.index(row["l"])] = row["n"]
     total = counts.sum(axis=0)
     logs = np.log(counts + SMOOTH) - np.log(total + SMOOTH * BUCKETS)
     noise = np.full((BUCKETS, 1), -np.log(30.0**3))  # letters drawn alike
@@ -108,10 +133,14 @@ def _counts(rows: DataFrame, key: str, name: str, n: int) -> DataFrame:
     return rows.groupBy(key).agg(*sums).select(F.col(key).alias(f"_{key}"), F.array(*[F.col(f"_{i}") for i in range(n)]).alias(name))
 
 
-def fuse(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def fuse(scored: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows (declared, suffix, domain, host, lls, noise, n_grams and others) with ``lang``,
     ``posterior``, ``text_lang``, ``kept``."""
-    n = len(languages)
+    n = len(names)
+    if not n:  # nothing to tell apart
+        letters = F.col("n_grams") > 0
+        out = scored.select("*", F.col("declared").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), (letters & F.coalesce(F.trim("declared") != "", F.lit(False))).alias("kept"))
+        return out.drop("lls", "noise")
     rows = saved(scored.withColumn("p", _normal(F.col("lls"))))
     everywhere = rows.agg(*[F.sum(F.col("p")[i]) for i in range(n)]).first()
     total = np.array([x or 0.0 for x in everywhere]) + 1.0
@@ -132,15 +161,17 @@ def fuse(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame
     for name in ("nd", "ns"):
         rows = rows.withColumn(name, chance(F.zip_with(name, "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))))
     evidence = F.array(*[F.col("lls")[i] + F.log(F.col("host_prior")[i]) + F.col("nd")[i] + F.col("ns")[i] for i in range(n)])
-    rows = rows.withColumn("posteriors", _normal(evidence))
-    names = F.array(*[F.lit(x) for x in languages])
-    best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
+    # Written, so that conditions on the result are not unfolded into the fusion again and again.
+    rows = saved(rows.withColumn("posteriors", _normal(evidence)).drop("nd", "ns", "nm", "nh", "p", "domain_prior", "host_prior"))
+    listed = F.array(*[F.lit(x) for x in names])
+    best = lambda c: F.element_at(listed, F.array_position(c, F.array_max(c)).cast("int"))
     speaks = (F.col("n_grams") > 0) & (F.array_max("lls") > F.col("noise"))
+    other = F.coalesce((F.trim("declared") != "") & ~F.col("declared").isin(list(names)), F.lit(False))  # a language without a model
     return rows.select(
-        "*", best(F.col("posteriors")).alias("lang"), F.array_max("posteriors").alias("posterior"),
+        "*", F.when(other, F.col("declared")).otherwise(best(F.col("posteriors"))).alias("lang"), F.array_max("posteriors").alias("posterior"),
         F.when(F.col("n_grams") > 0, best(F.col("lls"))).alias("text_lang"),
-        (speaks & (F.array_max("posteriors") >= MIN_POSTERIOR)).alias("kept"),
-    ).drop("nd", "ns", "nm", "nh", "p", "lls", "noise", "domain_prior", "host_prior")
+        F.when(other, F.col("n_grams") > 0).otherwise(speaks & (F.array_max("posteriors") >= MIN_POSTERIOR)).alias("kept"),
+    ).drop("lls", "noise")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -166,11 +197,12 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_id, declared, text_lang, lang, posterior, kept) of every document, and of every
     page where they are given (one of the two ids is null)."""
-    model = fit(docs, "text", "lang")
+    known = languages(docs, "lang")
+    model = fit(docs, "text", "lang", known)
     rows = document_evidence(docs)
     if pages is not None:
         rows = rows.unionByName(page_evidence(pages))
-    found = fuse(likelihoods(rows, "body", model))
+    found = fuse(likelihoods(rows, "body", model), list(known))
     return found.select("doc_id", "page_id", "declared", "text_lang", "lang", F.round("posterior", 6).alias("posterior"), "kept")
 
 
@@ -181,12 +213,13 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """
     keys = {"__ka": F.xxhash64("doc_id", "text", "lang", "source"), "__kb": F.xxhash64("source", "lang", "text", "doc_id")}
     keyed = docs.withColumns(keys)
-    model = fit(docs, "text", "lang")
+    known = languages(docs, "lang")
+    model = fit(docs, "text", "lang", known)
     rows = keyed.select(
         F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.lit("documents").alias("domain"),
         F.col("source").alias("host"), F.col("lang").alias("given"), "__ka", "__kb", F.col("text").alias("body"),
     )
-    found = fuse(likelihoods(rows, "body", model)).where(~F.col("kept") | ~F.col("lang").eqNullSafe(F.col("given")))
+    found = fuse(likelihoods(rows, "body", model), list(known)).where(~F.col("kept") | ~F.col("lang").eqNullSafe(F.lower("given")))
     changed = saved(found.groupBy("__ka", "__kb").agg(F.max(F.when(F.col("kept"), F.col("lang"))).alias("__lang"), F.lit(True).alias("__new")))
     out = keyed.join(changed, ["__ka", "__kb"], "left").where(F.col("__new").isNull() | F.col("__lang").isNotNull())
     return out.withColumn("lang", F.coalesce("__lang", "lang")).drop("__ka", "__kb", "__lang", "__new")

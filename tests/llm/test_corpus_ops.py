@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from compare import connect, difference
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -192,13 +193,32 @@ def test_language(spark, odd, none):
     found = lang_id.identify(docs, spark.read.parquet(f"{SF}/pages.parquet")).toPandas()
     both = found[found.doc_id.notna()].merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
     assert (both.lang_x == both.lang_y).mean() > 0.97 and both.kept.mean() > 0.98
-    held_out = lang_id.likelihoods(docs.where("doc_id % 2 = 1").select("lang", "text"), "text", lang_id.fit(docs.where("doc_id % 2 = 0"), "text", "lang")).toPandas()
-    assert np.mean([lang_id.LANGUAGES[int(np.argmax(x))] == y for x, y in zip(held_out.lls, held_out.lang)]) > 0.95
+    half = docs.where("doc_id % 2 = 0")
+    known = lang_id.languages(half, "lang", 5)
+    assert list(known) == ["de", "en", "es", "fr"]
+    held_out = lang_id.likelihoods(docs.where("doc_id % 2 = 1").select("lang", "text"), "text", lang_id.fit(half, "text", "lang", known)).toPandas()
+    assert np.mean([list(known)[int(np.argmax(x))] == y for x, y in zip(held_out.lls, held_out.lang)]) > 0.95
     kept = lang_id.keep_identified(odd)
     assert kept.columns == odd.columns and kept.where("text is null or trim(text) = ''").count() == 0
     assert lang_id.keep_identified(none).count() == 0 and lang_id.identify(none).count() == 0
 
 
+def test_languages_come_from_the_labels(spark):
+    rng = np.random.default_rng(0)
+    words = {"it": "che della perché gli questo sono anche città nella più".split(), "nl": "het niet een voor zijn maar ook naar wordt door zij".split(), "eo": "kaj estas la mi vi ĉiuj".split()}
+    made = [(10_000 + i, " ".join(rng.choice(words[lang], 60)), lang, "s", 1) for lang, n in (("it", 100), ("nl", 100), ("eo", 4)) for i in range(n)]
+    made = [(10_000 + i, *r[1:]) for i, r in enumerate(made)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    every = docs.union(spark.createDataFrame([*made, (20_000, None, "it", "s", 0), (20_001, "...", "eo", "s", 3)], docs.schema))
+    kept = {r.doc_id: r.lang for r in lang_id.keep_identified(every).collect()}
+    assert {i: kept.get(i) for i, *_ in made} == {i: lang for i, _, lang, *_ in made}  # four are too few for a model
+    assert 20_000 not in kept and 20_001 not in kept
+    before = {r.doc_id: r.lang for r in lang_id.keep_identified(docs).collect()}
+    assert np.mean([kept.get(i) == lang for i, lang in before.items()]) > 0.98
+    unlabelled = docs.limit(5).withColumn("lang", F.lit(None).cast("string"))
+    assert lang_id.keep_identified(unlabelled).count() == 0
+
+
 def test_bpe(spark, odd, none):
     from tokenizers import Tokenizer
 
