@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.llm import bpe, byte_bpe, cap_filters, hnsw, html_extract, lang_id, paragraphs, passages, prefix_trie, simhash, turn_align
-from panelworks.llm.common import table
+from panelworks.llm.common import saved, table
 from panelworks.llm.license_scan import LICENSE_SQL, license_scan
 from panelworks.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from panelworks.llm.mixing import MIX_SQL, mix_plan
@@ -30,8 +30,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated and near-repeated paragraphs by lines, and passages that documents share wherever they stand."""
     docs = table(spark, sf_dir, "documents")
-    lines = paragraphs.repeated_paragraphs(docs).withColumn("kind", F.lit("paragraph"))
-    shared = passages.repeated_passages(docs).withColumn("kind", F.lit("passage"))
+    found = saved(passages.scan(docs))
+    blocks = found.where(F.col("class").isNotNull()).drop("t", "h1")
+    lines = paragraphs.repeated_paragraphs(docs, found=blocks, shingle=passages.shingles).withColumn("kind", F.lit("paragraph"))
+    shared = passages.repeated_passages(docs, found=found.where("h1 is not null").select("t", "h1")).withColumn("kind", F.lit("passage"))
     return lines.unionByName(shared, allowMissingColumns=True)
 
 

@@ -71,20 +71,30 @@ def _words(line: bytes) -> list[bytes]:
     return line.lower().split()  # bytes: ASCII letters and ASCII white space
 
 
-def blocks(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first line, lines, words) of each paragraph: long lines, and consecutive short lines joined."""
-    start, joined = 0, []
-    for n, s in enumerate([*text.split(b"\n"), b""]):
-        words = _words(s)
+def placed_blocks(lines: list[list[bytes]], min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """(first line, lines, first word, end word) of each paragraph of a text's lines of words: long lines,
+    and consecutive short lines joined. Words are counted over the whole text."""
+    start = first = at = joined = 0
+    for n, words in enumerate([*lines, []]):
         if 0 < len(words) < min_words:
-            start = start if joined else n
-            joined += words
-            continue
-        if joined and len(joined) >= min_words:
-            yield start, n - start, joined
-        joined = []
-        if words and len(words) >= min_words:
-            yield n, 1, words
+            if not joined:
+                start, first = n, at
+            joined += len(words)
+        else:
+            if joined >= min_words:
+                yield start, n - start, first, first + joined
+            joined = 0
+            if words:
+                yield n, 1, at, at + len(words)
+        at += len(words)
+
+
+def blocks(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first line, lines, words) of each paragraph."""
+    lines = [_words(s) for s in text.split(b"\n")]
+    words = [w for line in lines for w in line]
+    for line, count, low, high in placed_blocks(lines, min_words):
+        yield line, count, words[low:high]
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -115,13 +125,13 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, line int, lines int, class binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: Callable[[list[bytes]], np.ndarray] = shingles) -> DataFrame:
     """(cid, hashes): the shingle sets of the classes in ``wanted`` (cid, ka, kb, line, lines), read from
     one copy each."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            sets = [shingles(_words(t.as_py().encode("utf-8", "replace"))).view("<i8") for t in batch.column(1)]
+            sets = [shingle(_words(t.as_py().encode("utf-8", "replace"))).view("<i8") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
 
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
@@ -174,16 +184,20 @@ def similar_roots(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
     return components(links.unionByName(more)).withColumnRenamed("node", "cid")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_paragraphs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+    found: DataFrame | None = None, shingle: Callable[[list[bytes]], np.ndarray] = shingles,
+) -> DataFrame:
     """(doc_id, line, component_id, component_size, removed, n_lines) of every paragraph that has a copy
-    or near copy; component_id is "document:line" of the first of the component, line a paragraph's first."""
-    found = saved(paragraphs(docs, id_col, text_col, min_words))
+    or near copy; component_id is "document:line" of the first of the component, line a paragraph's first.
+    ``found`` may give ``paragraphs`` as written before, with keys of the sets that ``shingle`` makes."""
+    found = saved(paragraphs(docs, id_col, text_col, min_words)) if found is None else found
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "ka", "kb", "lines")
     classes = found.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
     first = classes.select("cid", "first.ka", "first.kb", "first.line", "first.lines")
     members = classes.select("cid", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("doc"), "keys")
-    roots = similar_roots(members, lambda wanted: _sets(docs, wanted.join(first, "cid"), id_col, text_col))
+    roots = similar_roots(members, lambda wanted: _sets(docs, wanted.join(first, "cid"), id_col, text_col, shingle))
     grouped = classes.select("class", "cid", "n", F.struct("first.last", "first.doc_id", "first.line").alias("first")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = grouped.groupBy("root").agg(F.sum("n").alias("component_size"), F.min("first").alias("head")).where("component_size > 1")
     repeated = grouped.select("class", "root").join(whole, "root").select("class", "component_size", "head")

@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import WORD, row_keys, saved
+from panelworks.llm.common import row_keys, saved
 from panelworks.llm.components import components
+from panelworks.llm.paragraphs import band_keys, placed_blocks
 
 WORDS = 50
 STRETCH = 16
@@ -73,12 +74,13 @@ def runs(words: np.ndarray, size: int, base: np.uint64 = _BASES[0]) -> np.ndarra
         return parts ^ (parts >> np.uint64(32))
 
 
-def anchors(words: np.ndarray, stretch: int, reach: int) -> np.ndarray:
-    """Places at which a stretch begins: of every ``reach`` in a row the last of the least hash."""
+def anchors(words: np.ndarray, stretch: int, reach: int, grams: np.ndarray | None = None) -> np.ndarray:
+    """Places at which a stretch begins: of every ``reach`` in a row the last of the least hash. ``grams``
+    may give the five-word hashes."""
     n = len(words) - stretch + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64)
-    back = runs(words, min(GRAM, stretch))[:n][::-1]
+    back = (runs(words, min(GRAM, stretch)) if grams is None else grams)[:n][::-1]
     if n <= reach:
         return np.array([n - 1 - int(back.argmin())])
     found = []
@@ -90,7 +92,8 @@ def anchors(words: np.ndarray, stretch: int, reach: int) -> np.ndarray:
 
 def _hashed(rows: DataFrame, places, wide: bool) -> DataFrame:
     """(t, h1), or (t, at, h1, h2) if ``wide``, of the runs that ``places(words, hits)`` gives with their
-    size; rows are (t, text) or (t, text, hits)."""
+    size; rows are (t, text) or (t, text, hits). If ``wide``, a row with ``at`` -1 has a text's number of
+    words as ``h1``."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -106,6 +109,10 @@ def _hashed(rows: DataFrame, places, wide: bool) -> DataFrame:
                     h1.append(runs(words, size, _BASES[0])[where])
                     if wide:
                         h2.append(runs(words, size, _BASES[1])[where])
+                        row.append(np.array([i]))
+                        at.append(np.array([-1]))
+                        h1.append(np.array([len(words)], dtype=np.uint64))
+                        h2.append(np.zeros(1, dtype=np.uint64))
                 signed = lambda parts: pa.array(np.concatenate(parts).view(np.int64))
                 columns = {"t": part.column(0).take(pa.array(np.concatenate(row).astype(np.int64)))}
                 if wide:
@@ -118,14 +125,59 @@ def _hashed(rows: DataFrame, places, wide: bool) -> DataFrame:
     return rows.mapInArrow(batches, "t long, at int, h1 long, h2 long" if wide else "t long, h1 long")
 
 
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, as ``scan`` gives them (of at least five words)."""
+    return np.unique(runs(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64), GRAM))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One pass over the texts for both searches: rows of ``paragraphs.paragraphs`` (``class`` not null), with
+    keys of ``shingles``, and rows (t, h1) of the sparse stretches."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, long_digest = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
+        for batch in source:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                row, line, count, kind, keys, texts, hashes = [], [], [], [], [], [], []
+                for i, text in enumerate(part.column(4)):
+                    lines = [s.split() for s in (text.as_py() or "").encode("utf-8", "replace").lower().split(b"\n")]
+                    words = [w for s in lines for w in s]
+                    seq = np.array([digest(w) for w in words], dtype=np.uint64)
+                    grams = runs(seq, GRAM)
+                    for first, n, low, high in placed_blocks(lines):
+                        row.append(i)
+                        line.append(first)
+                        count.append(n)
+                        kind.append(long_digest(b" ".join(words[low:high])))
+                        keys.append(band_keys(np.unique(grams[low : high - GRAM + 1])))
+                    where = anchors(seq, STRETCH, WORDS - STRETCH + 1, grams)
+                    texts.append(np.full(len(where), i))
+                    hashes.append(runs(seq, STRETCH)[where])
+                found, at = pa.array(row, pa.int64()), pa.array(np.concatenate(texts).astype(np.int64))
+                none = lambda n, t: pa.nulls(n, t)
+                n, m = len(found), len(at)
+                both = lambda a, b: pa.concat_arrays([a, b])
+                columns = [both(part.column(c).take(found), none(m, part.column(c).type)) for c in range(3)]
+                columns += [both(pa.array(x, t), none(m, t)) for x, t in ((line, pa.int32()), (count, pa.int32()), (kind, pa.binary()), (keys, pa.list_(pa.int64())))]
+                columns += [both(none(n, pa.int64()), part.column(3).take(at)), both(none(n, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ka", "kb", "line", "lines", "class", "keys", "t", "h1"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    ka, kb = row_keys(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), ka.alias("ka"), kb.alias("kb"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).where("text is not null")
+    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, line int, lines int, class binary, keys array<long>, t long, h1 long")
+
+
 def _shared(found: DataFrame, *key: str) -> DataFrame:
     """The keys that more than one text holds."""
     return found.groupBy(*key).agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low != high").select(*key)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, stretch: int = STRETCH, long: int = LONG) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, stretch: int = STRETCH, long: int = LONG, found: DataFrame | None = None) -> DataFrame:
     """(doc_id, first_word, n_words, component_id, component_size, removed) of every passage that another
-    document holds as well; component_id is "document:word" of the component's first."""
+    document holds as well; component_id is "document:word" of the component's first. ``found`` may give the
+    sparse stretches (t, h1) as written before."""
     text = F.col(text_col)
     texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).where("text is not null")
 
@@ -133,26 +185,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return anchors(seq, stretch, words - stretch + 1), stretch
 
     def near(seq: np.ndarray, hit: list[int]) -> tuple[np.ndarray, int]:
+        every = anchors(seq, long, words - long + 1)
+        if not hit:  # a copied text that shares nothing with another
+            return every[:0], long
         at = sparse(seq, None)[0]
         at = at[np.isin(runs(seq, stretch)[at].view(np.int64), np.array(hit, dtype=np.int64))]
-        every = anchors(seq, long, words - long + 1)
         # A run of ``words`` words that holds both a stretch at a and a long one at p.
         low, high = np.searchsorted(at, every - (words - long)), np.searchsorted(at, every + (words - stretch), side="right")
         return every[high > low], long
 
-    found = saved(_hashed(texts, sparse, wide=False))
-    hits = found.join(_shared(found, "h1"), "h1").groupBy("t").agg(F.collect_set("h1").alias("hits"))
+    found = saved(_hashed(texts, sparse, wide=False)) if found is None else found
+    hits = found.join(saved(_shared(found, "h1")), "h1").groupBy("t").agg(F.collect_set("h1").alias("hits"))
 
-    # One row of each text that has hits: that of the least row hash.
-    rows = saved(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), row_keys(F.col(id_col), text)[1].alias("kb"), F.regexp_count(text, F.lit(WORD)).alias("length")).where("length > 0"))
-    classes = saved(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("kb").alias("kb"), F.min("length").alias("length")))
-    wanted = saved(hits.join(classes.select("t", "kb"), "t"))
+    # One row of each text that has hits or copies: that of the least row hash.
+    rows = saved(docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), row_keys(F.col(id_col), text)[1].alias("kb")))
+    classes = rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("kb").alias("kb"))
+    wanted = saved(classes.join(hits, "t", "left").where("copies > 1 or hits is not null"))
     one = docs.select(F.xxhash64(text).alias("t"), row_keys(F.col(id_col), text)[1].alias("kb"), text.alias("text"))
-    held = saved(_hashed(one.join(wanted, ["t", "kb"]).select("t", "text", "hits"), near, wide=True).distinct())
-    runs_ = saved(held.join(_shared(held, "h1", "h2"), ["h1", "h2"]))
+    hashed = saved(_hashed(one.join(wanted, ["t", "kb"]).select("t", "text", "hits"), near, wide=True))
+    held = hashed.where("at >= 0")  # equal rows may give theirs twice
+    runs_ = saved(held.join(saved(_shared(held, "h1", "h2")), ["h1", "h2"]))
 
     # Overlapping or touching stretches are one passage; a copied text is one as a whole.
-    whole = classes.where((F.col("copies") > 1) & (F.col("length") >= words)).select("t", F.lit(0).alias("low"), F.col("length").alias("stop"))
+    lengths = hashed.where("at < 0").select("t", F.col("h1").cast("int").alias("stop")).distinct()
+    whole = lengths.where(F.col("stop") >= words).join(wanted.where("copies > 1").select("t"), "t").select("t", F.lit(0).alias("low"), "stop")
     listed = runs_.join(whole.select("t"), "t", "left_anti").groupBy("t").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     apart = lambda i: F.get(F.col("ats"), i + 1) - F.get(F.col("ats"), i) > long
     opens = F.filter("ats", lambda a, i: (i == 0) | apart(i - 1))

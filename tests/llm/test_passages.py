@@ -97,3 +97,18 @@ def test_run_hashes_are_those_of_the_words():
         assert len(a) == 301 - size and a[60] == b[110] == passages.runs(words[60 : 60 + size], size)[0]
         assert len(set(a.tolist())) == len(a)
     assert len(passages.runs(words[:3], 5)) == 0
+
+
+def test_one_scan_serves_both_searches(spark):
+    from panelworks.llm import catalog, paragraphs
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = catalog.op4_paragraph_dedup(spark, sf).collect()
+    lines, shared = paragraphs.repeated_paragraphs(docs), passages.repeated_passages(docs)
+    pick = lambda rows, names: sorted((tuple(r[n] for n in names) for r in rows), key=str)
+    for kind, alone in (("paragraph", lines), ("passage", shared)):
+        names = alone.columns
+        assert pick([r for r in got if r.kind == kind], names) == pick(alone.collect(), names)
+    assert {r.kind for r in got} == {"paragraph", "passage"}
+    assert passages.scan(spark.createDataFrame([(None, None), (1, ""), (1, " ")], "doc_id long, text string")).count() == 0
