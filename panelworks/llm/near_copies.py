@@ -1,10 +1,16 @@
-"""Near copies of whole documents: five-word shingles, Jaccard similarity of 0.8 or more.
+"""Near copies of whole documents: five-word shingles, Jaccard similarity of 0.8 or more, by SimHash.
 
-Fingerprints cannot find these pairs: at a similarity of 0.8 SimHashes of 64 bits differ by about ten
-bits, and blocks that must agree at such distances are too short to tell documents apart. Candidates
-therefore share a key of ``BANDS`` bands of MinHash values (a pair at the threshold shares none with
-probability (1 - 0.8^3)^16 = 0.00001) and all are verified by their exact similarity, as are
-paragraphs. Documents equal in words are one class and are never expanded into pairs.
+At a similarity of 0.8 SimHashes of 64 bits differ by about ten bits, and random ones by 32, so that
+neither the two bits of ``simhash.near_duplicates`` nor any bound on 64 bits tells such pairs from
+others. The shingle sets get fingerprints of 512 bits here; pivot tables give the pairs that may be
+near (``simhash.alike``), and each is verified by its exact similarity, as are paragraphs. Tables miss
+a pair at the threshold with a probability of 0.000002 (0.000004 for four of five shingles).
+Documents equal in words are one class and are never expanded into pairs.
+
+Classes without a near copy are discarded first, by counts alone: of the ``SAMPLE`` least hashes of a
+set, at least ``SHARED`` must be among those of other classes (of small sets 0.8 of all hashes). A
+near copy would share each of the sample's hashes with a probability of 0.8, and too few of them with
+one of 0.00000003.
 
 Defined results: null and empty texts are equal to each other; texts of under five words are alike
 only if they are equal in words. Repeated rows are further copies. Whole texts are read at any length.
@@ -12,17 +18,18 @@ only if they are equal in words. Repeated rows are further copies. Whole texts a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.llm import simhash
 from panelworks.llm.common import row_keys, saved
-from panelworks.llm.paragraphs import band_keys, shingles, similar_roots
+from panelworks.llm.paragraphs import SIMILAR, _similar, shingles
 
-BANDS = 16
+SAMPLE, SHARED = 32, 12
 _SLICE = 64  # documents whose shingles are held at once
 
 
@@ -31,48 +38,69 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ka, kb, class, keys): each row with the digest of its words and its band keys."""
+    """(doc_id, ka, kb, class, n, sample): each row with the digest of its words, the number of its
+    shingles and the least of their hashes."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            digest, keys = [], []
+            digest, size, sample = [], [], []
             for text in batch.column(3):
                 words = _words(text.as_py())
+                hashes = shingles(words)  # ascending
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                keys.append(band_keys(shingles(words), BANDS))
+                size.append(len(hashes))
+                sample.append(hashes[:SAMPLE].view("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "ka", "kb", "class", "keys"]
+                [*batch.columns[:3], pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
+                names=["doc_id", "ka", "kb", "class", "n", "sample"],
             )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), ka.alias("ka"), kb.alias("kb"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, class binary, keys array<long>")
+    return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, class binary, n long, sample array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, hashes): the shingle sets of the classes in ``wanted`` (cid, ka, kb), from one copy each."""
+def _of_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, name: str, of: Callable) -> DataFrame:
+    """(cid, n, ``name``): the sizes of the shingle sets of the classes in ``wanted`` (cid, ka, kb), read
+    from one copy each, and an array of longs made of each set."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for low in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(low, _SLICE)
-                sets = [shingles(_words(t.as_py())).view("<i8") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
+                sets = [shingles(_words(t.as_py())) for t in part.column(1)]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([of(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", name])
 
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
     texts = docs.select(ka.alias("ka"), kb.alias("kb"), F.col(text_col).alias("text")).join(wanted, ["ka", "kb"])
-    return texts.select("cid", "text").dropDuplicates(["cid"]).mapInArrow(batches, "cid long, hashes array<long>")
+    return texts.select("cid", "text").dropDuplicates(["cid"]).mapInArrow(batches, f"cid long, n long, {name} array<long>")
+
+
+def _sharing(classes: DataFrame) -> DataFrame:
+    """(cid) of the classes (cid, n, sample) whose samples lie among those of others."""
+    sampled = classes.select("cid", "n", F.explode("sample").alias("hash"))
+    common = sampled.groupBy("hash").agg(F.count("*").alias("classes")).where("classes > 1").select("hash")
+    counted = sampled.join(common, "hash", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("shared"))
+    return counted.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(SIMILAR * F.col("n") - 1e-9))).select("cid")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ka, kb, root) per row: rows with the same root are linked by near copies."""
     found = saved(_classes(docs, id_col, text_col))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ka", "kb")
-    classes = found.groupBy("class").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
+    classes = found.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sample").alias("sample"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
     first = classes.select("cid", "first.ka", "first.kb")
-    members = classes.select("cid", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("doc"), "keys")
-    roots = similar_roots(members, lambda wanted: _sets(docs, wanted.join(first, "cid"), id_col, text_col))
+
+    def of_sets(wanted: DataFrame, name: str, of: Callable) -> DataFrame:
+        return saved(_of_sets(docs, wanted.join(first, "cid"), id_col, text_col, name, of))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        return _similar(pairs, of_sets(ends, "hashes", lambda s: s.view("<i8")))
+
+    roots = simhash.alike(of_sets(_sharing(classes), "words", simhash.wide_fingerprint), verify)
     known = classes.select("class", "cid").join(roots, "cid", "left").select("class", F.coalesce("root", "cid").alias("root"))
     return found.select("doc_id", "ka", "kb", "class").join(known, "class").drop("class")

@@ -13,6 +13,13 @@ within one bit of both. Each survivor names itself and its 64 one-bit neighbours
 the same word (at most 65 fingerprints) are linked to the least of them. So a group of n linked
 copies costs 65 n rows, not n squared pairs, and no link is lost.
 
+Near copies of a Jaccard similarity lie too far apart for that (at 0.8 about 15 % of all bits differ),
+so ``alike`` works on wide fingerprints of shingle sets, each word in ``WIDE_BLOCKS`` blocks with the
+pivots above. No number of agreeing blocks is certain at such distances, so cells are the coordinates
+of two blocks some places apart, and there are as many tables as find nearly all pairs (``STRIDES``).
+Random pivots would discard nothing at such bounds and are not used. In a cell, pairs of more than
+``WIDE_BITS`` differing bits are discarded; the others go to an exact check.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; null ids keep
 their row and count only where no id of the component is known. Repeated rows are rows like others.
 Whole texts are hashed at any length; other columns are ignored.
@@ -20,7 +27,7 @@ Whole texts are hashed at any length; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +47,14 @@ CHECK_PIVOTS = 1  # random pivots compared within a cell
 SEED = 42
 _CHUNK = 1 << 16  # shingles counted at once
 
+WORDS = 8  # of 64 bits in a wide fingerprint
+WIDE_BLOCKS = 9  # in a word, of 7 or 8 bits
+# Tables pair each block with the ones 1 to STRIDES places on. Sets of Jaccard similarity 0.8 differ in at
+# most 0.1515 of all bits, small ones in up to 0.161 and 4 of 5 shingles in 0.1875, hence twice the tables there.
+STRIDES, SMALL = 6, 5
+WIDE_BITS, HEAD_BITS = 144, 48  # differing at most, of all bits and of the first two words
+_WIDE_CHUNK = 4096
+
 
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of a whole text: a bit is set if it is in over half of the shingle hashes."""
@@ -145,3 +160,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = grouped.join(roots, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "ka", "kb", "fp", "component_id")
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """SimHash of ``WORDS`` signed words of a set of 64-bit shingle hashes, each mixed anew for every word."""
+    counts = np.zeros(BITS * WORDS, dtype=np.int64)
+    step = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), _WIDE_CHUNK):
+        h = hashes[at : at + _WIDE_CHUNK, None] + step
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(31))).astype("<u8")
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def _cells(prints: DataFrame, *columns: str) -> DataFrame:
+    """(key, *columns, w0, w1): one row for each table, under the key of the cell: the table and the
+    coordinates of its two blocks; w0 and w1 are the first two words of the fingerprint."""
+    tables, _ = _pivots(WIDE_BLOCKS)
+    blocks = WIDE_BLOCKS * WORDS
+    placed = prints.withColumn("c", F.flatten(F.transform("words", lambda w: F.array(*[_coordinates(w, *t) for t in tables]))))
+    last = F.when(F.col("n") <= SMALL, 2 * STRIDES * blocks - 1).otherwise(STRIDES * blocks - 1)
+
+    def key(t: Column) -> Column:
+        block = t % blocks
+        other = (block + F.floor(t / blocks) + 1) % blocks
+        return t.cast("long") * (1 << 16) + F.get("c", block) * (1 << 8) + F.get("c", other.cast("int"))
+
+    keys = F.transform(F.sequence(F.lit(0), last), key)
+    return placed.select(F.explode(keys).alias("key"), *columns, F.get("words", F.lit(0)).alias("w0"), F.get("words", F.lit(1)).alias("w1")).repartition("key")
+
+
+def _differing(*pairs: tuple[str, str]) -> Column:
+    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs), F.lit(0))
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The distinct pairs (a, b) within ``WIDE_BITS`` that ``verify`` confirms."""
+    x = prints.select(F.col("cid").alias("a"), F.col("words").alias("x"))
+    y = prints.select(F.col("cid").alias("b"), F.col("words").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, bits: n + bits)
+    near = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b").where(apart <= WIDE_BITS)
+    return saved(verify(saved(near.select("a", "b"))))
+
+
+def alike(prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cid, root) of the linked rows of ``prints`` (cid, n, words: size and wide fingerprint of a set).
+
+    Linked are pairs that share a cell, differ in few bits and are returned by ``verify`` (a, b). Each row
+    is first compared with the least and the greatest of the rows near it that are ends of its cells; then
+    only rows of a cell that still lie in different components are. A cell's rows of its largest component
+    meet the others alone, so large groups of near copies are never listed by pairs.
+    """
+    placed = _cells(prints, "cid")
+    ends = placed.groupBy("key").agg(
+        F.min("cid").alias("low"), F.max("cid").alias("high"),
+        *[f(w, "cid").alias(f"{n}{w}") for f, n in ((F.min_by, "low"), (F.max_by, "high")) for w in ("w0", "w1")],
+    ).where("low < high")
+    seen = placed.join(ends, "key")
+    hubs = [F.when((_differing(("w0", f"{n}w0"), ("w1", f"{n}w1")) <= HEAD_BITS) & (F.col("cid") != F.col(n)), F.col(n)) for n in ("low", "high")]
+    star = seen.groupBy("cid").agg(F.min(hubs[0]).alias("low"), F.max(hubs[1]).alias("high"))
+    star = star.select(F.col("cid").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("b is not null")
+    links = _verified(star, prints, verify)
+
+    grouped = prints.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
+    place = F.floor(F.log2("size")) * (1 << 56) + F.pmod(F.xxhash64("root"), F.lit(1 << 56))  # larger components are higher
+    part = _cells(saved(grouped.join(sizes, "root").withColumn("root", place)), "cid", "root")
+    torn = part.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("top")).where("least < top").select("key", "top")
+    x = part.join(torn, "key").where("root < top").select("key", *[F.col(c).alias(f"x{c}") for c in ("cid", "root", "w0", "w1")])
+    near = (F.col("xroot") < F.col("root")) & (_differing(("xw0", "w0"), ("xw1", "w1")) <= HEAD_BITS)
+    more = _verified(x.join(part, "key").where(near).select(F.col("xcid").alias("a"), F.col("cid").alias("b")), prints, verify)
+    return components(links.unionByName(more)).withColumnRenamed("node", "cid")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from panelworks.llm import bpe, cap_filters, hnsw, html_extract, lang_id, license_scan, line_dedup, mixing, paragraphs, simhash
+from panelworks.llm import bpe, cap_filters, hnsw, html_extract, lang_id, license_scan, line_dedup, mixing, near_copies, paragraphs, simhash
 from panelworks.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,31 @@ def test_pipeline_drops_near_copies(spark):
     assert Counter(r.doc_id for r in kept) == Counter({0: 1, 3: 1, 5: 1, 6: 1, 7: 1, None: 2})
 
 
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (8, 9, 12, 20, 33, 60, 150, 400) * 4:
+        words = [f"w{v}" for v in rng.integers(0, 10**6, n)]
+        texts.append(words)
+        for more in (n // 5 - 1, n // 4, n // 3):  # tails that leave about 0.8 of the shingles, or less
+            texts.append(words + [f"t{v}" for v in rng.integers(0, 10**6, max(more, 1))])
+        texts.append(["first", *words[1:]])
+    group = [f"g{i}" for i in range(120)]
+    texts += [[*group[:i], "edit", *group[i + 1 :]] for i in range(5, 115)] + [["one"], ["one", "two"], []]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} for w in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [simhash.wide_fingerprint(paragraphs.shingles([x.encode() for x in w])) for w in texts]
+    bits = [sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(prints[i], prints[j])) for i, j in links]
+    assert 10 < max(bits) <= simhash.WIDE_BITS and len(links) > 5000
+
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    by_root = lambda: Counter(frozenset(ids) for ids in near_copies.near_copies(docs).groupBy("root").agg(F.collect_list("doc_id")).toPandas().iloc[:, 1])
+    root = _roots(len(texts), links)
+    assert by_root() == Counter({frozenset(i for i in range(len(texts)) if root[i] == r): 1 for r in set(root)})
+    monkeypatch.setattr(simhash, "WIDE_BITS", -1)  # no fingerprints within the bound: no links
+    assert set(by_root()) == {frozenset([i]) for i in range(len(texts))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 300), (None, 3), (250, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
