@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import simhash
 from panelworks.llm.common import row_keys, saved
-from panelworks.llm.paragraphs import SIMILAR, _similar, shingles
+from panelworks.llm.paragraphs import SIMILAR, _jaccard, shingles
 
 SAMPLE, SHARED = 32, 12
+_BLOCK = 1024  # classes whose sets are compared in one group of a join
 _SLICE = 64  # documents whose shingles are held at once
 
 
@@ -86,6 +87,16 @@ def _sharing(classes: DataFrame) -> DataFrame:
     return counted.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(SIMILAR * F.col("n") - 1e-9))).select("cid")
 
 
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold. The sets go to blocks of
+    classes, not to each pair, and the join gives out similar pairs alone."""
+    block = F.pmod(F.xxhash64("b"), F.lit(sets.count() // _BLOCK + 1))
+    x = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x"))
+    y = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")).withColumn("block", block)
+    lists = pairs.withColumn("block", block).groupBy("a", "block").agg(F.collect_list("b").alias("bs")).join(x, "a")
+    return lists.join(y, "block").where(F.array_contains("bs", F.col("b")) & _jaccard(F.col("x"), F.col("y"))).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ka, kb, root) per row: rows with the same root are linked by near copies."""
     found = saved(_classes(docs, id_col, text_col))

@@ -52,7 +52,8 @@ WIDE_BLOCKS = 9  # in a word, of 7 or 8 bits
 # Tables pair each block with the ones 1 to STRIDES places on. Sets of Jaccard similarity 0.8 differ in at
 # most 0.1515 of all bits, small ones in up to 0.161 and 4 of 5 shingles in 0.1875, hence twice the tables there.
 STRIDES, SMALL = 6, 5
-WIDE_BITS, HEAD_BITS = 144, 48  # differing at most, of all bits and of the first two words
+WIDE_BITS, HEAD_BITS = 144, 64  # differing at most, of all bits and of the first words
+_HEAD = [f"w{i}" for i in range(3)]  # the words that rows of cells carry
 _WIDE_CHUNK = 4096
 
 
@@ -176,8 +177,8 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
 
 
 def _cells(prints: DataFrame, *columns: str) -> DataFrame:
-    """(key, *columns, w0, w1): one row for each table, under the key of the cell: the table and the
-    coordinates of its two blocks; w0 and w1 are the first two words of the fingerprint."""
+    """(key, *columns, w0, ...): one row for each table, under the key of the cell: the table and the
+    coordinates of its two blocks; with the first words of the fingerprint."""
     tables, _ = _pivots(WIDE_BLOCKS)
     blocks = WIDE_BLOCKS * WORDS
     placed = prints.withColumn("c", F.flatten(F.transform("words", lambda w: F.array(*[_coordinates(w, *t) for t in tables]))))
@@ -189,11 +190,13 @@ def _cells(prints: DataFrame, *columns: str) -> DataFrame:
         return t.cast("long") * (1 << 16) + F.get("c", block) * (1 << 8) + F.get("c", other.cast("int"))
 
     keys = F.transform(F.sequence(F.lit(0), last), key)
-    return placed.select(F.explode(keys).alias("key"), *columns, F.get("words", F.lit(0)).alias("w0"), F.get("words", F.lit(1)).alias("w1")).repartition("key")
+    head = [F.get("words", F.lit(i)).alias(w) for i, w in enumerate(_HEAD)]
+    return placed.select(F.explode(keys).alias("key"), *columns, *head).repartition("key")
 
 
-def _differing(*pairs: tuple[str, str]) -> Column:
-    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs), F.lit(0))
+def _near(other: str) -> Column:
+    """Whether the first words and those whose names begin with ``other`` differ in few bits."""
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(other + w))) for w in _HEAD), F.lit(0)) <= HEAD_BITS
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -216,10 +219,10 @@ def alike(prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     placed = _cells(prints, "cid")
     ends = placed.groupBy("key").agg(
         F.min("cid").alias("low"), F.max("cid").alias("high"),
-        *[f(w, "cid").alias(f"{n}{w}") for f, n in ((F.min_by, "low"), (F.max_by, "high")) for w in ("w0", "w1")],
+        *[f(w, "cid").alias(f"{n}{w}") for f, n in ((F.min_by, "low"), (F.max_by, "high")) for w in _HEAD],
     ).where("low < high")
     seen = placed.join(ends, "key")
-    hubs = [F.when((_differing(("w0", f"{n}w0"), ("w1", f"{n}w1")) <= HEAD_BITS) & (F.col("cid") != F.col(n)), F.col(n)) for n in ("low", "high")]
+    hubs = [F.when(_near(n) & (F.col("cid") != F.col(n)), F.col(n)) for n in ("low", "high")]
     star = seen.groupBy("cid").agg(F.min(hubs[0]).alias("low"), F.max(hubs[1]).alias("high"))
     star = star.select(F.col("cid").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("b is not null")
     links = _verified(star, prints, verify)
@@ -229,7 +232,7 @@ def alike(prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     place = F.floor(F.log2("size")) * (1 << 56) + F.pmod(F.xxhash64("root"), F.lit(1 << 56))  # larger components are higher
     part = _cells(saved(grouped.join(sizes, "root").withColumn("root", place)), "cid", "root")
     torn = part.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("top")).where("least < top").select("key", "top")
-    x = part.join(torn, "key").where("root < top").select("key", *[F.col(c).alias(f"x{c}") for c in ("cid", "root", "w0", "w1")])
-    near = (F.col("xroot") < F.col("root")) & (_differing(("xw0", "w0"), ("xw1", "w1")) <= HEAD_BITS)
+    x = part.join(torn, "key").where("root < top").select("key", *[F.col(c).alias(f"x{c}") for c in ("cid", "root", *_HEAD)])
+    near = (F.col("xroot") < F.col("root")) & _near("x")
     more = _verified(x.join(part, "key").where(near).select(F.col("xcid").alias("a"), F.col("cid").alias("b")), prints, verify)
     return components(links.unionByName(more)).withColumnRenamed("node", "cid")
