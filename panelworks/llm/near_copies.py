@@ -10,7 +10,8 @@ Documents equal in words are one class and are never expanded into pairs.
 Classes without a near copy are discarded first, by counts alone: of the ``SAMPLE`` least hashes of a
 set, at least ``SHARED`` must be among those of other classes (of small sets 0.8 of all hashes). A
 near copy would share each of the sample's hashes with a probability of 0.8, and too few of them with
-one of 0.00000003.
+one of 0.00000003. Then whole sets are counted, twice: 0.8 of a set's hashes must be among those of
+other classes still left. These counts are exact, and they bound what two sets have in common.
 
 Defined results: null and empty texts are equal to each other; texts of under five words are alike
 only if they are equal in words. Repeated rows are further copies. Whole texts are read at any length.
@@ -18,7 +19,7 @@ only if they are equal in words. Repeated rows are further copies. Whole texts a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import simhash
 from panelworks.llm.common import row_keys, saved
-from panelworks.llm.paragraphs import SIMILAR, _jaccard, shingles
+from panelworks.llm.paragraphs import SIMILAR, _similar, shingles
 
 SAMPLE, SHARED = 32, 12
-_BLOCK = 1024  # classes whose sets are compared in one group of a join
 _SLICE = 64  # documents whose shingles are held at once
 
 
@@ -62,39 +62,35 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, class binary, n long, sample array<long>")
 
 
-def _of_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, name: str, of: Callable) -> DataFrame:
-    """(cid, n, ``name``): the sizes of the shingle sets of the classes in ``wanted`` (cid, ka, kb), read
-    from one copy each, and an array of longs made of each set."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, n, hashes, words): the shingle sets of the classes in ``wanted`` (cid, ka, kb), their sizes and
+    fingerprints, read from one copy each."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for low in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(low, _SLICE)
                 sets = [shingles(_words(t.as_py())) for t in part.column(1)]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([of(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", name])
+                lists = [[s.view("<i8") for s in sets], [simhash.wide_fingerprint(s) for s in sets]]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "hashes", "words"])
 
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
     texts = docs.select(ka.alias("ka"), kb.alias("kb"), F.col(text_col).alias("text")).join(wanted, ["ka", "kb"])
-    return texts.select("cid", "text").dropDuplicates(["cid"]).mapInArrow(batches, f"cid long, n long, {name} array<long>")
+    return texts.select("cid", "text").dropDuplicates(["cid"]).mapInArrow(batches, "cid long, n long, hashes array<long>, words array<long>")
 
 
-def _sharing(classes: DataFrame) -> DataFrame:
-    """(cid) of the classes (cid, n, sample) whose samples lie among those of others."""
-    sampled = classes.select("cid", "n", F.explode("sample").alias("hash"))
-    common = sampled.groupBy("hash").agg(F.count("*").alias("classes")).where("classes > 1").select("hash")
-    counted = sampled.join(common, "hash", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(SIMILAR * F.col("n") - 1e-9))).select("cid")
+def _shared(sets: DataFrame, hashes: str) -> DataFrame:
+    """(cid, n, shared): how many of the distinct ``hashes`` of each row of ``sets`` are in other rows too."""
+    held = sets.select("cid", F.explode(hashes).alias("hash")).groupBy("hash").agg(F.count("*").alias("rows"), F.min("cid").alias("cid"))
+    own = held.where("rows = 1").groupBy("cid").agg(F.count("*").alias("own"))
+    counted = sets.select("cid", "n", F.size(hashes).alias("size")).join(own, "cid", "left")
+    return counted.select("cid", "n", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold. The sets go to blocks of
-    classes, not to each pair, and the join gives out similar pairs alone."""
-    block = F.pmod(F.xxhash64("b"), F.lit(sets.count() // _BLOCK + 1))
-    x = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")).withColumn("block", block)
-    lists = pairs.withColumn("block", block).groupBy("a", "block").agg(F.collect_list("b").alias("bs")).join(x, "a")
-    return lists.join(y, "block").where(F.array_contains("bs", F.col("b")) & _jaccard(F.col("x"), F.col("y"))).select("a", "b")
+def _enough(sets: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (n, shared) that share as many of all hashes as a near copy must."""
+    return sets.where(F.col("shared") >= SIMILAR * F.col("n") - 1e-9)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,15 +99,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ka", "kb")
     classes = found.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sample").alias("sample"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
-    first = classes.select("cid", "first.ka", "first.kb")
-
-    def of_sets(wanted: DataFrame, name: str, of: Callable) -> DataFrame:
-        return saved(_of_sets(docs, wanted.join(first, "cid"), id_col, text_col, name, of))
+    sampled = _shared(classes, "sample").where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(SIMILAR * F.col("n") - 1e-9)))
+    wanted = classes.select("cid", "first.ka", "first.kb").join(sampled.select("cid"), "cid")
+    sets = saved(_sets(docs, wanted, id_col, text_col))
+    some = sets.select("cid", "n", "hashes").join(_enough(_shared(sets, "hashes")).select("cid"), "cid")
+    counted = _enough(_shared(saved(some), "hashes")).select("cid", "shared")  # counts among those of the first
+    prints = saved(sets.select("cid", "n", "words").join(counted, "cid"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        return _similar(pairs, of_sets(ends, "hashes", lambda s: s.view("<i8")))
+        return _similar(pairs, sets)
 
-    roots = simhash.alike(of_sets(_sharing(classes), "words", simhash.wide_fingerprint), verify)
+    roots = simhash.alike(prints, verify)
     known = classes.select("class", "cid").join(roots, "cid", "left").select("class", F.coalesce("root", "cid").alias("root"))
     return found.select("doc_id", "ka", "kb", "class").join(known, "class").drop("class")

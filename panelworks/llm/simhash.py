@@ -17,8 +17,11 @@ Near copies of a Jaccard similarity lie too far apart for that (at 0.8 about 15
 so ``alike`` works on wide fingerprints of shingle sets, each word in ``WIDE_BLOCKS`` blocks with the
 pivots above. No number of agreeing blocks is certain at such distances, so cells are the coordinates
 of two blocks some places apart, and there are as many tables as find nearly all pairs (``STRIDES``).
-Random pivots would discard nothing at such bounds and are not used. In a cell, pairs of more than
-``WIDE_BITS`` differing bits are discarded; the others go to an exact check.
+Random pivots would discard nothing at such bounds and are not used. Rows of a cell carry the size of
+their set and how many of its hashes other sets hold too: no two sets have more in common than the
+lesser of those, which discards most pairs exactly where many sets are nearly similar. Pairs of more
+than ``WIDE_BITS`` differing bits are discarded as well; the others go to an exact check. A pair of
+many common cells is given out by the first of them.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null ids keep
 their row and count only where no id of the component is known. Repeated rows are rows like others.
@@ -54,6 +57,8 @@ WIDE_BLOCKS = 9  # in a word, of 7 or 8 bits
 STRIDES, SMALL = 6, 5
 WIDE_BITS, HEAD_BITS = 144, 64  # differing at most, of all bits and of the first words
 _HEAD = [f"w{i}" for i in range(3)]  # the words that rows of cells carry
+_SIZES = ("n", "shared")
+SIMILAR = 0.8  # Jaccard similarity of sets that wide fingerprints look for
 _WIDE_CHUNK = 4096
 
 
@@ -195,8 +200,32 @@ def _cells(prints: DataFrame, *columns: str) -> DataFrame:
 
 
 def _near(other: str) -> Column:
-    """Whether the first words and those whose names begin with ``other`` differ in few bits."""
-    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(other + w))) for w in _HEAD), F.lit(0)) <= HEAD_BITS
+    """Whether the row and the one whose columns begin with ``other`` may be similar: their first words
+    differ in few bits, and so many hashes shared with any row at all would do."""
+    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(other + w))) for w in _HEAD), F.lit(0))
+    common = F.least("shared", other + "shared")
+    return (bits <= HEAD_BITS) & (common >= SIMILAR * (F.col("n") + F.col(other + "n") - common) - 1e-9)
+
+
+def _first(other: str) -> Column:
+    """Whether ``key`` is the first of the cells in the first words that the row has in common with the one
+    whose columns begin with ``other`` (true of all their cells, where they have none there)."""
+    edges = [round(i * BITS / WIDE_BLOCKS) for i in range(WIDE_BLOCKS + 1)]
+    equal = F.lit(0).cast("long")  # bits: blocks of equal coordinates
+    for i, w in enumerate(_HEAD):
+        for j, (low, high) in enumerate(zip(edges, edges[1:])):
+            differ = F.col(w).bitwiseXOR(F.col(other + w)).bitwiseAND(F.lit(_signed((1 << high) - (1 << low))))
+            equal = equal + F.when(differ == 0, F.lit(1 << (WIDE_BLOCKS * i + j))).otherwise(F.lit(0)).cast("long")
+
+    def is_first(blocks: Column) -> Column:
+        table = F.lit(None).cast("long")
+        for stride in reversed(range(STRIDES)):
+            both = blocks.bitwiseAND(F.shiftright(blocks, stride + 1))
+            lowest = F.bit_count(both.bitwiseAND(-both) - 1)
+            table = F.when(both != 0, lowest + stride * WIDE_BLOCKS * WORDS).otherwise(table)
+        return F.coalesce(table == F.shiftright("key", 16), F.lit(True))
+
+    return F.exists(F.array(equal), is_first)
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -208,31 +237,39 @@ def _verified(pairs: DataFrame, prints: DataFrame, verify: Callable[[DataFrame],
     return saved(verify(saved(near.select("a", "b"))))
 
 
+def _torn_pairs(part: DataFrame) -> DataFrame:
+    """(a, b) of the rows near each other in cells (key, cid, root, n, shared, w0, ...) of several roots,
+    most of them once."""
+    torn = part.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("top")).where("least < top").select("key", "top")
+    x = part.join(torn, "key").where("root < top").select("key", *[F.col(c).alias(f"x{c}") for c in ("cid", "root", *_SIZES, *_HEAD)])
+    near = (F.col("xroot") < F.col("root")) & _near("x") & _first("x")
+    return x.join(part, "key").where(near).select(F.col("xcid").alias("a"), F.col("cid").alias("b"))
+
+
 def alike(prints: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(cid, root) of the linked rows of ``prints`` (cid, n, words: size and wide fingerprint of a set).
+    """(cid, root) of the linked rows of ``prints`` (cid, n, shared, words: the size of a set, how many of
+    its hashes are in other sets too, and its wide fingerprint).
 
-    Linked are pairs that share a cell, differ in few bits and are returned by ``verify`` (a, b). Each row
-    is first compared with the least and the greatest of the rows near it that are ends of its cells; then
-    only rows of a cell that still lie in different components are. A cell's rows of its largest component
-    meet the others alone, so large groups of near copies are never listed by pairs.
+    Linked are pairs that share a cell, may be similar by sizes and bits and are returned by ``verify``
+    (a, b). Each row is first compared with the least and the greatest of the rows near it that are ends of
+    its cells; then only rows of a cell that still lie in different components are. A cell's rows of its
+    largest component meet the others alone, so large groups of near copies are never listed by pairs.
     """
-    placed = _cells(prints, "cid")
-    ends = placed.groupBy("key").agg(
-        F.min("cid").alias("low"), F.max("cid").alias("high"),
-        *[f(w, "cid").alias(f"{n}{w}") for f, n in ((F.min_by, "low"), (F.max_by, "high")) for w in _HEAD],
-    ).where("low < high")
-    seen = placed.join(ends, "key")
-    hubs = [F.when(_near(n) & (F.col("cid") != F.col(n)), F.col(n)) for n in ("low", "high")]
-    star = seen.groupBy("cid").agg(F.min(hubs[0]).alias("low"), F.max(hubs[1]).alias("high"))
-    star = star.select(F.col("cid").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("b is not null")
+    placed = _cells(prints, "cid", *_SIZES)
+    whole = F.struct(F.col("shared") / F.col("n"), "cid")
+    end = {"low": F.min("cid"), "high": F.max("cid"), "most": F.max_by("cid", whole)}
+    of = {"low": lambda c: F.min_by(c, "cid"), "high": lambda c: F.max_by(c, "cid"), "most": lambda c: F.max_by(c, whole)}
+    columns = [of[e](c).alias(f"{e}{c}") for e in end for c in (*_SIZES, *_HEAD)]
+    ends = placed.groupBy("key").agg(*[column.alias(e) for e, column in end.items()], *columns).where("low < high")
+    hub = {e: F.when(_near(e) & (F.col("cid") != F.col(e)), F.col(e)) for e in end}
+    best = F.max_by(hub["most"], F.when(hub["most"].isNotNull(), F.struct(F.col("mostshared") / F.col("mostn"), "most")))
+    star = placed.join(ends, "key").groupBy("cid").agg(F.min(hub["low"]).alias("low"), F.max(hub["high"]).alias("high"), best.alias("most"))
+    star = star.select(F.col("cid").alias("a"), F.explode(F.array("low", "high", "most")).alias("b")).where("b is not null")
     links = _verified(star, prints, verify)
 
     grouped = prints.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
     place = F.floor(F.log2("size")) * (1 << 56) + F.pmod(F.xxhash64("root"), F.lit(1 << 56))  # larger components are higher
-    part = _cells(saved(grouped.join(sizes, "root").withColumn("root", place)), "cid", "root")
-    torn = part.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("top")).where("least < top").select("key", "top")
-    x = part.join(torn, "key").where("root < top").select("key", *[F.col(c).alias(f"x{c}") for c in ("cid", "root", *_HEAD)])
-    near = (F.col("xroot") < F.col("root")) & _near("x")
-    more = _verified(x.join(part, "key").where(near).select(F.col("xcid").alias("a"), F.col("cid").alias("b")), prints, verify)
+    part = _cells(saved(grouped.join(sizes, "root").withColumn("root", place)), "cid", "root", *_SIZES)
+    more = _verified(_torn_pairs(part), prints, verify)
     return components(links.unionByName(more)).withColumnRenamed("node", "cid")

@@ -128,6 +128,42 @@ def test_near_copies_come_from_fingerprints(spark, monkeypatch):
     assert set(by_root()) == {frozenset([i]) for i in range(len(texts))}
 
 
+def test_nearly_similar_groups_are_not_verified_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+
+    def edited(n, name):
+        words = list(base)
+        for i in range(n):
+            words[int(rng.integers(150 * i // n, 150 * (i + 1) // n))] = f"{name}{i}"
+        return words
+
+    # Five edits leave 0.83 of a text's shingles or more, so they link texts to the base, few to each other.
+    texts = [base, *[edited(5, f"e{i}x") for i in range(150)], *[edited(2, f"f{i}x") for i in range(10)]]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    apart = [edited(10, f"g{i}x") for i in range(150)]  # 0.6 to 0.8 of their shingles are left: similar to none
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*texts, *apart])], "doc_id long, text string")
+    asked = []
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, sets: asked.append(pairs.count()) or similar(pairs, sets))
+    groups = near_copies.near_copies(docs).groupBy("root").agg(F.collect_list("doc_id").alias("ids")).collect()
+    root = _roots(len(texts), links)
+    want = {frozenset(i for i in range(len(texts)) if root[i] == r) for r in set(root)} | {frozenset([len(texts) + i]) for i in range(len(apart))}
+    assert {frozenset(g.ids) for g in groups} == want
+    assert sum(asked) < 4 * len(texts)
+
+
+def test_pairs_of_many_cells_are_given_out_once(spark):
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 2, 512)
+    near = [np.where(rng.random(512) < 0.06, 1 - bits, bits) for _ in range(12)]
+    rows = [(i, i, 100, 100, np.packbits(b.astype(np.uint8), bitorder="little").view("<i8").tolist()) for i, b in enumerate(near)]
+    prints = spark.createDataFrame(rows, "cid long, root long, n long, shared long, words array<long>")
+    pairs = [(r.a, r.b) for r in simhash._torn_pairs(simhash._cells(prints, "cid", "root", "n", "shared")).collect()]
+    assert Counter(pairs) == Counter((i, j) for j in range(12) for i in range(j))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 300), (None, 3), (250, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
